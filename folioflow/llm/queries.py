@@ -32,3 +32,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.token_files import encode_to_files
 
     return encode_to_files(documents(spark, sf_dir), vocabulary(), end_id=2)
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of at most 2048 ids, along a Hilbert curve."""
+    from folioflow.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), vocabulary(), end_id=1, length=2048)
