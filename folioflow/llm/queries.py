@@ -40,3 +40,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.packing import pack_documents
 
     return pack_documents(documents(spark, sf_dir), vocabulary(), end_id=1, length=2048)
+
+
+@query
+def op4_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored losslessly as baseline JPEG, and features read back from the stored bytes."""
+    from folioflow.llm.jpeg import media_features
+
+    return media_features(documents(spark, sf_dir))
