@@ -48,3 +48,11 @@ def op4_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.jpeg import media_features
 
     return media_features(documents(spark, sf_dir))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every text."""
+    from folioflow.llm.licenses import license_scan
+
+    return license_scan(documents(spark, sf_dir))
