@@ -56,3 +56,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.licenses import license_scan
 
     return license_scan(documents(spark, sf_dir))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base spans, and terms that reveal them."""
+    from folioflow.llm.pii import find
+
+    return find(documents(spark, sf_dir))
