@@ -64,3 +64,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.pii import find
 
     return find(documents(spark, sf_dir))
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken from every document so that sources meet their target shares."""
+    from folioflow.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
