@@ -72,3 +72,19 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.mixing import mix
 
     return mix(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text, learned from positive and unlabelled texts."""
+    from folioflow.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by nearest centroids."""
+    from folioflow.llm.langid import language_id
+
+    return language_id(documents(spark, sf_dir, "doc_id", "text", "lang"))
