@@ -11,7 +11,7 @@ the prior: the share of toxic labels, less what confirmed rows take out of U.
 
 The classifier is fitted on a bounded sample drawn by a hash of doc_id: about ``POSITIVES`` and
 ``UNLABELLED`` distinct texts. Features enter it if they stand in ``MIN_TEXTS`` positive texts at least and
-more often in P than in U (log-likelihood ratio over ``MIN_RATIO``). Scoring reads every whole text once;
+more often in P than in U, by a log-likelihood ratio that no feature would reach by accident. Scoring reads every whole text once;
 the model is a sorted array of feature hashes with weights.
 
 Defined results: a null text counts as empty and gets the score of the bias; with no positive or no
@@ -36,7 +36,8 @@ from folioflow.llm.words import code_points, kinds, mix64, powers, word_hashes
 POSITIVES = 6000
 UNLABELLED = 18000
 MIN_TEXTS = 3
-MIN_RATIO = 30.0
+#: Chance of one feature or more entering by accident, by which the bound on the log-likelihood ratio is set.
+SIGNIFICANCE = 0.05
 #: Beginnings of words that count as features beside the words, in code points.
 STEMS = (4, 5, 6)
 ROUNDS = 1500
@@ -121,7 +122,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         return rows[known], at[known]
 
     in_unlabelled = np.bincount(places(unlabelled)[1], minlength=len(words))
-    words = words[_ratio(found, n, in_unlabelled, m) >= MIN_RATIO]
+    bound = 2 * np.log(max(len(words), 1) / SIGNIFICANCE)
+    words = words[_ratio(found, n, in_unlabelled, m) >= bound]
     (prow, pcol), (urow, ucol) = places(positive), places(unlabelled)
     weights, bias = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
     state = np.zeros((2, len(words) + 1))
