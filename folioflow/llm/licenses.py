@@ -1,7 +1,8 @@
 r"""Operator 10: license scans by ordered signature rules, in native expressions only.
 
-A rule is a regular expression with a label, a priority and a score, and two keywords. A rule is tried
-only on texts that contain both keywords, so most texts meet no rule at all. All detections of a text
+A rule is a regular expression with a label, a priority and a score, and keywords. Rules are grouped by
+the way a license is granted; a text is first searched for the ways, and a rule is tried only where its
+way occurs and one of its keywords does, so most texts meet no rule at all. All detections of a text
 are sorted by place; one that lies inside another of better priority is suppressed ("GPL" inside "GNU
 Affero General Public License, version 3 (AGPL)", "license: MIT" inside an SPDX line). The labels of
 what is left, and of the base phrases, are the text's labels.
@@ -29,12 +30,12 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels (fixed values).
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, name as a regular expression, a keyword that any such name contains.
+#: label, name as a regular expression, keywords of which any such name contains one.
 NAMES = (
-    ("mit", r"(?:the )?(?:mit|expat)(?:[ /]x11)?", "mit"),
+    ("mit", r"(?:the )?(?:mit|expat)(?:[ /]x11)?", "mit|expat"),
     ("mit-0", r"mit no attribution|mit-0", "mit"),
     ("x11", r"(?:the )?x11", "x11"),
-    ("isc", r"(?:the )?isc|internet (?:systems|software) consortium", "is"),
+    ("isc", r"(?:the )?isc|internet (?:systems|software) consortium", "isc|internet"),
     ("apache-2", r"(?:the )?apache(?: software)?(?: license)?,?[ -]?(?:version |v)?2(?:\.0)?", "apache"),
     ("apache-1.1", r"(?:the )?apache(?: software)?(?: license)?,?[ -]?(?:version |v)?1\.1", "apache"),
     ("bsd", r"(?:the )?bsd", "bsd"),
@@ -42,71 +43,72 @@ NAMES = (
     ("bsd-3-clause", r"(?:the )?(?:bsd[ -]3[ -]clause|3[ -]clause bsd|(?:new|revised|modified) bsd)", "bsd"),
     ("bsd-4-clause", r"(?:the )?(?:bsd[ -]4[ -]clause|4[ -]clause bsd|original bsd)", "bsd"),
     ("0bsd", r"(?:the )?(?:zero[ -]clause bsd|0bsd|bsd[ -]zero[ -]clause)", "bsd"),
-    ("gpl", r"(?:the )?(?:gnu )?(?:general public|gpl)", "g"),
-    ("gpl-1", r"(?:the )?(?:gnu )?(?:general public license|gpl),?[ -]?(?:version |v)?1(?:\.0)?", "g"),
-    ("gpl-2", r"(?:the )?(?:gnu )?(?:general public license|gpl),?[ -]?(?:version |v)?2(?:\.0)?", "g"),
-    ("gpl-3", r"(?:the )?(?:gnu )?(?:general public license|gpl),?[ -]?(?:version |v)?3(?:\.0)?", "g"),
-    ("lgpl", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public|lgpl)", "l"),
-    ("lgpl-2", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public license|lgpl),?[ -]?(?:version |v)?2(?:\.0)?(?!\.1)", "l"),
-    ("lgpl-2.1", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public license|lgpl),?[ -]?(?:version |v)?2\.1", "l"),
-    ("lgpl-3", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl),?[ -]?(?:version |v)?3(?:\.0)?", "l"),
-    ("agpl-3", r"(?:the )?(?:gnu )?(?:affero general public license|agpl),?[ -]?(?:version |v)?3(?:\.0)?", "a"),
-    ("gfdl", r"(?:the )?(?:gnu )?(?:free documentation|gfdl|fdl)", "fd"),
-    ("mpl-1.1", r"(?:the )?(?:mozilla public license|mpl),?[ -]?(?:version |v)?1\.1", "m"),
-    ("mpl-2", r"(?:the )?(?:mozilla public license|mpl),?[ -]?(?:version |v)?2(?:\.0)?", "m"),
-    ("epl-1", r"(?:the )?(?:eclipse public license|epl),?[ -]?(?:version |v)?1(?:\.0)?", "e"),
-    ("epl-2", r"(?:the )?(?:eclipse public license|epl),?[ -]?(?:version |v)?2(?:\.0)?", "e"),
+    ("gpl", r"(?:the )?(?:gnu )?(?:general public|gpl)", "general|gpl"),
+    ("gpl-1", r"(?:the )?(?:gnu )?(?:general public license|gpl),?[ -]?(?:version |v)?1(?:\.0)?", "general|gpl"),
+    ("gpl-2", r"(?:the )?(?:gnu )?(?:general public license|gpl),?[ -]?(?:version |v)?2(?:\.0)?", "general|gpl"),
+    ("gpl-3", r"(?:the )?(?:gnu )?(?:general public license|gpl),?[ -]?(?:version |v)?3(?:\.0)?", "general|gpl"),
+    ("lgpl", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public|lgpl)", "lesser|library|lgpl"),
+    ("lgpl-2", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public license|lgpl),?[ -]?(?:version |v)?2(?:\.0)?(?!\.1)", "lesser|library|lgpl"),
+    ("lgpl-2.1", r"(?:the )?(?:gnu )?(?:(?:lesser|library) general public license|lgpl),?[ -]?(?:version |v)?2\.1", "lesser|library|lgpl"),
+    ("lgpl-3", r"(?:the )?(?:gnu )?(?:lesser general public license|lgpl),?[ -]?(?:version |v)?3(?:\.0)?", "lesser|lgpl"),
+    ("agpl-3", r"(?:the )?(?:gnu )?(?:affero general public license|agpl),?[ -]?(?:version |v)?3(?:\.0)?", "affero|agpl"),
+    ("gfdl", r"(?:the )?(?:gnu )?(?:free documentation|gfdl|fdl)", "documentation|fdl"),
+    ("mpl-1.1", r"(?:the )?(?:mozilla public license|mpl),?[ -]?(?:version |v)?1\.1", "mozilla|mpl"),
+    ("mpl-2", r"(?:the )?(?:mozilla public license|mpl),?[ -]?(?:version |v)?2(?:\.0)?", "mozilla|mpl"),
+    ("epl-1", r"(?:the )?(?:eclipse public license|epl),?[ -]?(?:version |v)?1(?:\.0)?", "eclipse|epl"),
+    ("epl-2", r"(?:the )?(?:eclipse public license|epl),?[ -]?(?:version |v)?2(?:\.0)?", "eclipse|epl"),
     ("edl", r"(?:the )?eclipse distribution", "eclipse"),
-    ("cddl", r"(?:the )?(?:common development and distribution|cddl)", "d"),
-    ("cpl", r"(?:the )?common public", "common public"),
+    ("cddl", r"(?:the )?(?:common development and distribution|cddl)", "cddl|distribution"),
+    ("cpl", r"(?:the )?common public", "common"),
     ("ipl", r"(?:the )?ibm public", "ibm"),
-    ("eupl", r"(?:the )?(?:european union public|eupl)", "eu"),
+    ("eupl", r"(?:the )?(?:european union public|eupl)", "eupl|european"),
     ("artistic-1", r"(?:the )?artistic license,?[ -]?(?:version |v)?1(?:\.0)?", "artistic"),
     ("artistic-2", r"(?:the )?artistic license,?[ -]?(?:version |v)?2(?:\.0)?", "artistic"),
-    ("psf", r"(?:the )?(?:python software foundation|psf)", "p"),
+    ("psf", r"(?:the )?(?:python software foundation|psf)", "psf|python"),
     ("php", r"(?:the )?php", "php"),
     ("ruby", r"(?:the )?ruby", "ruby"),
     ("perl", r"(?:the same terms as )?perl", "perl"),
     ("zlib", r"(?:the )?zlib(?:/libpng)?", "zlib"),
     ("libpng", r"(?:the )?libpng", "libpng"),
     ("bsl-1", r"(?:the )?boost(?: software)?", "boost"),
-    ("busl-1.1", r"(?:the )?(?:business source|busl)", "bus"),
-    ("sspl", r"(?:the )?(?:server side public|sspl)", "s"),
+    ("busl-1.1", r"(?:the )?(?:business source|busl)", "business|busl"),
+    ("sspl", r"(?:the )?(?:server side public|sspl)", "sspl|server"),
     ("elastic-2", r"(?:the )?elastic", "elastic"),
-    ("wtfpl", r"(?:the )?(?:wtfpl|do what the fuck you want to public)", "w"),
+    ("wtfpl", r"(?:the )?(?:wtfpl|do what the fuck you want to public)", "wtfpl|fuck"),
     ("unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("cc0", r"(?:the )?(?:cc0|creative commons zero)(?: 1\.0)?", "c"),
-    ("cc-by", r"(?:the )?(?:cc[ -]by|creative commons attribution)(?![ -](?:nc|sa|nd|non|share|no ))(?:[ -][1-4]\.0)?", "c"),
-    ("cc-by-sa", r"(?:the )?(?:cc[ -]by[ -]sa|creative commons attribution[ -]share[ -]?alike)(?:[ -][1-4]\.0)?", "c"),
-    ("cc-by-nd", r"(?:the )?(?:cc[ -]by[ -]nd|creative commons attribution[ -]no[ -]?deriv\w*)(?:[ -][1-4]\.0)?", "c"),
-    ("cc-by-nc", r"(?:the )?(?:cc[ -]by[ -]nc|creative commons attribution[ -]non[ -]?commercial)(?![ -](?:sa|nd|share|no))(?:[ -][1-4]\.0)?", "c"),
-    ("cc-by-nc-sa", r"(?:the )?(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike)(?:[ -][1-4]\.0)?", "c"),
-    ("cc-by-nc-nd", r"(?:the )?(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv\w*)(?:[ -][1-4]\.0)?", "c"),
-    ("odbl", r"(?:the )?(?:open (?:data commons )?(?:open )?database|odbl)", "o"),
-    ("pddl", r"(?:the )?(?:public domain dedication and|pddl)", "d"),
-    ("ofl-1.1", r"(?:the )?(?:sil )?open font", "open font"),
+    ("cc0", r"(?:the )?(?:cc0|creative commons zero)(?: 1\.0)?", "cc0|creative"),
+    ("cc-by", r"(?:the )?(?:cc[ -]by|creative commons attribution)(?![ -](?:nc|sa|nd|non|share|no ))(?:[ -][1-4]\.0)?", "cc|creative"),
+    ("cc-by-sa", r"(?:the )?(?:cc[ -]by[ -]sa|creative commons attribution[ -]share[ -]?alike)(?:[ -][1-4]\.0)?", "cc|creative"),
+    ("cc-by-nd", r"(?:the )?(?:cc[ -]by[ -]nd|creative commons attribution[ -]no[ -]?deriv\w*)(?:[ -][1-4]\.0)?", "cc|creative"),
+    ("cc-by-nc", r"(?:the )?(?:cc[ -]by[ -]nc|creative commons attribution[ -]non[ -]?commercial)(?![ -](?:sa|nd|share|no))(?:[ -][1-4]\.0)?", "cc|creative"),
+    ("cc-by-nc-sa", r"(?:the )?(?:cc[ -]by[ -]nc[ -]sa|creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike)(?:[ -][1-4]\.0)?", "cc|creative"),
+    ("cc-by-nc-nd", r"(?:the )?(?:cc[ -]by[ -]nc[ -]nd|creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv\w*)(?:[ -][1-4]\.0)?", "cc|creative"),
+    ("odbl", r"(?:the )?(?:open (?:data commons )?(?:open )?database|odbl)", "odbl|database"),
+    ("pddl", r"(?:the )?(?:public domain dedication and|pddl)", "pddl|dedication"),
+    ("ofl-1.1", r"(?:the )?(?:sil )?open font", "font"),
     ("openssl", r"(?:the )?openssl", "openssl"),
-    ("osl-3", r"(?:the )?open software", "open software"),
+    ("osl-3", r"(?:the )?open software", "software"),
     ("afl-3", r"(?:the )?academic free", "academic"),
-    ("ms-pl", r"(?:the )?microsoft public|ms-pl", "m"),
-    ("ms-rl", r"(?:the )?microsoft reciprocal|ms-rl", "m"),
+    ("ms-pl", r"(?:the )?microsoft public|ms-pl", "ms-pl|microsoft"),
+    ("ms-rl", r"(?:the )?microsoft reciprocal|ms-rl", "ms-rl|microsoft"),
     ("ncsa", r"(?:the )?(?:university of illinois/)?ncsa", "ncsa"),
     ("upl-1", r"(?:the )?universal permissive", "universal"),
     ("w3c", r"(?:the )?w3c", "w3c"),
     ("beerware", r"(?:the )?beer-?ware", "beer"),
-    ("proprietary", r"(?:a |our )?(?:proprietary|commercial)", "r"),
+    ("proprietary", r"(?:a |our )?(?:proprietary|commercial)", "proprietary|commercial"),
 )
 
-#: How a license is granted: name of the way, expression with {} for the license's name, keyword, priority, score.
+#: How a license is granted: an expression with {} for the license's name; a cheap literal and an expression
+#: that a text must have before any rule of the kind is tried; priority; score.
 WAYS = (
-    ("tag", r"spdx-license-identifier:[ \t]*(?:{})(?:[ -]license)?\b", "spdx", 1, 1.0),
-    ("grant", r"\b(?:re)?(?:licensed|released|distributed|published|available|provided|issued) under (?:the terms of )?(?:{})(?:[ -]licen[sc]e)?(?!\w)", "under", 2, 0.95),
-    ("named", r"(?<!\w)(?:{})(?:[ -]licen[sc]e)(?!\w)", "licen", 3, 0.8),
-    ("field", r"\blicen[sc]e[\"']?[ \t]*[:=][ \t]*[\"']?(?:{})(?:[ -]licen[sc]e)?(?!\w)", "licen", 4, 0.7),
-    ("subject", r"\b(?:subject to|governed by|covered by|under the terms of) (?:{})(?:[ -]licen[sc]e)?(?!\w)", "y", 5, 0.6),
+    (r"spdx-license-identifier:[ \t]*(?:{})(?:[ -]license)?\b", "spdx", r"spdx-license-identifier:", 1, 1.0),
+    (r"\b(?:re)?(?:licensed|released|distributed|published|available|provided|issued) under (?:the terms of )?(?:{})(?:[ -]licen[sc]e)?(?!\w)", "under", r"(?:licensed|released|distributed|published|available|provided|issued) under\b", 2, 0.95),
+    (r"(?<!\w)(?:{})(?:[ -]licen[sc]e)(?!\w)", "licen", r"licen[sc]e", 3, 0.8),
+    (r"\blicen[sc]e[\"']?[ \t]*[:=][ \t]*[\"']?(?:{})(?:[ -]licen[sc]e)?(?!\w)", "licen", r"licen[sc]e[\"']?[ \t]*[:=]", 4, 0.7),
+    (r"\b(?:subject to|governed by|covered by|under the terms of) (?:{})(?:[ -]licen[sc]e)?(?!\w)", "e", r"\b(?:subject to|governed by|covered by|under the terms of)\b", 5, 0.6),
 )
 
-#: Detections that follow no license name.
+#: Detections that follow no license name: label, expression, a literal that it contains, priority, score.
 OTHERS = (
     ("gpl", r"\bgnu\.org/licenses/gpl\b", "gnu.org", 2, 0.9),
     ("apache-2", r"\bapache\.org/licenses/license-2\.0\b", "apache.org", 2, 0.9),
@@ -115,28 +117,40 @@ OTHERS = (
     ("cc-by-nc", r"\bcreativecommons\.org/licenses/by-nc/", "creativecommons", 2, 0.9),
     ("cc-by-sa", r"\bcreativecommons\.org/licenses/by-sa/", "creativecommons", 2, 0.9),
     ("cc0", r"\bcreativecommons\.org/publicdomain/zero/", "creativecommons", 2, 0.9),
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "hereby granted", 2, 0.95),
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "hereby", 2, 0.95),
     ("bsd", r"redistribution and use in source and binary forms", "redistribution", 3, 0.85),
-    ("gpl", r"this program is free software[:;] you can redistribute it", "free software", 3, 0.85),
-    ("public-domain", r"\b(?:is|are|placed|released|dedicated)(?: in| into| to)? the public domain\b", "public domain", 4, 0.6),
-    ("all-rights-reserved", r"\ball rights reserved\b", "all rights", 6, 0.3),
+    ("gpl", r"this program is free software[:;] you can redistribute it", "redistribute", 3, 0.85),
+    ("public-domain", r"\b(?:is|are|placed|released|dedicated)(?: in| into| to)? the public domain\b", "public", 4, 0.6),
+    ("all-rights-reserved", r"\ball rights reserved\b", "reserved", 6, 0.3),
 )
 
-#: A text without any of these meets no rule.
-GATES = ("licen", "spdx", "under", "subject to", "governed by", "covered by", "gnu.org", "apache.org", "opensource.org", "creativecommons", "hereby granted", "redistribution", "free software", "public domain", "all rights")
+#: Ways number 1 to len(WAYS); the rules without a name follow as one more.
+OTHER_WAY = len(WAYS) + 1
+
+
+def _loose(pattern: str) -> str:
+    return "(?i)" + pattern.replace("[ \\t]", "[\\x20\\t]").replace("[ -]", "[\\x20-]").replace(" ", r"\s+").replace("\\x20", " ")
 
 
 def rules() -> list[dict]:
     """Every rule, in order of priority."""
     made = [
-        {"p": priority, "score": score, "label": label, "gate": gate, "key": key, "re": "(?i)" + way.format(name).replace(" ", r"\s+")}
-        for _, way, gate, priority, score in WAYS
-        for label, name, key in NAMES
+        {"p": priority, "score": score, "label": label, "way": k, "keys": keys.split("|"), "re": _loose(way.format(name))}
+        for k, (way, _, _, priority, score) in enumerate(WAYS, 1)
+        for label, name, keys in NAMES
     ]
-    made += [{"p": p, "score": score, "label": label, "gate": key, "key": key, "re": "(?i)" + r.replace(" ", r"\s+")} for label, r, key, p, score in OTHERS]
+    made += [{"p": p, "score": score, "label": label, "way": OTHER_WAY, "keys": [key], "re": _loose(r)} for label, r, key, p, score in OTHERS]
     return [rule | {"n": n} for n, rule in enumerate(sorted(made, key=lambda r: r["p"]))]
 
 
+def _ways(text: Column, lowered: Column) -> Column:
+    """The ways that occur in a text, null if none does."""
+    named = [F.when(F.contains(lowered, F.lit(literal)) & text.rlike(_loose(gate)), k) for k, (_, literal, gate, _, _) in enumerate(WAYS, 1)]
+    other = F.when(F.array_max(F.array(*[F.contains(lowered, F.lit(key)) for key in sorted({x[2] for x in OTHERS})])), OTHER_WAY)
+    found = F.array_compact(F.array(*named, other))
+    return F.when(F.size(found) > 0, found)
+
+
 def base_pattern() -> str:
     phrases = "|".join(GAP.join(phrase.split()) for phrase, _ in BASE)
     return f"(?i)(?<!{WORD})(?:{phrases})(?!{WORD})"
@@ -146,15 +160,13 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{WORD}+"))
 
 
-_RULE = "array<struct<p:int,score:double,label:string,gate:string,key:string,re:string,n:int>>"
-_HIT = "struct<s:int,e:int,p:int,n:int,score:double,label:string>"
-_STATE = f"struct<open:array<struct<e:int,p:int,n:int>>,labels:array<string>,score:double>"
+_RULE = "array<struct<p:int,score:double,label:string,way:int,keys:array<string>,re:string,n:int>>"
 
 
-def detections(text: Column, lowered: Column) -> Column:
+def detections(text: Column, lowered: Column, ways: Column) -> Column:
     """Labels and best score of the rules' detections in a text, after suppression: struct(labels, score)."""
     table = F.from_json(F.lit(json.dumps(rules())), _RULE)
-    tried = F.filter(table, lambda r: F.contains(lowered, r["gate"]) & F.contains(lowered, r["key"]))
+    tried = F.filter(table, lambda r: F.array_contains(ways, r["way"]) & F.exists(r["keys"], lambda k: F.contains(lowered, k)))
     hits = F.flatten(
         F.transform(
             tried,
@@ -187,11 +199,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text, low = F.col("text"), F.lower(F.col("text"))
     pattern = F.lit(base_pattern())
-    gated = plain.select(
+    gated = plain.select("doc_id", "text", _ways(text, low).alias("ways")).select(
         "doc_id",
         n_words(text).cast("long").alias("n_words"),
         F.when(F.contains(low, F.lit("license")) | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("nc"))), F.regexp_extract_all(text, pattern, F.lit(0))).alias("found"),
-        F.when(F.array_max(F.array(*[F.contains(low, F.lit(g)) for g in GATES])), detections(text, low)).alias("hits"),
+        F.when(F.col("ways").isNotNull(), detections(text, low, F.col("ways"))).alias("hits"),
         "text",
     )
     n_base = F.coalesce(F.size("found"), F.lit(0))
