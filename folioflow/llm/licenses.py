@@ -1,8 +1,8 @@
 r"""Operator 10: license scans by ordered signature rules, in native expressions only.
 
-A rule is a regular expression with a label, a priority and a score, and keywords. Rules are grouped by
-the way a license is granted; a text is first searched for the ways, and a rule is tried only where its
-way occurs and one of its keywords does, so most texts meet no rule at all. All detections of a text
+A rule is a regular expression with a label, a priority and a score, and keywords. A text is
+searched for the literals that matches must contain, and a rule is tried only in the surroundings of such
+a literal that hold one of its own and one of its keywords. Most texts meet no rule at all. All detections of a text
 are sorted by place; one that lies inside another of better priority is suppressed ("GPL" inside "GNU
 Affero General Public License, version 3 (AGPL)", "license: MIT" inside an SPDX line). The labels of
 what is left, and of the base phrases, are the text's labels.
@@ -17,6 +17,7 @@ texts give equal values; a null doc_id stays; an empty table gives no row. Other
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.native import spans
 
 #: A word character once A-Z are lower-cased, and what stands between words.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[\p{Alnum}[^\x00-\x7F]]"
+GAP = r"[\x00-\x7F&&[^\p{Alnum}]]+"
 
 #: Base phrases and their labels (fixed values).
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -98,14 +99,14 @@ NAMES = (
     ("proprietary", r"(?:a |our )?(?:proprietary|commercial)", "proprietary|commercial"),
 )
 
-#: How a license is granted: an expression with {} for the license's name; a cheap literal and an expression
-#: that a text must have before any rule of the kind is tried; priority; score.
+#: How a license is granted: an expression with {} for the license's name, literals of which any match contains one,
+#: priority, score.
 WAYS = (
-    (r"spdx-license-identifier:[ \t]*(?:{})(?:[ -]license)?\b", "spdx", r"spdx-license-identifier:", 1, 1.0),
-    (r"\b(?:re)?(?:licensed|released|distributed|published|available|provided|issued) under (?:the terms of )?(?:{})(?:[ -]licen[sc]e)?(?!\w)", "under", r"(?:licensed|released|distributed|published|available|provided|issued) under\b", 2, 0.95),
-    (r"(?<!\w)(?:{})(?:[ -]licen[sc]e)(?!\w)", "licen", r"licen[sc]e", 3, 0.8),
-    (r"\blicen[sc]e[\"']?[ \t]*[:=][ \t]*[\"']?(?:{})(?:[ -]licen[sc]e)?(?!\w)", "licen", r"licen[sc]e[\"']?[ \t]*[:=]", 4, 0.7),
-    (r"\b(?:subject to|governed by|covered by|under the terms of) (?:{})(?:[ -]licen[sc]e)?(?!\w)", "e", r"\b(?:subject to|governed by|covered by|under the terms of)\b", 5, 0.6),
+    (r"spdx-license-identifier:[ \t]*(?:{})(?:[ -]license)?\b", "spdx", 1, 1.0),
+    (r"\b(?:re)?(?:licensed|released|distributed|published|available|provided|issued) under (?:the terms of )?(?:{})(?:[ -]licen[sc]e)?(?!\w)", "licensed|released|distributed|published|available|provided|issued", 2, 0.95),
+    (r"(?<!\w)(?:{})(?:[ -]licen[sc]e)(?!\w)", "license|licence", 3, 0.8),
+    (r"\blicen[sc]e[\"']?[ \t]*[:=][ \t]*[\"']?(?:{})(?:[ -]licen[sc]e)?(?!\w)", "license|licence", 4, 0.7),
+    (r"\b(?:subject to|governed by|covered by|under the terms of) (?:{})(?:[ -]licen[sc]e)?(?!\w)", "subject|governed|covered|terms", 5, 0.6),
 )
 
 #: Detections that follow no license name: label, expression, a literal that it contains, priority, score.
@@ -124,8 +125,8 @@ OTHERS = (
     ("all-rights-reserved", r"\ball rights reserved\b", "reserved", 6, 0.3),
 )
 
-#: Ways number 1 to len(WAYS); the rules without a name follow as one more.
-OTHER_WAY = len(WAYS) + 1
+#: A rule sees this many code points before and after a literal of its own.
+REACH = 240
 
 
 def _loose(pattern: str) -> str:
@@ -133,22 +134,42 @@ def _loose(pattern: str) -> str:
 
 
 def rules() -> list[dict]:
-    """Every rule, in order of priority."""
+    """Every rule, in order of priority. A match contains one of its ``gates`` and one of its ``keys``."""
     made = [
-        {"p": priority, "score": score, "label": label, "way": k, "keys": keys.split("|"), "re": _loose(way.format(name))}
-        for k, (way, _, _, priority, score) in enumerate(WAYS, 1)
+        {"p": priority, "score": score, "label": label, "gates": gates.split("|"), "keys": keys.split("|"), "re": _loose(way.format(name))}
+        for way, gates, priority, score in WAYS
         for label, name, keys in NAMES
     ]
-    made += [{"p": p, "score": score, "label": label, "way": OTHER_WAY, "keys": [key], "re": _loose(r)} for label, r, key, p, score in OTHERS]
+    made += [{"p": p, "score": score, "label": label, "gates": [key], "keys": [key], "re": _loose(r)} for label, r, key, p, score in OTHERS]
     return [rule | {"n": n} for n, rule in enumerate(sorted(made, key=lambda r: r["p"]))]
 
 
-def _ways(text: Column, lowered: Column) -> Column:
-    """The ways that occur in a text, null if none does."""
-    named = [F.when(F.contains(lowered, F.lit(literal)) & text.rlike(_loose(gate)), k) for k, (_, literal, gate, _, _) in enumerate(WAYS, 1)]
-    other = F.when(F.array_max(F.array(*[F.contains(lowered, F.lit(key)) for key in sorted({x[2] for x in OTHERS})])), OTHER_WAY)
-    found = F.array_compact(F.array(*named, other))
-    return F.when(F.size(found) > 0, found)
+def _literals() -> list[str]:
+    return sorted({gate for rule in rules() for gate in rule["gates"]})
+
+
+def _gated(lowered: Column) -> Column:
+    """Does a lower-case text hold any rule's literal?"""
+    found = F.lit(False)
+    for literal in _literals():
+        found = found | F.contains(lowered, F.lit(literal))
+    return found
+
+
+def _windows(text: Column) -> Column:
+    """Places (s, e) around the rules' literals, merged where they meet."""
+    anchor = F.lit("(?i)" + "|".join(re.escape(x) for x in _literals()))
+    around = F.transform(spans(text, anchor), lambda x: F.struct(F.greatest(x["s"] - REACH, F.lit(0)).alias("s"), (x["e"] + REACH).alias("e")))
+    kind = "array<struct<s:int,e:int>>"
+
+    def step(state: Column, x: Column) -> Column:
+        meets = x["s"] <= state["last"]["e"]
+        longer = F.struct(state["done"].alias("done"), F.struct(state["last"]["s"].alias("s"), x["e"].alias("e")).alias("last"))
+        fresh = F.struct(F.array_append(state["done"], state["last"]).alias("done"), x.alias("last"))
+        return F.when(meets, longer).otherwise(fresh)
+
+    zero = F.struct(F.array().cast(kind).alias("done"), F.element_at(around, 1).alias("last"))
+    return F.when(F.size(around) > 0, F.aggregate(F.slice(around, F.lit(2), F.greatest(F.size(around) - 1, F.lit(0))), zero, step, lambda s: F.array_append(s["done"], s["last"]))).otherwise(F.array().cast(kind))
 
 
 def base_pattern() -> str:
@@ -160,22 +181,29 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{WORD}+"))
 
 
-_RULE = "array<struct<p:int,score:double,label:string,way:int,keys:array<string>,re:string,n:int>>"
+_RULE = "array<struct<p:int,score:double,label:string,gates:array<string>,keys:array<string>,re:string,n:int>>"
 
 
-def detections(text: Column, lowered: Column, ways: Column) -> Column:
+def detections(text: Column) -> Column:
     """Labels and best score of the rules' detections in a text, after suppression: struct(labels, score)."""
     table = F.from_json(F.lit(json.dumps(rules())), _RULE)
-    tried = F.filter(table, lambda r: F.array_contains(ways, r["way"]) & F.exists(r["keys"], lambda k: F.contains(lowered, k)))
-    hits = F.flatten(
-        F.transform(
-            tried,
-            lambda r: F.transform(
-                spans(text, r["re"]),
-                lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), r["p"].alias("p"), r["n"].alias("n"), r["score"].alias("score"), r["label"].alias("label")),
-            ),
+
+    def in_window(w: Column) -> Column:
+        part = F.substr(text, w["s"] + 1, w["e"] - w["s"])
+        low = F.lower(part)
+        has = lambda words: F.exists(words, lambda k: F.contains(low, k))
+        tried = F.filter(table, lambda r: has(r["gates"]) & has(r["keys"]))
+        return F.flatten(
+            F.transform(
+                tried,
+                lambda r: F.transform(
+                    spans(part, r["re"]),
+                    lambda x: F.struct((x["s"] + w["s"]).alias("s"), (-x["e"] - w["s"]).alias("e"), r["p"].alias("p"), r["n"].alias("n"), r["score"].alias("score"), r["label"].alias("label")),
+                ),
+            )
         )
-    )
+
+    hits = F.flatten(F.transform(_windows(text), in_window))
 
     def step(state: Column, x: Column) -> Column:
         # e is kept negative, so that of two hits with one start the longer comes first.
@@ -199,11 +227,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text, low = F.col("text"), F.lower(F.col("text"))
     pattern = F.lit(base_pattern())
-    gated = plain.select("doc_id", "text", _ways(text, low).alias("ways")).select(
+    gated = plain.select(
         "doc_id",
         n_words(text).cast("long").alias("n_words"),
         F.when(F.contains(low, F.lit("license")) | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("nc"))), F.regexp_extract_all(text, pattern, F.lit(0))).alias("found"),
-        F.when(F.col("ways").isNotNull(), detections(text, low, F.col("ways"))).alias("hits"),
+        F.when(_gated(low), detections(text)).alias("hits"),
         "text",
     )
     n_base = F.coalesce(F.size("found"), F.lit(0))
