@@ -134,21 +134,28 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, window: int = WINDOW, min
     holders = base.filter(F.col("text").isNotNull())
     mentions = holders.select("same", "text", F.explode(F.concat(*[F.transform(k, lambda x, k=k: F.struct(F.concat(F.lit(f"{k}:"), x["v"]).alias("entity"), x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS])).alias("x"))
     mentions = mentions.select("same", F.col("x")["entity"].alias("entity"), _neighbours(F.col("text"), F.col("x"), window).alias("terms"))
-    met = mentions.select("entity", "same", F.explode("terms").alias("term")).distinct()
-    pairs = materialise(met.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_support), "pairs")
+    met = materialise(mentions.select("entity", "same", F.explode("terms").alias("term")).distinct(), "met")
     entities = mentions.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # One number, that of distinct texts, goes into every row.
+    texts = F.lit(base.agg(F.count_distinct("same").alias("texts")).first()["texts"])
+
+    def disclosure(with_term: Column) -> Column:
+        p_entity = F.col("with_entity") / texts
+        p_given = F.least(F.col("together") / with_term, F.lit(1.0))
+        return F.when(F.col("with_entity") < texts, F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(0.0)
+
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_support)
+    # A term stands in as many texts at least as it stands near entities in; a pair that fails even so needs no count over the corpus.
+    near = met.select("term", "same").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    pairs = pairs.join(entities, "entity").join(near, "term").filter(disclosure(F.col("near")) >= generalise_from).drop("near")
+    pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select("term").distinct(), "terms")
     words = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         F.xxhash64("text").alias("same"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))).alias("term")
     )
     frequency = words.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    texts = base.agg(F.count_distinct("same").alias("texts"))
-    # One row, the number of texts, is attached to every pair.
-    scored = pairs.join(entities, "entity").join(frequency, "term").withColumn("texts", F.lit(texts.first()["texts"]))
-    p_entity = F.col("with_entity") / F.col("texts")
-    p_given = F.least(F.col("together") / F.col("with_term"), F.lit(1.0))
-    known = F.when(F.col("with_entity") < F.col("texts"), F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(0.0)
-    return materialise(scored.select("entity", "term", known.alias("disclosure")).filter(F.col("disclosure") >= generalise_from), "disclosing")
+    scored = pairs.join(frequency, "term").select("entity", "term", disclosure(F.col("with_term")).alias("disclosure"))
+    return materialise(scored.filter(F.col("disclosure") >= generalise_from), "disclosing")
 
 
 def term_spans(base: DataFrame, terms: DataFrame, remove_from: float = REMOVE_FROM) -> DataFrame:
