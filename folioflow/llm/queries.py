@@ -88,3 +88,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.langid import language_id
 
     return language_id(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept rows of near-duplicate embeddings."""
+    from folioflow.llm.embeddings import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
