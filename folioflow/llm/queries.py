@@ -96,3 +96,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.embeddings import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word shingles overlap."""
+    from folioflow.llm.ngram_join import join
+
+    return join(documents(spark, sf_dir))
