@@ -104,6 +104,18 @@ def _listed(kind: Column | str, found: Column) -> Column:
     return F.transform(found, lambda x: F.concat_ws(":", kind, x["s"], x["e"]))
 
 
+def _listed_terms(kind: str) -> Column:
+    return F.transform(F.filter("terms", lambda x: x["kind"] == kind), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"]))
+
+
+def _entities(kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(F.concat(F.lit(f"{kind}:"), x["v"]).alias("entity"), x["s"].alias("s"), x["e"].alias("e")))
+
+
+def _tagged(kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind")))
+
+
 def find_base(docs: DataFrame) -> DataFrame:
     """doc_id, the base spans by kind, ``key`` (equal for equal texts that hold spans, unlike otherwise), ``same`` and the text where it holds spans."""
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -132,7 +144,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, window: int = WINDOW, min
     """(entity, term, disclosure) of the terms that reveal an entity of the corpus by at least ``generalise_from``."""
     spark = docs.sparkSession
     holders = base.filter(F.col("text").isNotNull())
-    mentions = holders.select("same", "text", F.explode(F.concat(*[F.transform(k, lambda x, k=k: F.struct(F.concat(F.lit(f"{k}:"), x["v"]).alias("entity"), x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS])).alias("x"))
+    mentions = holders.select("same", "text", F.explode(F.concat(*map(_entities, KINDS))).alias("x"))
     mentions = mentions.select("same", F.col("x")["entity"].alias("entity"), _neighbours(F.col("text"), F.col("x"), window).alias("terms"))
     met = materialise(mentions.select("entity", "same", F.explode("terms").alias("term")).distinct(), "met")
     entities = mentions.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
@@ -161,7 +173,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, window: int = WINDOW, min
 def term_spans(base: DataFrame, terms: DataFrame, remove_from: float = REMOVE_FROM) -> DataFrame:
     """key -> spans (s, e, kind) of the revealing terms in the texts that hold the entities they reveal."""
     holders = base.filter(F.col("text").isNotNull()).dropDuplicates(["key"])
-    held = holders.select("key", F.explode(F.array_distinct(F.concat(*[F.transform(k, lambda x, k=k: F.concat(F.lit(f"{k}:"), x["v"])) for k in KINDS]))).alias("entity"))
+    held = holders.select("key", F.explode(F.array_distinct(F.transform(F.concat(*map(_entities, KINDS)), lambda x: x["entity"]))).alias("entity"))
     by_text = held.join(terms, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
     # The term is looked up in the text's words; the text goes along once per revealing term, of which there are few.
     placed = by_text.join(holders.select("key", "text"), "key").select("key", "term", "disclosure", F.explode(spans(F.lower("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("term"), F.lit(r"\E(?![\p{L}\p{N}])")))).alias("x"))
@@ -176,7 +188,7 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     extra = term_spans(base, disclosing_terms(docs, base, **thresholds), remove_from)
     everything = F.array_join(F.concat(*[_listed(k, F.col(k)) for k in KINDS]), ",")
     rows = base.select("doc_id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], everything.alias("listed")).join(extra, "key", "left")
-    added = F.coalesce(F.array_join(F.concat(*[F.transform(F.filter("terms", lambda x, k=k: x["kind"] == k), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])) for k in (TERM, DROPPED)]), ","), F.lit(""))
+    added = F.coalesce(F.array_join(F.concat(*map(_listed_terms, (TERM, DROPPED))), ","), F.lit(""))
     return rows.select(
         "doc_id",
         *[f"n_{k}" for k in KINDS],
@@ -199,19 +211,20 @@ def redact(text: Column, found: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
-    """``docs`` with personal data replaced in the text column; all other columns and rows stay as they are."""
+    """``docs`` with personal data replaced in the text column (and ``n_chars``, if there, brought up to date); all else stays."""
     remove_from = thresholds.pop("remove_from", REMOVE_FROM)
     plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = materialise(find_base(plain), "pii")
     extra = term_spans(base, disclosing_terms(plain, base, **thresholds), remove_from)
     holders = base.filter(F.col("text").isNotNull()).dropDuplicates(["key"]).join(extra, "key", "left")
-    every = F.concat(*[F.transform(k, lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("kind"))) for k in KINDS], F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,kind:string>>")))
+    every = F.concat(*map(_tagged, KINDS), F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,kind:string>>")))
     clean = holders.select(F.col("key").alias("__key"), redact(F.col("text"), F.array_sort(every)).alias("__clean"))
     # Only texts that hold a base span can change; the others pass by the join.
     return _replaced(docs, clean, text)
 
 
 def _replaced(docs: DataFrame, clean: DataFrame, text: str) -> DataFrame:
-    key = F.concat(F.md5(F.col(text)), F.lit(""))
-    out = docs.withColumn("__key", key).join(clean, "__key", "left")
+    out = docs.withColumn("__key", F.md5(F.col(text))).join(clean, "__key", "left")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast(docs.schema["n_chars"].dataType)))
     return out.withColumn(text, F.coalesce("__clean", F.col(text))).select(docs.columns)

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import chunks
 from folioflow.llm.words import code_points, kinds, mix64, powers, word_hashes
 
-POSITIVES = 6000
-UNLABELLED = 18000
+POSITIVES = 4000
+UNLABELLED = 12000
 MIN_TEXTS = 3
 #: Chance of one feature or more entering by accident, by which the bound on the log-likelihood ratio is set.
 SIGNIFICANCE = 0.05
