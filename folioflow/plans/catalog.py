@@ -1,10 +1,250 @@
-"""Registered queries over the reference's operators, with their oracle SQL."""
+"""Registered queries over the document operators. Their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow import settings as S
+from folioflow.functions import cleanup
+from folioflow.functions import text as T
+from folioflow.operators import conversion, ocr, phrases, reports
+from folioflow.plans import inputs, oracle
+from folioflow.session import table
+from folioflow.sources import manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE = oracle.SQL
+
+
+def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def _kind(doc_id) -> F.Column:
+    return F.element_at(F.array(*[F.lit(k) for k in inputs.KINDS]), (doc_id % 4 + 1).cast("int"))
+
+
+@query
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters by language and quality."""
+    judged = inputs.altered(spark, sf_dir).withColumn("q", T.quality(F.col("text"), _kind(F.col("doc_id"))))
+    return judged.groupBy("lang", F.col("q.status").alias("quality_status"), F.col("q.warning").alias("warning")).agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def letter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of letters, Cyrillic letters, words, single letters and replacement characters."""
+    text = F.col("text")
+    counts = {"letters": T.letters(text), "cyrillic": T.cyrillic(text), "words": T.words(text), "singles": T.singles(text), "replacements": T.replacements(text)}
+    return inputs.altered(spark, sf_dir).select("doc_id", *[c.cast("long").alias(n) for n, c in counts.items()])
+
+
+@query
+def page_ocr_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages need recognition."""
+    text = T.strip(T.newlines(F.col("page_text")))
+    return inputs.pages(inputs.altered(spark, sf_dir)).select("doc_id", F.col("page_index").cast("long").alias("page_index"), T.needs_ocr(F.col("page_text")).alias("needs_ocr"), T.bad_layer(text).alias("bad_layer"))
+
+
+@query
+def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of documents by their pages; every ninth has no page at all."""
+    docs = inputs.altered(spark, sf_dir)
+    ext = F.when(F.col("doc_id") % 13 == 0, ".docx").when(F.col("doc_id") % 17 == 0, ".odt").otherwise(".PDF")
+    files = docs.select("doc_id", ext.alias("ext"))
+    return conversion.document_kinds(files, inputs.pages(docs.filter("doc_id % 9 <> 0"))).select("doc_id", "doc_type", *_long("page_count"))
+
+
+@query
+def page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reviewer should know of a recognised page."""
+    cut = inputs.pages(inputs.altered(spark, sf_dir))
+    sure = F.when((F.col("doc_id") + F.col("page_index")) % 10 != 0, ((F.col("doc_id") * 31 + F.col("page_index") * 17) % 101).cast("double"))
+    return cut.select("doc_id", F.col("page_index").cast("long").alias("page_index"), T.page_warning(F.col("page_text"), F.lit("ocr"), sure, True).alias("warning"))
+
+
+@query
+def bad_russian_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that look unlike Russian."""
+    return inputs.altered(spark, sf_dir).select("doc_id", T.bad_russian(F.col("text")).alias("bad"))
+
+
+@query
+def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part of C12: words broken at line ends."""
+    return inputs.marked_up(spark, sf_dir).select("doc_id", F.md5(cleanup.dehyphenate(F.col("text"))).alias("digest"))
+
+
+@query
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page-number lines and structural lines."""
+    lines = inputs.marked_up(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    flags = lines.select("doc_id", cleanup.is_page_number(F.col("line")).alias("n"), cleanup.is_structural(F.col("line")).alias("s"))
+    return flags.groupBy("doc_id").agg(F.count_if("n").alias("page_numbers"), F.count_if("s").alias("structural"), F.count("*").alias("lines"))
+
+
+@query
+def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole clean-up."""
+    return inputs.marked_up(spark, sf_dir).select("doc_id", F.md5(cleanup.clean_markdown(F.col("text"))).alias("digest"))
+
+
+@query
+def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of word tables."""
+    words = ocr.word_table(inputs.word_tables(table(spark, sf_dir, "documents", "doc_id", "text")), ["doc_id"])
+    return ocr.recognised_lines(words, ["doc_id"]).select("doc_id", F.col("line_num").cast("long").alias("line_num"), "line")
+
+
+@query
+def tsv_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean confidence of word tables."""
+    words = ocr.word_table(inputs.word_tables(table(spark, sf_dir, "documents", "doc_id", "text")), ["doc_id"])
+    sure = ocr.confidence(F.col("conf"))
+    return words.groupBy("doc_id").agg(F.sum(sure).alias("total"), F.count(sure).alias("words"))
+
+
+@query
+def attempt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the whole matrix of attempts."""
+    tried = inputs.attempts(inputs.altered(spark, sf_dir).filter("doc_id % 5 = 0"))
+    text = T.strip(F.col("text"))
+    score = ocr.raw_score(text, F.col("confidence")) + ocr.psm_bonus(F.col("psm"))
+    return tried.select("doc_id", *_long("attempt_no"), F.floor(score * 100 + 0.5).cast("long").alias("hundredths"))
+
+
+@query
+def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best attempt, with the early stop."""
+    tried = inputs.attempts(inputs.altered(spark, sf_dir)).withColumn("score", F.col("confidence") + F.length("text") % 7)
+    best = ocr.best_attempts(tried, ["doc_id", "page_index"], 9)
+    return best.select("doc_id", *_long("attempt_no", "attempt_count"))
+
+
+@query
+def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under headings, in order."""
+    made = conversion.text_layer(inputs.pages(inputs.altered(spark, sf_dir)), S.Settings())
+    return made.select("doc_id", F.md5("markdown").alias("digest"), T.page_number(F.col("markdown")).cast("long").alias("first_page"))
+
+
+@query
+def document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, G6, G13 and the order of status rules."""
+    rows = inputs.results(spark, sf_dir)
+    return rows.select("doc_id", "doc_type", "method", "status", "warning", "quality_status", *_long("page_count", "char_count", "replacement_count", "text_page_count", "ocr_page_count", "blank_page_count"))
+
+
+@query
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a run."""
+    return reports.run_totals(inputs.results(spark, sf_dir)).withColumn("mean_confidence", F.floor(F.col("mean_confidence")).cast("long"))
+
+
+@query
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report tells of each file."""
+    rows = reports.file_rows(inputs.results(spark, sf_dir))
+    return rows.select("doc_id", "status", "quality_status", *_long("page_warnings", "ocr_page_count"), F.floor("mean_confidence").cast("long").alias("mean_confidence"))
+
+
+@query
+def review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to review."""
+    return reports.review_list(inputs.results(spark, sf_dir)).select("doc_id", *_long("page_index"), "place", "warning")
+
+
+@query
+def page_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of every page."""
+    return reports.page_lines(inputs.results(spark, sf_dir)).select("doc_id", *_long("page_index"), "line")
+
+
+@query
+def problem_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: notes on documents that need a look."""
+    return reports.problem_notes(inputs.results(spark, sf_dir))
+
+
+@query
+def combined_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of every document's section in the combined text."""
+    sections = reports.document_sections(inputs.results(spark, sf_dir))
+    return sections.select("doc_index", F.substring_index("section", "\n", 11).alias("head"))
+
+
+@query
+def phrase_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts hold which phrases."""
+    wanted = ["the that", "and the of", "mit license", "tionre thand", "quality of des", "ing"]
+    found = phrases.phrase_recall(table(spark, sf_dir, "documents", "doc_id", "text"), wanted)
+    return found.select("doc_id", *_long("total", "found"), F.array_join("missing", "|").alias("missing"))
+
+
+@query
+def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages asked for that are not there."""
+    there = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("eng"))).otherwise(F.array(F.col("lang"), F.lit("rus")))
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang")
+    return docs.select("doc_id", F.array_join(conversion.missing_languages(S.Settings(), there), ",").alias("missing"))
+
+
+@query
+def skip_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A2, H1: which files of a folder are documents to convert."""
+    doc = F.col("doc_id")
+    folders = F.array(*[F.lit(x) for x in ("docs", "build", "markdown_result_1", ".converter_x", "Build", "runtime", "benchmark_result_2", "a")])
+    names = F.array(*[F.lit(x) for x in ("x.pdf", "~$x.docx", "B.PDF", "c.Docx", "_n.docx", "d.txt", ".h.pdf")])
+    paths = table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.element_at(folders, (doc % 8 + 1).cast("int")).alias("folder"), F.element_at(names, (doc % 7 + 1).cast("int")).alias("name"))
+    return paths.select("doc_id", manifest.wanted(F.col("name"), F.array("folder")).alias("wanted"))
+
+
+@query
+def output_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output names before they are made unique."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    stem = F.substr("text", F.lit(1), F.lit(12))
+    odd = F.concat(F.lit(" ."), F.translate(stem, "aeo", ':*"'), F.lit(". "))
+    return docs.select("doc_id", manifest.output_stem(F.array(F.lit("sub")), odd).alias("stem"), T.file_safe(odd, runs=True).alias("part"))
+
+
+@query
+def docx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of DOCX runs and table cells."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    rough = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(" \t| ")), F.lit("\n"), F.lit("  \r\n "))
+    return docs.select("doc_id", F.md5(T.docx_text(rough)).alias("run"), F.md5(T.table_cell(rough)).alias("cell"))
+
+
+@query
+def first_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several converters that gave text."""
+    doc = F.col("doc_id")
+    a = F.when(doc % 3 == 0, F.col("text")).otherwise(" \n ")
+    b = F.when(doc % 4 == 0, F.col("text"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", conversion.first_text(a, b, F.when(doc % 5 == 0, "x")).cast("long").alias("converter"))
+
+
+@query
+def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers read back out of a report."""
+    doc = F.col("doc_id")
+    report = F.concat(F.lit("- символов извлечено: "), doc.cast("string"), F.lit("\n- страниц OCR: "), F.when(doc % 3 == 0, "x").otherwise("12"), F.lit("\n- средняя уверенность OCR: "), (doc % 90).cast("string"), F.lit(",5\n"))
+    got = phrases.report_metrics(report)
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", got["extracted_chars"].cast("long").alias("chars"), got["ocr_pages"].cast("long").alias("ocr_pages"), got["review_pages"].cast("long").alias("review_pages"), got["average_confidence"].alias("confidence"))
+
+
+@query
+def benchmark_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does a benchmark run pass?"""
+    docs = table(spark, sf_dir, "documents", "doc_id", "n_chars")
+    modes = docs.groupBy(F.when(F.col("doc_id") % 2 == 0, "standard").otherwise("max").alias("mode")).agg(F.max("n_chars").alias("phrase_found"), (F.count("*") > 0).alias("passed"), F.lit(True).alias("russian_passed"))
+    return phrases.verdict(modes)
