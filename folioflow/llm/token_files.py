@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import chunks, scratch
+from folioflow.llm.common import CHUNK_CHARS, chunks, scratch
 
 MAGIC = b"FFEF0001"
 #: Ids after which a file is closed at the next document.
@@ -160,7 +160,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
             held = nulls = 0
 
         bpe = encoder(vocabulary)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", min(CHUNK_CHARS, file_ids)):
             found, bounds = bpe.encode(batch.column("text").to_pylist())
             closed = np.insert(found, bounds[1:], end_id).astype(found.dtype)
             column = batch.column("doc_id")

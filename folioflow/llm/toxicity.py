@@ -91,7 +91,7 @@ class Model:
             known = self.words[at] == hashes
             pairs = np.unique(rows[known] * len(self.words) + at[known])
             z += np.bincount(pairs // len(self.words), weights=self.weights[pairs % len(self.words)], minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def _ratio(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
