@@ -456,3 +456,15 @@ def test_toxicity_without_labels(spark):
     assert {r["score"] for r in toxicity.toxicity(docs, none).collect()} == {0.0}
     assert toxicity.keep_clean(docs, none).count() == len(ODD_TEXTS) + 1
     assert toxicity.keep_clean(empty(spark), none).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_oracle(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        c.execute(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, "/root/testdata/sf0.001"), c.sql(queries.ORACLE[name])
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    assert sorted(map(str, ours.select(*theirs.columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, theirs.df().itertuples(index=False, name=None)))
