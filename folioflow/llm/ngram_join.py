@@ -11,16 +11,16 @@ smallest of them, and links make groups of similar nodes. This pass is linear an
 such that linked nodes are of the same or of neighbouring classes; for each level of two classes let k be
 the largest symmetric difference that linked sets can have. The shingles are dealt by hash into k + 1 + x
 buckets; k differences touch k buckets at most, so 1 + x buckets at least are equal, and a bucket's content
-is a token. (Empty buckets make no token, unless a node has more than x of them; then each does.) A row of
-the matrix is a token, its columns the groups whose union of tokens holds it: the distinct pairs
-(token, group). A token with one group alone has nothing left to tell. For the others, a node of the
-smaller group is a query against the blocks of the larger one: by the union of a block's shingles its
-overlap with any member is bounded, and only blocks whose bound reaches the threshold are opened and
-compared member by member.
+is a token. (Empty buckets make no token, unless a node has more than x of them; then each does.) A token
+that stands in one group alone has nothing left to tell. Nodes with the other tokens are partitioned into
+blocks of alike ones; a column of the matrix is a block with the union of its tokens. Two blocks meet if
+they share a token. There every node of the one is a query: by the union of the other's shingles its overlap
+with any member is bounded, and only queries whose bound reaches the threshold are compared with the
+members. Links, thinned to a spanning forest, are all that a pair of blocks returns.
 
-So large sets of near copies are settled by the first pass in linear time, collapse to one column, and
-their pairs are never listed. All steps are joins and aggregations with map-side partial sums; only
-shingling runs in Python.
+So large sets of near copies are settled by the first pass in linear time and collapse to one group, and
+pairs of nodes are never listed. The rest are joins and aggregations with map-side partial sums;
+shingling and comparing blocks run in numpy.
 
 Defined results: a text without words is empty and links with nothing, as does a null text; with fewer
 words than a shingle has, the whole sequence is the one shingle; a row with null doc_id links with
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import chunks, materialise
+from folioflow.llm.common import chunks, materialise, ragged
 from folioflow.llm.components import components
 from folioflow.llm.words import code_points, mix64, word_hashes
 
@@ -45,8 +45,8 @@ WORDS = 3
 #: Intersection * UNITS[1] >= UNITS[0] * union.
 UNITS = (90, 100)
 KEYS = 3
-#: Nodes in a block of a group.
-BLOCK = 64
+#: About how many nodes a block has at most.
+BLOCK = 128
 _SALTS = mix64(np.arange(1, 2 * KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -228,31 +228,105 @@ def group_links(docs: DataFrame, sketched: DataFrame, words: int, units: tuple[i
     return materialise(linked(pairs, sets_of(docs, sketched, wanted, words), units), "group-links")
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Numbers of the edges of a spanning forest of the edges (a, b) over n places."""
+    root, out = list(range(n)), []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def block_links(queries: list[int], members: list[int], sets: list[np.ndarray], groups: np.ndarray, units: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of the links between queries and members of unlike groups.
+
+    A query is opened only if its overlap with the union of the members' sets reaches what a link needs.
+    """
+    postings = np.concatenate([sets[m] for m in members])
+    owner = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
+    order = np.argsort(postings, kind="stable")
+    postings, owner = postings[order], owner[order]
+    sizes, places = np.array([len(sets[m]) for m in members]), np.array(members)
+    left, right = [], []
+    for q in queries:
+        own = sets[q]
+        first, last = np.searchsorted(postings, own, side="left"), np.searchsorted(postings, own, side="right")
+        counts = last - first
+        if np.count_nonzero(counts) * units[1] < len(own) * units[0]:
+            continue
+        overlap = np.bincount(owner[ragged(first, counts)], minlength=len(members))
+        hit = (overlap * units[1] >= (len(own) + sizes - overlap) * units[0]) & (groups[places] != groups[q])
+        left.append(np.full(int(hit.sum()), q))
+        right.append(places[hit])
+    empty = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
+
+
+def pair_links(dealt: DataFrame, units: tuple[int, int]) -> DataFrame:
+    """Links (u, v) found in pairs of blocks, of rows (a, b, side, node, grp, set); of each pair a spanning forest."""
+
+    def one(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        node, groups, side = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "grp", "side"))
+        lists = table.column("set").combine_chunks()
+        cuts, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        sets = [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        first = np.flatnonzero(side == 0).tolist()
+        second = np.flatnonzero(side == 1).tolist() or first
+        u, v = block_links(first, second, sets, groups, units)
+        if not len(u):
+            return None
+        tree = _roots(len(node), u, v)
+        return pa.RecordBatch.from_arrays([pa.array(node[u[tree]]), pa.array(node[v[tree]])], names=["u", "v"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([np.asarray(batch.column(c)) for c in ("a", "b")])
+            cuts = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                mark = tuple(marks[:, x].tolist())
+                if mark != last and held:
+                    out = one(held)
+                    if out is not None:
+                        yield out
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = mark
+        if held and (out := one(held)) is not None:
+            yield out
+
+    ordered = dealt.repartition("a", "b").sortWithinPartitions("a", "b")
+    return ordered.mapInArrow(task, "u long, v long")
+
+
 def matrix_links(docs: DataFrame, sketched: DataFrame, groups: DataFrame, words: int, units: tuple[int, int], block: int = BLOCK) -> DataFrame:
     """Second pass: links between nodes of unlike groups that the token-group matrix does not rule out."""
     grouped = sketched.filter("n > 0").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
     entries = grouped.select("grp", "node", F.explode("tokens").alias("token"))
-    shared = entries.groupBy("token").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("token")
+    shared = entries.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token", F.col("x").alias("hub"))
     cells = materialise(entries.join(shared.hint("shuffle_hash"), "token").distinct(), "cells")
-    # Members of the groups that meet, in blocks; the larger group is the one whose blocks are bounded.
-    members = grouped.select("grp", "node").distinct().join(cells.select("grp").distinct(), "grp", "left_semi")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("members"))
-    blocks = members.join(sizes, "grp").select("grp", "node", "members", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block)).alias("blk"))
-    blocks = materialise(blocks, "blocks")
-    columns = cells.select("token", "grp").distinct().join(sizes, "grp")
-    met = columns.select("token", F.col("grp").alias("ga"), F.col("members").alias("ma")).join(columns.select("token", F.col("grp").alias("gb"), F.col("members").alias("mb")), "token")
-    smaller = (F.col("ma") < F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("ga") < F.col("gb")))
-    met = met.filter(smaller).select("token", "ga", "gb")
-    queries = materialise(met.join(cells.select("token", F.col("grp").alias("ga"), F.col("node").alias("u")), ["token", "ga"]).select("u", "gb").distinct(), "queries")
-    wanted = queries.select(F.col("u").alias("node")).union(blocks.join(queries.select(F.col("gb").alias("grp")).distinct(), "grp", "left_semi").select("node")).distinct()
-    sets = sets_of(docs, sketched, wanted, words)
-    unions = blocks.join(sets, "node").select("grp", "blk", F.explode("set").alias("x")).distinct()
-    unions = unions.groupBy("grp", "blk").agg(F.collect_list("x").alias("union"))
-    asked = queries.join(sets.select(F.col("node").alias("u"), F.col("n"), F.col("set")), "u").join(unions, queries["gb"] == unions["grp"])
-    # The overlap with the union bounds the overlap with any member; a link needs this share of the query at least.
-    opened = asked.filter(_overlap(F.col("set"), F.col("union")) * units[1] >= F.col("n") * units[0]).select("u", "grp", "blk")
-    pairs = materialise(opened.join(blocks, ["grp", "blk"]).select("u", F.col("node").alias("v")), "opened")
-    return linked(pairs, sets, units)
+    # Nodes that meet the same hub are alike; they go into the same blocks, whatever their groups.
+    families = cells.groupBy("node", "grp").agg(F.min("hub").alias("family"))
+    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block))
+    blocks = materialise(families.join(sizes, "family").select("node", "grp", F.xxhash64("family", part).alias("blk")), "blocks")
+    columns = materialise(cells.join(blocks.select("node", "blk"), "node").select("token", "blk").distinct(), "columns")
+    pairs = columns.select("token", F.col("blk").alias("a")).join(columns.select("token", F.col("blk").alias("b")), "token").filter("a <= b").select("a", "b").distinct()
+    pairs = materialise(pairs, "pairs")
+    sets = sets_of(docs, sketched, blocks.select("node"), words).select("node", "set")
+    filled = blocks.join(sets, "node")
+    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("blk", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
+    return materialise(pair_links(sides.join(filled, "blk").select("a", "b", "side", "node", "grp", "set"), units), "matrix-links")
 
 
 def join(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS) -> DataFrame:
