@@ -27,8 +27,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    return keep_one(docs)
+    """One document, that of the smallest doc_id, of each group of near copies: five words, a similarity of 0.8 or more."""
+    return keep_one(docs, words=5, units=(80, 100))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
