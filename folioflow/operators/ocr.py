@@ -53,17 +53,27 @@ def recognised_text(words: DataFrame, keys: list[str]) -> DataFrame:
     return texts.join(sure, keys)
 
 
-def raw_score(text: Column, sure: Column) -> Column:
-    """How good a recognised text (normalised) looks, unrounded."""
+def measures(text: Column) -> dict[str, Column]:
+    """What a score needs to know of a recognised text (normalised), whatever the attempt."""
+    return {"chars": F.length(text), "words": T.words(text), "cyrillic": T.cyrillic_share(text), "replacements": T.replacements(text), "singles": T.single_share(text)}
+
+
+def measured_score(of: dict[str, Column], sure: Column) -> Column:
+    """How good a recognised text of these measures looks, unrounded."""
     value = (
-        F.least(F.length(text), F.lit(2500)) * 0.03
-        + T.words(text) * 0.8
+        F.least(of["chars"], F.lit(2500)) * 0.03
+        + of["words"] * 0.8
         + F.coalesce(sure, F.lit(0.0)) * 2.0
-        + T.cyrillic_share(text) * 35.0
-        - T.replacements(text) * 8.0
-        - T.single_share(text) * 40.0
+        + of["cyrillic"] * 35.0
+        - of["replacements"] * 8.0
+        - of["singles"] * 40.0
     )
-    return F.when(text == "", 0.0).otherwise(value)
+    return F.when(of["chars"] == 0, 0.0).otherwise(value)
+
+
+def raw_score(text: Column, sure: Column) -> Column:
+    """How good a recognised text (normalised) looks, unrounded."""
+    return measured_score(measures(text), sure)
 
 
 def psm_bonus(psm: Column) -> Column:

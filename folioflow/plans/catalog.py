@@ -114,13 +114,23 @@ def tsv_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def attempt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the whole matrix of attempts."""
+    """Scores of the matrix of attempts, for the beginnings of every fifth text; ``attempt_scores_whole`` has all."""
     tried = inputs.attempts(inputs.altered(spark, sf_dir).filter("doc_id % 5 = 0"))
     text = T.strip(F.col("text"))
     score = ocr.raw_score(text, F.col("confidence")) + ocr.psm_bonus(F.col("psm"))
     return tried.select("doc_id", *_long("attempt_no"), F.floor(score * 100 + 0.5).cast("long").alias("hundredths"))
 
 
+@query
+def attempt_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the whole matrix of attempts, for all documents and whole texts; a text is measured once."""
+    docs = inputs.altered(spark, sf_dir).select("doc_id", T.strip(F.col("text")).alias("text"))
+    known = ocr.measures(F.col("text"))
+    tried = inputs.sure_attempts(docs.select("doc_id", *[c.alias(n) for n, c in known.items()]))
+    score = ocr.measured_score({n: F.col(n) for n in known}, F.col("confidence")) + ocr.psm_bonus(F.col("psm"))
+    return tried.select("doc_id", *_long("attempt_no"), F.floor(score * 100 + 0.5).cast("long").alias("hundredths"))
+
+
 @query
 def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best attempt, with the early stop."""

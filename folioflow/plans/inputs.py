@@ -40,15 +40,20 @@ def pages(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.posexplode(cut).alias("at", "page_text")).select("doc_id", (F.col("at") + 1).alias("page_index"), "page_text")
 
 
-def attempts(docs: DataFrame) -> DataFrame:
-    """doc_id, page_index and the matrix of attempts with made-up confidences and texts of unlike lengths."""
+def sure_attempts(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, page_index and the matrix of attempts with made-up confidences."""
     from folioflow.operators.ocr import attempt_matrix
 
     settings = S.Settings()
-    tried = attempt_matrix(docs.select("doc_id", F.lit(1).alias("page_index"), "text"), settings)
+    tried = attempt_matrix(docs.select("*", F.lit(1).alias("page_index")), settings)
     number = F.array_position(F.array(*[F.lit(v) for v in settings.variants]), F.col("variant"))
     sure = ((F.col("doc_id") * 31 + F.col("dpi") * 7 + F.col("psm") * 13 + number * 17) % 101).cast("double")
-    return tried.withColumn("confidence", sure).withColumn("text", F.substr("text", F.lit(1), 300 + (F.col("attempt_no") * 37) % 400))
+    return tried.withColumn("confidence", sure)
+
+
+def attempts(docs: DataFrame) -> DataFrame:
+    """doc_id, page_index and the matrix of attempts with made-up confidences and the beginnings of texts, of unlike lengths."""
+    return sure_attempts(docs.select("doc_id", "text")).withColumn("text", F.substr("text", F.lit(1), 300 + (F.col("attempt_no") * 37) % 400))
 
 
 def word_tables(docs: DataFrame) -> DataFrame:

@@ -74,6 +74,8 @@ r AS (SELECT *, CASE WHEN qw = '' THEN 'норма' ELSE 'проверить' EN
 TRIED = f"""{ALTERED},
 mx AS (SELECT row_number() OVER (ORDER BY di, vi, pi) AS attempt_no, dpi, vi, psm FROM (VALUES (1, 300), (2, 250), (3, 216)) x(di, dpi), (VALUES (1), (2), (3)) y(vi), (VALUES (1, 6), (2, 4), (3, 11)) z(pi, psm)),
 t AS (SELECT doc_id, attempt_no, psm, ((doc_id * 31 + dpi * 7 + psm * 13 + vi * 17) % 101)::DOUBLE AS sure, substr(text, 1, (300 + (attempt_no * 37) % 400)::BIGINT) AS text FROM d, mx)"""
+MATRIX = """mx AS (SELECT row_number() OVER (ORDER BY di, vi, pi) AS attempt_no, dpi, vi, psm FROM (VALUES (1, 300), (2, 250), (3, 216)) x(di, dpi), (VALUES (1), (2), (3)) y(vi), (VALUES (1, 6), (2, 4), (3, 11)) z(pi, psm))"""
+ATTEMPT_SURE = "((doc_id * 31 + dpi * 7 + psm * 13 + vi * 17) % 101)::DOUBLE"
 _PHRASES = ("the that", "and the of", "mit license", "tionre thand", "quality of des", "ing")
 
 
@@ -118,6 +120,10 @@ SELECT doc_id, md5({_strip(r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'
     "attempt_scores": f"""WITH {TRIED}, s AS (SELECT doc_id, attempt_no, psm, sure, {_strip('text')} AS st FROM t WHERE doc_id % 5 = 0)
 SELECT doc_id, attempt_no, floor(((CASE WHEN st = '' THEN 0.0::DOUBLE ELSE least(length(st), 2500) * 0.03::DOUBLE + {_runs('st', '>= 2')} * 0.8::DOUBLE + sure * 2.0::DOUBLE + {_cyr('st')} * 35.0::DOUBLE - {_repl('st')} * 8.0::DOUBLE - {_single('st')} * 40.0::DOUBLE END)
  + CASE psm WHEN 6 THEN 8.0::DOUBLE WHEN 4 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 + 0.5)::BIGINT AS hundredths FROM s""",
+    "attempt_scores_whole": f"""WITH {ALTERED}, {MATRIX}, s AS (SELECT doc_id, {_strip('text')} AS st FROM d),
+o AS MATERIALIZED (SELECT doc_id, st = '' AS none, least(length(st), 2500) AS n, {_runs('st', '>= 2')} AS w, {_cyr('st')} AS c, {_repl('st')} AS r, {_single('st')} AS g FROM s)
+SELECT doc_id, attempt_no, floor(((CASE WHEN none THEN 0.0::DOUBLE ELSE n * 0.03::DOUBLE + w * 0.8::DOUBLE + {ATTEMPT_SURE} * 2.0::DOUBLE + c * 35.0::DOUBLE - r * 8.0::DOUBLE - g * 40.0::DOUBLE END)
+ + CASE psm WHEN 6 THEN 8.0::DOUBLE WHEN 4 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 + 0.5)::BIGINT AS hundredths FROM o, mx""",
     "best_attempt": f"""WITH {TRIED}, s AS (SELECT doc_id, attempt_no, sure, length(text) AS n, sure + length(text) % 7 AS score FROM t),
 g AS (SELECT *, max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS top, coalesce(max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM s),
 bs AS (SELECT doc_id, attempt_no, max(CASE WHEN score > before THEN attempt_no END) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS best FROM g),
