@@ -133,12 +133,20 @@ def attempt_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best attempt, with the early stop."""
+    """The best attempt, with the early stop, by the beginnings of texts; ``best_attempt_whole`` has whole texts."""
     tried = inputs.attempts(inputs.altered(spark, sf_dir)).withColumn("score", F.col("confidence") + F.length("text") % 7)
     best = ocr.best_attempts(tried, ["doc_id", "page_index"], 9)
     return best.select("doc_id", *_long("attempt_no", "attempt_count"))
 
 
+@query
+def best_attempt_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best attempt, with the early stop, by whole texts."""
+    tried = inputs.whole_attempts(inputs.altered(spark, sf_dir)).withColumn("score", F.col("confidence") + F.length("text") % 7)
+    best = ocr.best_attempts(tried, ["doc_id", "page_index"], 9)
+    return best.select("doc_id", *_long("attempt_no", "attempt_count"))
+
+
 @query
 def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages under headings, in order."""

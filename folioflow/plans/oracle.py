@@ -129,6 +129,12 @@ g AS (SELECT *, max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS top
 bs AS (SELECT doc_id, attempt_no, max(CASE WHEN score > before THEN attempt_no END) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS best FROM g),
 j AS (SELECT bs.doc_id, bs.attempt_no, bs.best, s.sure, s.n FROM bs JOIN s ON s.doc_id = bs.doc_id AND s.attempt_no = bs.best),
 e AS (SELECT doc_id, coalesce(min(CASE WHEN attempt_no >= 9 AND sure >= 88 AND n >= 400 THEN attempt_no END), 27) AS attempt_count FROM j GROUP BY doc_id)
+SELECT e.doc_id, j.best AS attempt_no, e.attempt_count FROM e JOIN j ON j.doc_id = e.doc_id AND j.attempt_no = e.attempt_count""",
+    "best_attempt_whole": f"""WITH {ALTERED}, {MATRIX}, t AS (SELECT doc_id, attempt_no, {ATTEMPT_SURE} AS sure, (length(text) + attempt_no * 37 % 400)::BIGINT AS n FROM d, mx), s AS (SELECT *, sure + n % 7 AS score FROM t),
+g AS (SELECT *, coalesce(max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM s),
+bs AS (SELECT doc_id, attempt_no, max(CASE WHEN score > before THEN attempt_no END) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS best FROM g),
+j AS (SELECT bs.doc_id, bs.attempt_no, bs.best, s.sure, s.n FROM bs JOIN s ON s.doc_id = bs.doc_id AND s.attempt_no = bs.best),
+e AS (SELECT doc_id, coalesce(min(CASE WHEN attempt_no >= 9 AND sure >= 88 AND n >= 400 THEN attempt_no END), 27) AS attempt_count FROM j GROUP BY doc_id)
 SELECT e.doc_id, j.best AS attempt_no, e.attempt_count FROM e JOIN j ON j.doc_id = e.doc_id AND j.attempt_no = e.attempt_count""",
     "assemble_pages": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, page_index, {_strip('page_text')} AS st FROM p)
 SELECT doc_id, md5(string_agg('## Страница ' || page_index || chr(10) || chr(10) || st, chr(10) || chr(10) ORDER BY page_index)) AS digest, min(page_index) AS first_page FROM s WHERE st <> '' GROUP BY doc_id""",

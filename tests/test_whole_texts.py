@@ -45,3 +45,19 @@ def test_attempts_of_all_documents_are_scored_by_their_whole_text(spark, folder)
     expected = {(d, n): score(t.strip(), sure(d, *s), s[2]) * 100 for d, t in texts.items() for n, s in enumerate(SETTINGS, 1)}
     assert got.keys() == expected.keys() and max(map(len, texts.values())) > 2500
     assert all(abs(got[k] - expected[k]) <= 0.51 for k in got)
+
+
+def test_the_search_stops_by_the_length_of_whole_texts(spark, folder):
+    path, texts = folder
+    expected = {}
+    for d, text in texts.items():
+        best = None
+        for n, s in enumerate(SETTINGS, 1):
+            confidence, chars = sure(d, *s), len(text) + n * 37 % 400
+            if best is None or confidence + chars % 7 > best[0]:
+                best = (confidence + chars % 7, confidence, chars, n)
+            if n >= 9 and best[1] >= 88 and best[2] >= 400:
+                break
+        expected[d] = (best[3], n)
+    whole, cut = ({r["doc_id"]: (r["attempt_no"], r["attempt_count"]) for r in QUERIES[q](spark, path).collect()} for q in ("best_attempt_whole", "best_attempt"))
+    assert whole == expected and cut != expected
