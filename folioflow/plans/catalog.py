@@ -194,11 +194,18 @@ def problem_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def combined_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of every document's section in the combined text."""
+    """The head of every document's section in the combined text; ``combined_sections`` has whole sections."""
     sections = reports.document_sections(inputs.results(spark, sf_dir))
     return sections.select("doc_index", F.substring_index("section", "\n", 11).alias("head"))
 
 
+@query
+def combined_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole section of every document in the combined text, as its digest and length."""
+    sections = reports.document_sections(inputs.results(spark, sf_dir))
+    return sections.select("doc_index", F.md5("section").alias("digest"), F.length("section").cast("long").alias("chars"))
+
+
 @query
 def phrase_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts hold which phrases."""

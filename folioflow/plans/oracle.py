@@ -148,6 +148,13 @@ SELECT doc_id, md5(string_agg('## Страница ' || page_index || chr(10) ||
  || ', замечание: ' || CASE WHEN note = '' THEN 'нет' ELSE note END AS line FROM e""",
     "problem_notes": f"""WITH {STATUS} SELECT doc_id, array_to_string(['# Требует проверки: doc_' || doc_id || '.pdf', '', '- Исходный файл: `/in/doc_' || doc_id || '.pdf`', '- Тип: ' || doc_type, '- Метод: ' || method, '- Статус: ' || status, '- Предупреждение: ' || CASE WHEN warning = '' THEN 'нет' ELSE warning END, '- Ошибка: нет', '', 'Проверьте исходный документ вручную, особенно если это бумажный скан.', ''], chr(10)) AS note FROM r WHERE status <> 'успешно'""",
     "combined_markdown": f"""WITH {STATUS} SELECT doc_id + 1 AS doc_index, array_to_string(['', '', '---', '', '# Документ ' || (doc_id + 1) || ': doc_' || doc_id || '.pdf', '', '- Тип: ' || doc_type, '- Метод: ' || method, '- Статус: ' || status, '- Качество: ' || quality_status, '- Исходный файл: `/in/doc_' || doc_id || '.pdf`'], chr(10)) AS head FROM r""",
+    "combined_sections": rf"""WITH {STATUS}, hy AS (SELECT doc_id, regexp_replace({HYPHEN.replace('text', _strip('text'))}, '[ \t]+', ' ', 'g') AS t FROM r),
+ln AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}), lambda x: NOT regexp_matches(x, '^(?i)(стр\.?|страница)\s*[0-9]{{1,3}}(\s*из\s*[0-9]{{1,3}})?$')) AS k FROM hy),
+fo AS (SELECT doc_id, {FOLD} AS s FROM ln),
+jo AS (SELECT doc_id, array_to_string(s.o || CASE WHEN s.p <> '' THEN [s.p] ELSE []::VARCHAR[] END, chr(10)) AS t FROM fo),
+cl AS (SELECT doc_id, {_strip(r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')")} AS body FROM jo),
+sec AS (SELECT r.doc_id, array_to_string(['', '', '---', '', '# Документ ' || (r.doc_id + 1) || ': doc_' || r.doc_id || '.pdf', '', '- Тип: ' || doc_type, '- Метод: ' || method, '- Статус: ' || status, '- Качество: ' || quality_status, '- Исходный файл: `/in/doc_' || r.doc_id || '.pdf`', '- Границы страниц: обычный режим', '', CASE WHEN body = '' THEN {_strip('r.text')} ELSE body END], chr(10)) AS section FROM r JOIN cl USING (doc_id))
+SELECT doc_id + 1 AS doc_index, md5(section) AS digest, length(section) AS chars FROM sec""",
     "phrase_presence": f"""WITH f AS (SELECT doc_id, trim(regexp_replace(upper(text), '[^0-9{L}]+', ' ', 'g')) AS f FROM documents), m AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN {_present(p)} THEN NULL ELSE '{p}' END" for p in _PHRASES)}], lambda x: x IS NOT NULL) AS missing FROM f)
 SELECT doc_id, {len(_PHRASES)}::BIGINT AS total, {len(_PHRASES)} - len(missing) AS found, array_to_string(missing, '|') AS missing FROM m""",
     "missing_languages": """SELECT doc_id, array_to_string(list_filter(['rus', 'eng'], lambda x: NOT list_contains(CASE WHEN doc_id % 2 = 0 THEN ['eng'] ELSE [lang, 'rus'] END, x)), ',') AS missing FROM documents""",

@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from folioflow.operators import reports
 from folioflow.plans.catalog import QUERIES
 
 SETTINGS = [(dpi, v, psm) for dpi in (300, 250, 216) for v in (1, 2, 3) for psm in (6, 4, 11)]
@@ -61,3 +63,14 @@ def test_the_search_stops_by_the_length_of_whole_texts(spark, folder):
         expected[d] = (best[3], n)
     whole, cut = ({r["doc_id"]: (r["attempt_no"], r["attempt_count"]) for r in QUERIES[q](spark, path).collect()} for q in ("best_attempt_whole", "best_attempt"))
     assert whole == expected and cut != expected
+
+
+def test_a_changed_body_changes_the_combined_section(spark, folder, monkeypatch):
+    path, texts = folder
+    sections = lambda q: {r["doc_index"]: tuple(r) for r in QUERIES[q](spark, path).collect()}
+    whole, heads = sections("combined_sections"), sections("combined_markdown")
+    assert whole.keys() == {d + 1 for d in texts} and whole[21][2] > len(texts[20].strip())
+    made = reports.document_sections
+    monkeypatch.setattr(reports, "document_sections", lambda results, *more: made(results.withColumn("clean_markdown", F.lit("")), *more))
+    assert sections("combined_markdown") == heads
+    assert all(sections("combined_sections")[k] != whole[k] for k in whole)
