@@ -22,6 +22,8 @@ MAIN = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 BODY = "word/document.xml"
 NOTES = (("word/footnotes.xml", "Сноски"), ("word/endnotes.xml", "Концевые сноски"))
+NO_TEXT = "Встроенное чтение DOCX не извлекло текст."
+PICTURES_HEAD = "## Текст из изображений DOCX"
 BLOCKS = "doc_id long, seq int, kind string, text string, error string"
 
 
@@ -97,7 +99,7 @@ def read_blocks(data: bytes) -> list[tuple[str, str]]:
         for part, title in NOTES:
             found += notes(archive, part, title)
     if not found:
-        raise ValueError("Встроенное чтение DOCX не извлекло текст.")
+        raise ValueError(NO_TEXT)
     return found
 
 
@@ -153,8 +155,12 @@ def docx_pictures(files: DataFrame) -> DataFrame:
                 try:
                     targets = picture_targets(data)
                     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                        rows += [(doc_id, n, t, archive.read(t)) for n, t in enumerate(targets, 1)]
-                except zipfile.BadZipFile:
+                        for n, target in enumerate(targets, 1):
+                            try:
+                                rows.append((doc_id, n, target, archive.read(target)))
+                            except Exception:  # a broken picture must not stop the others
+                                continue
+                except Exception:  # a file that cannot be read has no pictures
                     continue
             yield pd.DataFrame(rows, columns=["doc_id", "number", "target", "content"])
 
@@ -167,6 +173,15 @@ def docx_text(block_rows: DataFrame) -> DataFrame:
     return block_rows.groupBy("doc_id").agg(joined.alias("raw_text"), F.max("error").alias("error"))
 
 
+def with_pictures(texts: DataFrame, pictures: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, raw_text, error, ...) with the text of ``pictures`` (doc_id, blocks, page_report) at the end; a file that could not be read stays one."""
+    joined = texts.join(pictures, "doc_id", "left")
+    found = F.col("blocks").isNotNull() & F.col("error").isin("", NO_TEXT)
+    whole = F.concat_ws("\n\n", F.nullif(F.col("raw_text"), F.lit("")), F.lit(PICTURES_HEAD), F.array_join("blocks", "\n\n"))
+    report = F.when(found, F.col("page_report"))
+    return joined.withColumn("page_report", report).withColumn("raw_text", F.when(found, whole).otherwise(F.col("raw_text"))).withColumn("error", F.when(found, "").otherwise(F.col("error"))).drop("blocks")
+
+
 def picture_sections(recognised: DataFrame, least_letters: int = 20) -> DataFrame:
     """doc_id, page_index, block and text of recognised pictures (doc_id, number, text) with enough letters, numbered anew without gaps."""
     from pyspark.sql import Window

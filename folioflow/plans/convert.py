@@ -26,14 +26,31 @@ def convert_pages(files: DataFrame, pages: DataFrame, pdf: Callable, recogniser:
     blank = tried.filter("blank").select("doc_id", "page_index", F.lit("blank").alias("source"), F.lit("").alias("text"))
     keys = ["doc_id", "page_index", "attempt_no"]
     read = ocr.recognised_text(ocr.word_table(tried.filter("not blank"), keys), keys)
-    attempts = tried.filter("not blank").drop("tsv", "blank").join(read, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    attempts = tried.filter("not blank").drop("tsv", "blank").join(read, keys, "left").withColumn("text", F.coalesce("text", "plain", F.lit(""))).drop("plain")
     best = ocr.best_attempts(ocr.scored(attempts), ["doc_id", "page_index"], len(settings.variants) * len(settings.psm))
     best = best.withColumn("source", F.lit("ocr")).drop("attempt_no").withColumn("attempt_warning", F.lit(""))
     rows = best.unionByName(good, allowMissingColumns=True).unionByName(blank, allowMissingColumns=True)
     return conversion.assembled(conversion.page_entries(rows, settings))
 
 
-def convert_folder(spark: SparkSession, folder: str, settings: S.Settings, pdf: Callable = engines.Pdfium, recogniser: Callable | None = None, info: engines.EngineInfo | None = None) -> DataFrame:
+def convert_pictures(files: DataFrame, reader: Callable, recogniser: Callable, settings: S.Settings) -> DataFrame:
+    """doc_id, blocks and page_report of the embedded pictures with text of DOCX ``files`` (doc_id, content)."""
+    tried = engines.recognise_pictures(docx.docx_pictures(files), reader, recogniser, settings).persist()
+    keys = ["doc_id", "number", "attempt_no"]
+    read = ocr.recognised_text(ocr.word_table(tried, keys), keys)
+    attempts = tried.drop("tsv").join(read, keys, "left").withColumn("text", F.coalesce("text", "plain", F.lit(""))).drop("plain")
+    best = ocr.best_attempts(ocr.scored(attempts), ["doc_id", "number"], len(settings.variants) * len(settings.psm))
+    kept = docx.picture_sections(best.withColumn("source", F.lit("ocr")).withColumn("attempt_warning", F.lit(""))).persist()
+    entries = conversion.page_entries(kept, settings).select("doc_id", "page_index", F.col("entry").withField("source", F.lit("docx-image")).alias("entry"))
+    rows = F.array_sort(F.collect_list(F.struct("page_index", "block", "entry")))
+    found = kept.select("doc_id", "page_index", "block").join(entries, ["doc_id", "page_index"]).groupBy("doc_id").agg(rows.alias("rows"))
+    return found.select("doc_id", F.col("rows.block").alias("blocks"), F.col("rows.entry").alias("page_report"))
+
+
+def convert_folder(
+    spark: SparkSession, folder: str, settings: S.Settings, pdf: Callable = engines.Pdfium, recogniser: Callable | None = None, info: engines.EngineInfo | None = None,
+    pictures: Callable = engines.Pillow, converter: Callable = engines.third_party_markdown,
+) -> DataFrame:
     """Results of all documents of a folder, with doc_index, name, source, output_name and clean_markdown."""
     info = info if info is not None else engines.probe(settings)
     files = manifest.manifest(spark, folder)
@@ -42,19 +59,28 @@ def convert_folder(spark: SparkSession, folder: str, settings: S.Settings, pdf:
     pdfs = data.join(files.filter(~is_docx).select("doc_id"), "doc_id", "left_semi")
     pages = engines.pdf_pages(pdfs, pdf).persist()
     kinds = conversion.document_kinds(files, pages)
-    blocks = docx.docx_blocks(data.join(files.filter(is_docx).select("doc_id"), "doc_id", "left_semi"))
-    by_blocks = docx.docx_text(blocks).withColumn("method", F.lit(S.DOCX_METHOD))
+    docx_files = data.join(files.filter(is_docx).select("doc_id"), "doc_id", "left_semi")
+    own = docx.docx_text(docx.docx_blocks(docx_files)).withColumn("method", F.lit(S.DOCX_METHOD))
+    own = own.withColumn("page_report", F.lit(None).cast(conversion.NO_REPORT))
     layer = conversion.text_layer(pages, settings).select("doc_id", F.col("markdown").alias("raw_text"), F.lit(S.LAYER_METHOD).alias("method"), F.lit("").alias("error"))
     scans = kinds.filter(F.col("doc_type").isin(S.SCAN, S.MIXED)).select("doc_id")
     if recogniser is not None and info.path:
+        own = docx.with_pictures(own.drop("page_report"), convert_pictures(docx_files, pictures, recogniser, settings))
         paged = convert_pages(pdfs, pages.join(scans, "doc_id", "left_semi"), pdf, recogniser, settings)
         paged = paged.select("doc_id", F.col("markdown").alias("raw_text"), F.lit(S.PAGEWISE).alias("method"), F.lit("").alias("error"), "page_report")
-        layer = layer.join(paged.filter("raw_text <> ''").select("doc_id"), "doc_id", "left_anti")
-        by_blocks = by_blocks.unionByName(paged.filter("raw_text <> ''"), allowMissingColumns=True)
-    read = by_blocks.unionByName(layer, allowMissingColumns=True)
-    if "page_report" not in read.columns:
-        read = read.withColumn("page_report", F.lit(None).cast(conversion.NO_REPORT))
-    joined = kinds.join(read, "doc_id", "left").withColumn("method", F.coalesce("method", F.lit("")))
+        own = own.unionByName(paged.filter("raw_text <> ''"))
+    own = own.unionByName(layer.join(scans, "doc_id", "left_anti"), allowMissingColumns=True).persist()
+    lacking = kinds.select("doc_id", "ext", "doc_type").join(own.filter(T.strip(F.col("raw_text")) != "").select("doc_id"), "doc_id", "left_anti")
+    others = engines.other_converters(lacking.join(data.select("doc_id", "content"), "doc_id"), converter).persist()
+    # A scan's text layer is the last resort.
+    late = layer.join(scans, "doc_id", "left_semi").select("doc_id", F.col("raw_text").alias("layer_text"))
+    joined = kinds.join(own, "doc_id", "left").join(others, "doc_id", "left").join(late, "doc_id", "left")
+    mine, other, last = (T.strip(F.coalesce(F.col(c), F.lit(""))) != "" for c in ("raw_text", "other_text", "layer_text"))
+    told = F.concat_ws("; ", F.when(F.col("error") != "", F.concat("method", F.lit(": "), "error")), F.nullif(F.col("other_error"), F.lit("")))
+    joined = joined.select(
+        *kinds.columns, "page_report", F.when(mine, F.col("raw_text")).when(other, F.col("other_text")).when(last, F.col("layer_text")).alias("raw_text"),
+        F.when(mine, F.col("method")).when(other, F.col("other_method")).when(last, S.LAYER_METHOD).otherwise("").alias("method"), F.when(mine | other | last, "").otherwise(told).alias("error"),
+    )
     named = joined.withColumn("doc_index", F.col("doc_id") + 1).withColumn("source", F.col("path"))
     return conversion.with_status(named, settings, info.path, list(info.languages))
 

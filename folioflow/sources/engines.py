@@ -36,6 +36,12 @@ class PdfEngine(Protocol):
 class OcrEngine(Protocol):
     def table(self, image: np.ndarray, psm: int) -> str: ...
 
+    def text(self, image: np.ndarray, psm: int) -> str: ...
+
+
+class PictureEngine(Protocol):
+    def grey(self, content: bytes) -> np.ndarray: ...
+
 
 @dataclass
 class FakePdf:
@@ -52,13 +58,43 @@ class FakePdf:
 
 @dataclass
 class FakeOcr:
-    """Gives a fixed word table."""
+    """Gives a fixed word table, and a fixed text in text mode."""
 
     answer: str = ""
+    plain: str = ""
 
     def table(self, image: np.ndarray, psm: int) -> str:
         return self.answer
 
+    def text(self, image: np.ndarray, psm: int) -> str:
+        return self.plain
+
+
+@dataclass
+class FakePictures:
+    """Every picture is the same; a file of b"broken" is none."""
+
+    picture: np.ndarray = field(default_factory=lambda: np.zeros((400, 400), dtype=np.uint8))
+
+    def grey(self, content: bytes) -> np.ndarray:
+        if content == b"broken":
+            raise ValueError("no picture")
+        return self.picture
+
+
+class Pillow:
+    """Embedded pictures in grey, by Pillow."""
+
+    def grey(self, content: bytes) -> np.ndarray:
+        if not find_spec("PIL"):
+            raise EngineMissing("PIL")
+        import io
+
+        from PIL import Image
+
+        Image.MAX_IMAGE_PIXELS = S.MAX_IMAGE_PIXELS
+        return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
+
 
 class Pdfium:
     """Text layers and pictures of PDF pages by PDFium."""
@@ -88,10 +124,17 @@ class Tesseract:
 
     def table(self, image: np.ndarray, psm: int) -> str:
         """A word table, or an empty text if the program fails."""
+        return self._ask(image, psm, TABLE_TIMEOUT, "-c", "tessedit_create_tsv=1")
+
+    def text(self, image: np.ndarray, psm: int) -> str:
+        """Plain text, or an empty one if the program fails."""
+        return self._ask(image, psm, TEXT_TIMEOUT)
+
+    def _ask(self, image: np.ndarray, psm: int, timeout: int, *options: str) -> str:
         header = f"P5 {image.shape[1]} {image.shape[0]} 255\n".encode()
         where = ["--tessdata-dir", self.data] if self.data else []
-        command = [self.path, "stdin", "stdout", *where, "-l", self.languages, "--psm", str(psm), "-c", "tessedit_create_tsv=1"]
-        done = subprocess.run(command, input=header + np.ascontiguousarray(image, dtype=np.uint8).tobytes(), capture_output=True, timeout=TABLE_TIMEOUT)
+        command = [self.path, "stdin", "stdout", *where, "-l", self.languages, "--psm", str(psm), *options]
+        done = subprocess.run(command, input=header + np.ascontiguousarray(image, dtype=np.uint8).tobytes(), capture_output=True, timeout=timeout)
         return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else ""
 
 
@@ -184,11 +227,31 @@ def pdf_pages(files: DataFrame, engine: Callable[[], PdfEngine]) -> DataFrame:
                     texts = reader.page_texts(content)
                 except Exception:
                     texts = []
-                yield pd.DataFrame({"doc_id": [doc_id] * len(texts), "page_index": range(1, len(texts) + 1), "page_text": texts})
+                if texts:
+                    yield pd.DataFrame({"doc_id": [doc_id] * len(texts), "page_index": range(1, len(texts) + 1), "page_text": texts})
 
     return files.select("doc_id", "content").mapInPandas(read, "doc_id long, page_index int, page_text string")
 
 
+def has_words(tsv: str) -> bool:
+    """Does a word table hold any word?"""
+    lines = [x.split("\t") for x in tsv.splitlines() if x.strip()]
+    if not lines or not {"block_num", "par_num", "line_num", "conf", "text"} <= set(lines[0]):
+        return False
+    at = lines[0].index("text")
+    return any(len(x) > at and x[at].strip() for x in lines[1:])
+
+
+def _attempts(image: np.ndarray, dpi: int, number: int, recogniser: OcrEngine, settings: S.Settings) -> Iterator[tuple]:
+    """attempt_no, dpi, variant, psm, tsv and plain of the attempts at one picture; text mode is tried where the table is without words."""
+    for variant in settings.variants:
+        shown = image_variant(image, variant)
+        for psm in settings.psm:
+            number += 1
+            tsv = recogniser.table(shown, psm)
+            yield number, dpi, variant, psm, tsv, "" if has_words(tsv) else recogniser.text(shown, psm)
+
+
 def recognise(pages: DataFrame, pdf: Callable[[], PdfEngine], ocr: Callable[[], OcrEngine], settings: S.Settings) -> DataFrame:
     """Word tables of the attempts at ``pages`` (doc_id, page_index, content), and ``blank`` for pages that look empty.
 
@@ -198,20 +261,58 @@ def recognise(pages: DataFrame, pdf: Callable[[], PdfEngine], ocr: Callable[[],
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, recogniser = pdf(), ocr()
-        names = ["doc_id", "page_index", "attempt_no", "dpi", "variant", "psm", "blank", "tsv"]
+        names = ["doc_id", "page_index", "attempt_no", "dpi", "variant", "psm", "blank", "tsv", "plain"]
         for batch in batches:
             for doc_id, page, content in zip(batch["doc_id"], batch["page_index"], batch["content"], strict=True):
-                rows, number = [], 0
+                rows = []
                 for dpi in settings.dpi:
                     image = reader.render(content, page, dpi)
                     if not rows and is_blank(image):
-                        rows.append((doc_id, page, 0, dpi, "", 0, True, ""))
+                        rows.append((doc_id, page, 0, dpi, "", 0, True, "", ""))
                         break
-                    for variant in settings.variants:
-                        shown = image_variant(image, variant)
-                        for psm in settings.psm:
-                            number += 1
-                            rows.append((doc_id, page, number, dpi, variant, psm, False, recogniser.table(shown, psm)))
+                    tried = _attempts(image, dpi, len(rows), recogniser, settings)
+                    rows += [(doc_id, page, *setting, False, tsv, plain) for *setting, tsv, plain in tried]
                 yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("doc_id", "page_index", "content").mapInPandas(work, "doc_id long, page_index int, attempt_no int, dpi int, variant string, psm int, blank boolean, tsv string")
+    return pages.select("doc_id", "page_index", "content").mapInPandas(work, "doc_id long, page_index int, attempt_no int, dpi int, variant string, psm int, blank boolean, tsv string, plain string")
+
+
+def recognise_pictures(pictures: DataFrame, reader: Callable[[], PictureEngine], ocr: Callable[[], OcrEngine], settings: S.Settings) -> DataFrame:
+    """Word tables of the attempts at ``pictures`` (doc_id, number, content) that may hold text; pictures that cannot be read give no row."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opener, recogniser = reader(), ocr()
+        names = ["doc_id", "number", "attempt_no", "dpi", "variant", "psm", "tsv", "plain"]
+        for batch in batches:
+            for doc_id, number, content in zip(batch["doc_id"], batch["number"], batch["content"], strict=True):
+                try:
+                    image = opener.grey(content)
+                except Exception:  # a broken picture must not stop the others
+                    continue
+                if is_candidate(image):
+                    yield pd.DataFrame([(doc_id, number, *a) for a in _attempts(image, 0, 0, recogniser, settings)], columns=names)
+
+    return pictures.select("doc_id", "number", "content").mapInPandas(work, "doc_id long, number int, attempt_no int, dpi int, variant string, psm int, tsv string, plain string")
+
+
+def other_converters(files: DataFrame, convert: Callable[[bytes, str, str], str]) -> DataFrame:
+    """doc_id, other_text, other_method and other_error of ``files`` (doc_id, ext, doc_type, content): the first converter that gives text."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, ext, kind, content in zip(batch["doc_id"], batch["ext"], batch["doc_type"], batch["content"], strict=True):
+                docling = ("Docling OCR" if kind in (S.SCAN, S.MIXED) else "Docling", "docling")
+                chain = [("MarkItDown", "markitdown"), docling] if kind == S.DOCX else [docling, ("MarkItDown", "markitdown")]
+                text, method, errors = "", "", []
+                for method, engine in chain:
+                    try:
+                        text = convert(content, ext, engine) or ""
+                        if text.strip():
+                            break
+                        errors.append(f"{method}: пустой результат")
+                    except Exception as problem:
+                        errors.append(f"{method}: {problem}")
+                    text = ""
+                yield pd.DataFrame({"doc_id": [doc_id], "other_text": [text], "other_method": [method], "other_error": ["; ".join(errors)]})
+
+    return files.select("doc_id", "ext", "doc_type", "content").mapInPandas(work, "doc_id long, other_text string, other_method string, other_error string")
