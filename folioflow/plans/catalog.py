@@ -32,6 +32,11 @@ def _kind(doc_id) -> F.Column:
     return F.element_at(F.array(*[F.lit(k) for k in inputs.KINDS]), (doc_id % 4 + 1).cast("int"))
 
 
+def _kinds(docs: DataFrame, paged: DataFrame) -> DataFrame:
+    ext = F.when(F.col("doc_id") % 13 == 0, ".docx").when(F.col("doc_id") % 17 == 0, ".odt").otherwise(".PDF")
+    return conversion.document_kinds(docs.select("doc_id", ext.alias("ext")), inputs.pages(paged)).select("doc_id", "doc_type", *_long("page_count"))
+
+
 @query
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and characters by language and quality."""
@@ -56,11 +61,16 @@ def page_ocr_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of documents by their pages; every ninth has no page at all."""
+    """Kinds of documents by their pages; every ninth has no page at all; ``doc_type_whole`` has all pages."""
     docs = inputs.altered(spark, sf_dir)
-    ext = F.when(F.col("doc_id") % 13 == 0, ".docx").when(F.col("doc_id") % 17 == 0, ".odt").otherwise(".PDF")
-    files = docs.select("doc_id", ext.alias("ext"))
-    return conversion.document_kinds(files, inputs.pages(docs.filter("doc_id % 9 <> 0"))).select("doc_id", "doc_type", *_long("page_count"))
+    return _kinds(docs, docs.filter("doc_id % 9 <> 0"))
+
+
+@query
+def doc_type_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of documents by all their pages."""
+    docs = inputs.altered(spark, sf_dir)
+    return _kinds(docs, docs)
 
 
 @query

@@ -104,6 +104,8 @@ SELECT lang, CASE WHEN warning = '' THEN 'норма' ELSE 'проверить'
     "letter_stats": f"""WITH {ALTERED} SELECT doc_id, {_letters('text')} AS letters, {_n('text', f'[{C}]')} AS cyrillic, {_runs('text', '>= 2')} AS words, {_runs('text', '= 1')} AS singles, {_repl('text')} AS replacements FROM d""",
     "page_ocr_decision": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, page_index, {_strip('page_text')} AS st FROM p) SELECT doc_id, page_index, {NEED} AS needs_ocr, {_bad('st')} AS bad_layer FROM s""",
     "doc_type": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, {_strip('page_text')} AS st FROM p WHERE doc_id % 9 <> 0), c AS (SELECT doc_id, count(*) AS n, count_if({NEED}) AS o FROM s GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.doc_id % 13 = 0 THEN 'DOCX' WHEN d.doc_id % 17 = 0 THEN 'ODT' WHEN n IS NULL OR n = o THEN 'PDF-скан' WHEN o > 0 THEN 'PDF смешанный' ELSE 'PDF с текстом' END AS doc_type, n AS page_count FROM d LEFT JOIN c USING (doc_id)""",
+    "doc_type_whole": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, {_strip('page_text')} AS st FROM p), c AS (SELECT doc_id, count(*) AS n, count_if({NEED}) AS o FROM s GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.doc_id % 13 = 0 THEN 'DOCX' WHEN d.doc_id % 17 = 0 THEN 'ODT' WHEN n IS NULL OR n = o THEN 'PDF-скан' WHEN o > 0 THEN 'PDF смешанный' ELSE 'PDF с текстом' END AS doc_type, n AS page_count FROM d LEFT JOIN c USING (doc_id)""",
     "page_warnings": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, page_index, {_strip('page_text')} AS st, {SURE} AS sure FROM p) SELECT doc_id, page_index, {NOTE.format(strict='TRUE', ocr='TRUE')} AS warning FROM s""",
     "bad_russian_ocr": f"""WITH {ALTERED} SELECT doc_id, {_letters('text')} >= 200 AND {_cyr('text')} < 0.35 AS bad FROM d""",

@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import reports
+from folioflow import settings as S
+from folioflow.operators import conversion, reports
 from folioflow.plans.catalog import QUERIES
 
 SETTINGS = [(dpi, v, psm) for dpi in (300, 250, 216) for v in (1, 2, 3) for psm in (6, 4, 11)]
@@ -74,3 +75,18 @@ def test_a_changed_body_changes_the_combined_section(spark, folder, monkeypatch)
     monkeypatch.setattr(reports, "document_sections", lambda results, *more: made(results.withColumn("clean_markdown", F.lit("")), *more))
     assert sections("combined_markdown") == heads
     assert all(sections("combined_sections")[k] != whole[k] for k in whole)
+
+
+def test_kinds_of_all_documents_by_their_pages(spark, tmp_path):
+    good = "A good text layer of a page, long enough to be kept. " * 3
+    rows = [(d, text, "en", "s", 1) for d, text in ((2, good), (18, good), (27, ""), (36, "\n".join([good] * 8 + ["short"])))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["doc_type"], r["page_count"]) for r in QUERIES["doc_type_whole"](spark, str(tmp_path)).collect()}
+    assert got == {2: (S.TEXT_PDF, 1), 18: (S.TEXT_PDF, 1), 27: (S.SCAN, 1), 36: (S.MIXED, 2)}
+
+
+def test_files_without_pages_are_scans_or_known_by_their_suffix(spark):
+    files = spark.createDataFrame([(1, ".PDF"), (2, ".docx"), (3, ".odt")], "doc_id long, ext string")
+    none = spark.createDataFrame([], "doc_id long, page_text string")
+    got = {r["doc_id"]: (r["doc_type"], r["page_count"]) for r in conversion.document_kinds(files, none).collect()}
+    assert got == {1: (S.SCAN, None), 2: (S.DOCX, None), 3: ("ODT", None)}
