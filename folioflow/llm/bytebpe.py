@@ -4,45 +4,46 @@ A byte-level BPE vocabulary splits a text into pieces by one fixed pattern and e
 its own, so the ids of a text are the ids of its pieces in order. Pieces repeat. Here numpy finds the
 pieces of a whole chunk of texts, the library encodes each distinct piece once, and the ids are
 gathered. The classes of code points (letter, number, space, other) are asked from the library too, so
-both agree on any Unicode version.
+both agree on any Unicode version. Strings of the vocabulary's added tokens are cut out first and get
+their ids, as the library gives them; a vocabulary whose added tokens are matched in any other way than
+literally is left to the library for the texts that hold one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
+import re
 from itertools import chain
 
 import numpy as np
 
 from folioflow.llm.common import ragged
+from folioflow.llm.words import run_hashes
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 #: Endings that the byte-level pattern splits off after an apostrophe (fixed values of that pattern).
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Pieces longer than this are keyed by a digest of their bytes instead of the rolling hash.
-LONG_PIECE = 256
 #: Distinct pieces kept in a worker before its table is emptied.
 CACHE_PIECES = 1_500_000
 #: Words joined into one text for the library.
 WORDS_AT_ONCE = 500
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 class PieceEncoder:
-    """Encodes lists of texts; keeps the ids of pieces that it has met. Special-token strings count as ordinary text."""
+    """Encodes lists of texts as the library does without added special tokens; keeps the ids of pieces that it has met."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder()
+        self.added = {token.content: number for number, token in added.items()}
+        self.literal = len(added) < 2 and not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.marks = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         size = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.classes = np.zeros(0x110000, dtype=np.uint8)
-        self.powers = np.ones(1, dtype=np.uint64)
-        self.inverses = np.ones(1, dtype=np.uint64)
         self._empty()
 
     def _empty(self) -> None:
@@ -62,15 +63,6 @@ class PieceEncoder:
             kinds = self.classes[points]
         return kinds
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = max(n, 1 << 20)
-            steps = np.full(size, _BASE, dtype=np.uint64)
-            steps[0] = 1
-            self.powers = np.cumprod(steps, dtype=np.uint64)
-            steps[1:] = pow(_BASE, -1, 1 << 64)
-            self.inverses = np.cumprod(steps, dtype=np.uint64)
-
     def _starts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Mask of piece starts. ``first``: mask of the first code point of each text."""
         n = len(points)
@@ -101,6 +93,26 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (one more at the end). Null counts as empty."""
         texts = [t or "" for t in texts]
+        marked = [k for k, t in enumerate(texts) if self.marks is not None and self.marks.search(t)]
+        if not marked:
+            return self._encode_plain(texts)
+        # A marked text is cut at its added tokens: plain parts at even places, tokens at odd ones.
+        marked_set = set(marked)
+        parts = [self._parts(t) if k in marked_set else [t] for k, t in enumerate(texts)]
+        flat = list(chain.from_iterable(parts))
+        tokens = [self.added.get(p) if isinstance(p, str) else p for p in flat]
+        ids, bounds = self._encode_plain([p if token is None else "" for p, token in zip(flat, tokens, strict=True)])
+        pieces = [np.array(np.atleast_1d(token), dtype=self.dtype) if token is not None else ids[a:b] for token, a, b in zip(tokens, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        last = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))) - 1
+        return np.concatenate(pieces), np.concatenate([[0], ends[last]])
+
+    def _parts(self, text: str) -> list:
+        """A text cut at its added tokens, or the ids of the whole text."""
+        return self.marks.split(text) if self.literal else [self.library.encode(text, add_special_tokens=False).ids]
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without added tokens."""
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -112,16 +124,7 @@ class PieceEncoder:
         first[(ends - sizes)[sizes > 0]] = True
         begin = np.flatnonzero(self._starts(points, first))
         stop = np.append(begin[1:], total)
-        self._grow(total)
-        sums = np.zeros(total + 1, dtype=np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.powers[:total], out=sums[1:])
-        length = stop - begin
-        keys = (sums[stop] - sums[begin]) * self.inverses[begin]
-        keys ^= keys >> np.uint64(29)
-        keys += length.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        for k in np.flatnonzero(length > LONG_PIECE):
-            digest = hashlib.blake2b(joined[begin[k] : stop[k]].encode(), digest_size=8).digest()
-            keys[k] = int.from_bytes(digest, "little")
+        keys = run_hashes(points, begin, stop)
         distinct, where, which = np.unique(keys, return_index=True, return_inverse=True)
         slot = self._slots(distinct, where, begin, stop, joined)
         slot = slot[which]

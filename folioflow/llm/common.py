@@ -10,15 +10,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points handled at once in a Python worker; a longer text is handled alone.
 CHUNK_CHARS = 1_500_000
+#: A key is heavy if it has more than one in HEAVY_KEYS rows, and more than HEAVY_ROWS.
+HEAVY_KEYS, HEAVY_ROWS = 1000, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset.
+
+    A folder of this machine serves local sessions alone; on a cluster an unset folder is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"file://{tempfile.gettempdir()}/folioflow-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -36,6 +44,28 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(size: int | None, spark: SparkSession, each: int = 64 << 20) -> int:
+    """Partitions for ``size`` bytes of about ``each`` bytes, as many as Spark's own setting at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size or 0) // each), 1)
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+    """``left`` join ``right`` by ``key``, no key of which lands in one task with more than a thousandth of the rows.
+
+    ``right`` has a row per key, with ``weight``, about how many rows of ``left`` have it. Keys heavier than a
+    thousandth of the total, of which there are a thousand at most, are broadcast; the rest are shuffled.
+    Both sides should be cheap to read twice. ``weight`` is dropped. A null key meets nothing.
+    """
+    bound = right.agg(F.max(weight).alias("most"), F.sum(weight).alias("total")).first()
+    limit = max((bound["total"] or 0) // HEAVY_KEYS, HEAVY_ROWS)
+    plain = right.drop(weight)
+    if (bound["most"] or 0) <= limit:
+        return left.join(plain, key, how)
+    heavy = F.broadcast(right.filter(F.col(weight) > limit).drop(weight))
+    apart = left.join(F.broadcast(right.filter(F.col(weight) > limit).select(key)), key, "left_anti")
+    return left.join(heavy, key).unionByName(apart.join(right.filter(F.col(weight) <= limit).drop(weight), key, how))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a scratch path through Spark's file system layer."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,8 +2,9 @@
 
 Each step turns the neighbourhood of every node into a star around the smallest node that it knows; the
 graph becomes a forest of stars in a number of rounds that grows with the logarithm of its size. Steps
-are aggregations and equi-joins: no neighbourhood is ever gathered in one place, and the edges of a
-round are written to the shared folder, so a lost executor costs one round at most.
+are aggregations and equi-joins: no neighbourhood is ever gathered in one place, because the edges of a
+node with a large share of all edges are met by a broadcast of its row, and the edges of a round are
+written to the shared folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialise
+from folioflow.llm.common import heavy_join, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,8 +21,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(smallest, "u")
+    smallest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).select("u", F.least("u", "m").alias("m"), "edges")
+    smallest = materialise(smallest, "smallest")
+    joined = heavy_join(both, smallest, "u", "edges", "inner")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -34,9 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialise(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "edges")
     seen = None
     while True:
-        current = materialise(_stars(current, large=True), "large-star")
-        current = materialise(_stars(current, large=False), "small-star")
         row = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == seen:
+        if not row["n"] or (row["n"], row["h"]) == seen:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = (row["n"], row["h"])
+        current = materialise(_stars(current, large=True), "large-star")
+        current = materialise(_stars(current, large=False), "small-star")

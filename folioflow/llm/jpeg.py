@@ -348,6 +348,12 @@ def difference_hash(pixels: np.ndarray) -> int:
     return int.from_bytes(np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes(), "big")
 
 
+def stacked(thumbs: list[np.ndarray]) -> np.ndarray:
+    """The thumbnails of all images of a value as one picture, one below the other, narrower ones continued by their last column."""
+    width = max(t.shape[1] for t in thumbs)
+    return np.vstack([np.pad(t, ((0, 0), (0, width - t.shape[1])), mode="edge") for t in thumbs])
+
+
 def split_images(media: bytes) -> list[Image]:
     """All images of a media value."""
     found, at = [], 0
@@ -399,8 +405,8 @@ def describe_media(media: DataFrame) -> DataFrame:
                 digest = hashlib.sha256()
                 for t in thumbs:
                     digest.update(t.tobytes())
-                feature = f"jpeg:{images[0].width}x{sum(x.height for x in images)}:dhash={difference_hash(thumbs[0]):016x}:thumb={digest.hexdigest()[:16]}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(value), hashlib.sha256(value).hexdigest(), feature, images[0].width, sum(x.height for x in images), len(images)))
+                feature = f"jpeg:{max(x.width for x in images)}x{sum(x.height for x in images)}:dhash={difference_hash(stacked(thumbs)):016x}:thumb={digest.hexdigest()[:16]}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(value), hashlib.sha256(value).hexdigest(), feature, max(x.width for x in images), sum(x.height for x in images), len(images)))
             columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c) for c in zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

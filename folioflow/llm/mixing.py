@@ -9,12 +9,13 @@ Every document of a source starts with the same copy probability target / size o
 copies and a fraction. Fractions are rounded by the pivotal method: two documents trade words at random,
 each keeping its expectation, until one of them is a whole number of copies; the other goes on to the
 next. So the words taken from the source never change, and each document's expectation holds. Sources
-are split into leaves of ``leaf_rows`` documents by a hash of doc_id; each leaf is rounded in one task and
+are split into leaves of ``leaf_rows`` documents by a hash of doc_id, text and, where rows repeat, their number; each leaf is rounded in one task and
 leaves one document unsettled. The unsettled ones of up to ``leaf_rows`` leaves meet on the next level, and
 so on up a tree. The last document of a source takes the words that are left as a partial copy (the
 first words of its text), so a source meets its target to within one word.
 
-All random numbers are hashes of the document's place in the tree, so a rerun gives the same mix.
+All random numbers are hashes of the source and of the document's place in the tree, so a rerun gives the
+same mix, and sources are rounded independently.
 
 Defined results: a null text has size 0; documents of size 0, and all of a source without words, take 0;
 a null source is a source of its own and comes last; rows that repeat are rounded one by one; a null
@@ -23,6 +24,7 @@ doc_id is kept; an empty table gives no row. Other columns are ignored by ``mix`
 
 from __future__ import annotations
 
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -122,15 +124,17 @@ def pivotal(sizes: list[int], fractions: list[float], draws: list[float]) -> tup
     return out, held
 
 
-_LEAF = "source string, leaf long, place long, doc_id long, size long, x double, level int, open boolean"
+_LEAF = "source string, leaf long, place long, doc_id long, same long, size long, x double, level int, open boolean"
 
 
 def _round(group: pd.DataFrame, level: int) -> pd.DataFrame:
     """Round one leaf, or one knot of the tree; at most one row stays open."""
-    group = group.sort_values(["leaf", "place"], kind="stable") if level else group.sort_values(["size", "doc_id"], kind="stable", na_position="first")
+    group = group.sort_values(["leaf", "place"], kind="stable") if level else group.sort_values(["size", "doc_id", "same"], kind="stable", na_position="first")
     if not level:
         group["place"] = np.arange(len(group))
-    draws = _uniform(group["leaf"].to_numpy(), group["place"].to_numpy(), np.full(len(group), level))
+    source = group["source"].iloc[0]
+    seed = zlib.crc32(b"\0" if source is None or source != source else source.encode())
+    draws = _uniform(np.full(len(group), seed), group["leaf"].to_numpy(), group["place"].to_numpy(), np.full(len(group), level))
     x, held = pivotal(group["size"].tolist(), group["x"].tolist(), draws.tolist())
     group["x"], group["level"], group["open"] = x, level, False
     if held >= 0:
@@ -148,16 +152,19 @@ def _rounded(rows: DataFrame, level: int, fanout: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, ceiling: float = 2.0, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words, repeats counted) of every row of ``docs`` (doc_id, text, source)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    sized = materialise(plain, "sizes")
+    """doc_id, source, same (a hash of the text), size, source_size, target and taken (words, repeats counted) of every row of ``docs`` (doc_id, text, source)."""
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("same"), word_count(text).alias("size"))
+    repeated = plain.groupBy(*plain.columns).count()
+    sized = materialise(repeated.select(*plain.columns, F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("number")), "sizes")
     goals = materialise(targets(sized, weights, share, ceiling), "goals")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     same = sized["source"].eqNullSafe(goals["source"])
     joined = sized.join(goals, same).select(
         sized["source"],
-        F.pmod(F.xxhash64("doc_id"), F.greatest(F.ceil(F.col("rows") / leaf_rows), F.lit(1))).alias("leaf"),
+        F.pmod(F.xxhash64("doc_id", "same", "number"), F.greatest(F.ceil(F.col("rows") / leaf_rows), F.lit(1))).alias("leaf"),
         "doc_id",
+        "same",
         "size",
         "source_size",
         "target",
@@ -165,14 +172,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, ceiling:
     )
     fraction = (F.col("target") / F.col("source_size")) - F.floor(F.col("target") / F.col("source_size"))
     small = F.col("size") <= 0
-    start = joined.select("source", "leaf", F.lit(0).cast("long").alias("place"), "doc_id", "size", F.when(small | (F.col("source_size") <= 0), 0.0).otherwise(fraction).alias("x"))
+    start = joined.select("source", "leaf", F.lit(0).cast("long").alias("place"), "doc_id", "same", "size", F.when(small | (F.col("source_size") <= 0), 0.0).otherwise(fraction).alias("x"))
     leaves = materialise(_rounded(start, 0, leaf_rows), "leaves")
     level, fanout, finished = 0, leaf_rows, []
     most = goals.agg(F.max(F.ceil(F.col("rows") / leaf_rows))).first()[0] or 0
     current = leaves
     while fanout**level < most:
         level += 1
-        current = materialise(_rounded(current.filter("open").select("source", "leaf", "place", "doc_id", "size", "x"), level, fanout), f"level{level}")
+        current = materialise(_rounded(current.filter("open").select("source", "leaf", "place", "doc_id", "same", "size", "x"), level, fanout), f"level{level}")
         finished.append(current)
     return _taken(leaves, finished, goals)
 
@@ -185,33 +192,31 @@ def _taken(leaves: DataFrame, levels: list[DataFrame], goals: DataFrame) -> Data
     rows = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     words = F.floor(rate) * F.col("size") + F.round(F.col("x") * F.col("size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", words.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "same", "size", "source_size", "target", words.cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row per whole copy, and the first words of a text that is taken in part.
 
-    A row's copies are told from those of an equal row (same doc_id, source and size) by their order.
+    Rows equal in doc_id, source and text are told apart by their order. Columns may have any names.
     """
     taken = mix(docs, **options)
-    numbered = docs.withColumn("__size", word_count(F.col("text").cast("string")))
-    alike = Window.partitionBy("doc_id", "source", "__size")
-    left = numbered.withColumn("__n", F.row_number().over(alike.orderBy("text")))
-    right = taken.select("doc_id", "source", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    right = right.withColumn("__n", F.row_number().over(alike.orderBy("__taken")))
-    keys = ("doc_id", "source", "__size", "__n")
-    right = right.select(*[F.col(k).alias(f"__r{k}") for k in keys], "__taken")
-    same = None
-    for k in keys:
-        here = left[k].eqNullSafe(right[f"__r{k}"])
-        same = here if same is None else same & here
-    joined = left.join(right, same).filter(F.col("__taken") > 0)
-    words = F.col("__taken") % F.col("__size")
-    sizes = F.concat(F.array_repeat(F.col("__size"), (F.col("__taken") / F.col("__size")).cast("int")), F.when(words > 0, F.array(words)).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("__words", F.explode(sizes))
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("__words").cast("int")), ""))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names, strict=True))
+    plain = docs.toDF(*names)
+    text = F.col(place["text"]).cast("string")
+    keys = [F.col(place["doc_id"]).cast("long").alias("doc_id"), F.col(place["source"]).cast("string").alias("source"), F.xxhash64(text).alias("same")]
+    alike = Window.partitionBy("doc_id", "source", "same")
+    left = plain.select("*", *keys, word_count(text).alias("size")).withColumn("n", F.row_number().over(alike.orderBy("size")))
+    right = taken.select("doc_id", "source", "same", "taken", F.row_number().over(alike.orderBy("taken")).alias("n"))
+    equal = [left[k].eqNullSafe(right[k]) for k in ("doc_id", "source", "same", "n")]
+    joined = left.join(right, equal).filter("taken > 0").select(*names, "size", "taken")
+    words = F.col("taken") % F.col("size")
+    sizes = F.concat(F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")), F.when(words > 0, F.array(words)).otherwise(F.array().cast("array<bigint>")))
+    rows = joined.withColumn("words", F.explode(sizes))
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    made = F.when(F.col("words") == F.col("size"), text).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), ""))
+    new = {place["text"]: made}
+    if "n_chars" in place:
+        new[place["n_chars"]] = F.length(made).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(n, F.col(n)).alias(c) for c, n in place.items()])

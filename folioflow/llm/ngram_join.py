@@ -1,31 +1,37 @@
 """Operator 1: n-gram Jaccard join by a token-group matrix.
 
-A document's set holds its distinct 3-word shingles as 64-bit hashes; documents of equal sets are one
+A document's set holds its distinct word shingles as 64-bit hashes; documents of equal sets are one
 node. Two nodes link if intersection / union reaches the threshold. The join finds every link between
 unlike nodes that matters for the components, in two passes.
 
-*Groups.* Each node has a few keys of two min-hashes. Nodes that share a key are compared with the
-smallest of them, and links make groups of similar nodes. This pass is linear and need not be complete.
-
-*Matrix.* The tokens of the matrix are made so that a link cannot do without one. Sizes fall into classes
-such that linked nodes are of the same or of neighbouring classes; for each level of two classes let k be
-the largest symmetric difference that linked sets can have. The shingles are dealt by hash into k + 1 + x
-buckets; k differences touch k buckets at most, so 1 + x buckets at least are equal, and a bucket's content
-is a token. (Empty buckets make no token, unless a node has more than x of them; then each does.) A token
-that stands in one group alone has nothing left to tell. Nodes with the other tokens are partitioned into
-blocks of alike ones; a column of the matrix is a block with the union of its tokens. Two blocks meet if
-they share a token. There every node of the one is a query: by the union of the other's shingles its overlap
-with any member is bounded, and only queries whose bound reaches the threshold are compared with the
-members. Links, thinned to a spanning forest, are all that a pair of blocks returns.
-
-So large sets of near copies are settled by the first pass in linear time and collapse to one group, and
-pairs of nodes are never listed. The rest are joins and aggregations with map-side partial sums;
-shingling and comparing blocks run in numpy.
+*Families.* Each node has a few keys of two min-hashes, and is compared with the smallest of the nodes that
+share one with it; links make families of similar nodes. This pass is linear and need not be complete.
+
+*Candidates.* Tokens are made so that a link cannot do without one. Sizes fall into classes such that linked
+nodes are of the same or of neighbouring classes; for each level of two classes let k be the largest
+symmetric difference that linked sets can have. The shingles are dealt by hash into k + 1 + x buckets; k
+differences touch k buckets at most, so 1 + x buckets at least are equal, and a bucket's content is a token.
+Empty buckets make no token; a node with more than x of them has its smallest shingles as further tokens, as
+many as two linked sets cannot both have without a common one. One shuffle by token keeps those that stand
+in several nodes, and of these the ones that stand in several families.
+
+*Token-group matrix.* The nodes with such tokens are partitioned into groups of alike ones, and each group's
+union of shingles is stored, with those that stand in two members or more beside it. Nodes of a group are
+queries against every group that shares a candidate token with theirs (and against their own). By the stored
+union a query's overlap with any member is bounded; within its own group only shingles of two members count.
+Only groups whose bound reaches the threshold are opened: their members are compared with the queries that
+opened them. Links, thinned to a spanning forest, are all that comes back.
+
+So large sets of near copies are settled by the first pass in linear time, and pairs of nodes are never
+listed. The rest are joins and aggregations with map-side partial sums; keys that hold a large share of the
+rows are broadcast (at most a thousand), hubs' sets are replicated by the number of their members. Shingling,
+bounding and comparing run in numpy.
 
 Defined results: a text without words is empty and links with nothing, as does a null text; with fewer
 words than a shingle has, the whole sequence is the one shingle; a row with null doc_id links with
-nothing and has a null component_id; rows that repeat are copies of one another; an empty table gives no
-row. Other columns are ignored by ``join`` and kept by ``keep_one``. Nodes are told apart by 64-bit hashes.
+nothing and has a null component_id; rows that repeat are copies of one another, of which ``keep_one`` keeps
+one; unlike texts of one doc_id are judged each for itself; an empty table gives no row. Other columns are
+ignored by ``join`` and kept by ``keep_one``. Words, shingles and nodes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import chunks, materialise, ragged
+from folioflow.llm.common import chunks, heavy_join, materialise, ragged
 from folioflow.llm.components import components
 from folioflow.llm.words import code_points, mix64, word_hashes
 
@@ -45,8 +51,10 @@ WORDS = 3
 #: Intersection * UNITS[1] >= UNITS[0] * union.
 UNITS = (90, 100)
 KEYS = 3
-#: About how many nodes a block has at most.
+#: About how many nodes a group has at most, and how many queries are compared with a group at once.
 BLOCK = 128
+#: About how many members a copy of a hub's set serves.
+HUB_ROWS = 512
 _SALTS = mix64(np.arange(1, 2 * KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -58,7 +66,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarra
     begin, hashes = word_hashes(points, inside)
     rows = owner[begin]
     held = np.bincount(rows, minlength=len(texts))
-    many = rows[:-words + 1] == rows[words - 1 :] if len(rows) >= words else np.zeros(0, dtype=bool)
+    many = rows[: len(rows) - words + 1] == rows[words - 1 :] if len(rows) >= words else np.zeros(0, dtype=bool)
     at = np.flatnonzero(many)
     value = np.zeros(len(at), dtype=np.uint64)
     for k in range(words):
@@ -82,7 +90,10 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarra
 
 
 class Levels:
-    """Size classes of the matrix: for each level, the number of buckets and of empty ones that are forgiven."""
+    """Size classes: for each level, the number of buckets and of empty ones that are forgiven.
+
+    Level j serves links within class j and between classes j and j + 1.
+    """
 
     def __init__(self, units: tuple[int, int] = UNITS):
         self.part, self.whole = units
@@ -92,8 +103,9 @@ class Levels:
         while len(self.bounds) < 4 or self.bounds[-3] <= size:
             self.bounds.append(self.bounds[-1] * self.whole // self.part + 1)
         for j in range(len(self.buckets), len(self.bounds) - 2):
-            k = 2 * (self.bounds[j + 2] - 1) * (self.whole - self.part) // (self.whole + self.part)
-            spare = 1 + k // 300
+            k = (self.bounds[j + 1] + self.bounds[j + 2] - 2) * (self.whole - self.part) // (self.whole + self.part)
+            empty = (k + 1) * np.exp(-(self.bounds[j] + self.bounds[j + 1]) / 2 / (k + 1))
+            spare = 1 + int(empty + 3 * empty**0.5)
             self.buckets.append(k + 1 + spare if k else 0)
             self.spare.append(spare)
 
@@ -102,15 +114,20 @@ class Levels:
         self._extend(int(sizes.max(initial=1)))
         return np.searchsorted(self.bounds, sizes, side="right") - 1, np.array(self.buckets), np.array(self.spare)
 
+    def prefix(self, sizes: np.ndarray) -> np.ndarray:
+        """How many of a set's smallest shingles must hold one of a linked set's."""
+        return sizes - (sizes * self.part + self.whole - 1) // self.whole + 1
+
 
 def bucket_tokens(values: np.ndarray, bounds: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """Matrix tokens of all sets one after the other, and where each set's begin."""
+    """Candidate tokens of all sets one after the other, and where each set's begin."""
     sizes = np.diff(bounds)
     n = len(sizes)
     owner = np.repeat(np.arange(n), sizes)
     classes, buckets, spare = levels.of(sizes)
     spread, content = mix64(values ^ np.uint64(0xD1B54A32D192ED03)), mix64(values ^ np.uint64(0x8CB92BA72F3D8DD7))
     rows, tokens = [], []
+    sparse = np.zeros(n, dtype=bool)
     for below in (0, 1):
         level = classes - below
         used = (sizes > 0) & (level >= 0)
@@ -124,13 +141,14 @@ def bucket_tokens(values: np.ndarray, bounds: np.ndarray, levels: Levels) -> tup
         filled = np.bincount(slot, minlength=total) > 0
         who = np.repeat(np.arange(n), m)
         place = np.arange(total) - base[who]
-        empties = np.bincount(who[~filled], minlength=n)
-        stray = ~filled & (empties[who] > spare[np.maximum(level, 0)][who])
+        sparse |= np.bincount(who[~filled], minlength=n) > np.where(m > 0, spare[np.maximum(level, 0)], n + 1)
         label = mix64((level[who].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))
-        token = mix64(np.where(filled, sums, np.uint64(0xA0761D6478BD642F)) + label)
-        keep = filled | stray
-        rows.append(who[keep])
-        tokens.append(token[keep])
+        rows.append(who[filled])
+        tokens.append(mix64(sums + label)[filled])
+    some = np.flatnonzero(sparse)
+    first = ragged(bounds[:-1][some], levels.prefix(sizes[some]))
+    rows.append(owner[first])
+    tokens.append(mix64(values[first] ^ np.uint64(0xA0761D6478BD642F)))
     rows, tokens = np.concatenate(rows), np.concatenate(tokens)
     order = np.argsort(rows, kind="stable")
     return tokens[order], np.searchsorted(rows[order], np.arange(n + 1))
@@ -171,38 +189,41 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def sketch(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS) -> DataFrame:
-    """doc_id, n (set size), node, keys and tokens of every row."""
+    """doc_id, same (hash of the text), n (set size), node, keys and tokens of every row; keys and tokens once a node and task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(units)
+        met: set[int] = set()
         for batch in chunks(batches, "text"):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), words)
+            sizes, nodes = np.diff(bounds), set_nodes(values, bounds)
+            fresh = np.zeros(len(nodes), dtype=bool)
+            fresh[np.unique(nodes, return_index=True)[1]] = True
+            fresh &= (sizes > 0) & ~np.fromiter((x in met for x in nodes.tolist()), dtype=bool, count=len(nodes))
+            met.update(nodes[fresh].tolist())
+            values, bounds = values[np.repeat(fresh, sizes)], np.concatenate([[0], np.cumsum(np.where(fresh, sizes, 0))])
             tokens, cuts = bucket_tokens(values, bounds, levels)
-            sizes = np.diff(bounds)
-            keys = np.where((sizes > 0)[:, None], group_keys(values, bounds), 0)
-            key_bounds = np.arange(0, keys.size + 1, KEYS)
-            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(set_nodes(values, bounds)), _lists(keys.reshape(-1), key_bounds), _lists(tokens, cuts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "node", "keys", "tokens"])
+            keys, key_cuts = group_keys(values, bounds)[fresh], np.concatenate([[0], np.cumsum(fresh * KEYS)])
+            columns = [batch.column("doc_id"), batch.column("same"), pa.array(sizes), pa.array(nodes), _lists(keys.reshape(-1), key_cuts), _lists(tokens, cuts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "node", "keys", "tokens"])
 
-    return _plain(docs).mapInArrow(task, "doc_id long, n long, node long, keys array<long>, tokens array<long>")
+    hashed = _plain(docs).select("doc_id", F.xxhash64("text").alias("same"), "text")
+    return hashed.mapInArrow(task, "doc_id long, same long, n long, node long, keys array<long>, tokens array<long>")
 
 
-def sets_of(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, n, set) of the wanted nodes (node), each from the text of one of its documents."""
+def sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, n, set) of the wanted nodes (node), each from the text of its smallest doc_id; ``named``: node, first (that doc_id)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array(set_nodes(values, bounds)), pa.array(np.diff(bounds)), _lists(values, bounds)], names=["node", "n", "set"])
 
-    first = sketched.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = _plain(docs).join(first.select("doc_id"), "doc_id", "left_semi").select("text")
+    # Written, so that Spark knows its size and need not shuffle the texts where it is small.
+    wanted = materialise(named.join(nodes, "node", "left_semi").select("node", F.col("first").alias("doc_id")), "wanted")
+    texts = _plain(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     found = texts.mapInArrow(task, "node long, n long, set array<long>")
-    return materialise(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-
-def _overlap(a, b):
-    return F.size(F.array_intersect(a, b))
+    return materialise(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _reaches(overlap, a, b, units: tuple[int, int]):
@@ -210,22 +231,28 @@ def _reaches(overlap, a, b, units: tuple[int, int]):
 
 
 def linked(pairs: DataFrame, sets: DataFrame, units: tuple[int, int] = UNITS) -> DataFrame:
-    """The pairs (u, v) of nodes that link."""
+    """The pairs (u, v) that link, of ``pairs`` (u, v, part): members u of hubs v, whose sets are replicated once a part."""
     left = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("set").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("set").alias("sv"))
-    sized = pairs.join(left.select("u", "nu"), "u").join(right.select("v", "nv"), "v")
-    sized = sized.filter(F.least("nu", "nv") * units[1] >= F.greatest("nu", "nv") * units[0]).select("u", "v")
-    met = sized.join(left, "u").join(right, "v")
-    return met.filter(_reaches(_overlap(F.col("su"), F.col("sv")), F.col("nu"), F.col("nv"), units)).select("u", "v")
-
-
-def group_links(docs: DataFrame, sketched: DataFrame, words: int, units: tuple[int, int]) -> DataFrame:
-    """First pass: links of nodes with the smallest node that shares a key."""
-    keyed = sketched.filter("n > 0").select("node", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("key", "hub")
-    pairs = materialise(keyed.join(hubs, "key").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
+    hubs = pairs.select("v", "part").distinct().join(right, "v")
+    met = pairs.join(left, "u").join(hubs, ["v", "part"])
+    overlap = F.size(F.array_intersect("su", "sv"))
+    return met.filter(_reaches(overlap, F.col("nu"), F.col("nv"), units)).select("u", "v")
+
+
+def family_links(docs: DataFrame, sketched: DataFrame, named: DataFrame, words: int, units: tuple[int, int]) -> DataFrame:
+    """First pass: links of nodes with the smallest node that shares a key, one hub a node."""
+    keyed = sketched.select("node", F.col("n").alias("nu"), F.explode("keys").alias("key"))
+    least = F.min(F.struct("node", F.col("nu").alias("n")))
+    hubs = keyed.groupBy("key").agg(least.alias("hub"), F.max("node").alias("other"), F.count("*").alias("members"))
+    hubs = materialise(hubs.filter("hub.node <> other").select("key", F.col("hub.node").alias("v"), F.col("hub.n").alias("nv"), "members", F.col("members").alias("rows")), "hubs")
+    met = heavy_join(keyed, hubs, "key", "rows", "inner").filter("node <> v")
+    met = met.filter(F.least("nu", "nv") * units[1] >= F.greatest("nu", "nv") * units[0])
+    chosen = met.groupBy(F.col("node").alias("u")).agg(F.min(F.struct("v", (-F.col("members")).alias("m"))).alias("hub"))
+    part = F.pmod(F.xxhash64("u"), F.ceil(-F.col("hub.m") / HUB_ROWS))
+    pairs = materialise(chosen.select("u", F.col("hub.v").alias("v"), part.alias("part")), "pairs")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    return materialise(linked(pairs, sets_of(docs, sketched, wanted, words), units), "group-links")
+    return materialise(linked(pairs, sets_of(docs, named, wanted, words), units), "family-links")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -242,11 +269,18 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def block_links(queries: list[int], members: list[int], sets: list[np.ndarray], groups: np.ndarray, units: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places (u, v) of the links between queries and members of unlike groups.
+def bounded(queries: list[np.ndarray], union: np.ndarray, units: tuple[int, int]) -> np.ndarray:
+    """Which queries' sets overlap a stored union (sorted) by what a link needs at least."""
+    sizes = np.fromiter(map(len, queries), dtype=np.int64, count=len(queries))
+    flat = np.concatenate(queries)
+    at = np.minimum(np.searchsorted(union, flat), max(len(union) - 1, 0))
+    inside = union[at] == flat if len(union) else np.zeros(len(flat), dtype=bool)
+    overlap = np.add.reduceat(inside.astype(np.int64), np.cumsum(sizes) - sizes)
+    return overlap * units[1] >= sizes * units[0]
 
-    A query is opened only if its overlap with the union of the members' sets reaches what a link needs.
-    """
+
+def member_links(queries: list[int], members: list[int], sets: list[np.ndarray], groups: np.ndarray, units: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of the links between queries and members of unlike families."""
     postings = np.concatenate([sets[m] for m in members])
     owner = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
     order = np.argsort(postings, kind="stable")
@@ -256,10 +290,7 @@ def block_links(queries: list[int], members: list[int], sets: list[np.ndarray],
     for q in queries:
         own = sets[q]
         first, last = np.searchsorted(postings, own, side="left"), np.searchsorted(postings, own, side="right")
-        counts = last - first
-        if np.count_nonzero(counts) * units[1] < len(own) * units[0]:
-            continue
-        overlap = np.bincount(owner[ragged(first, counts)], minlength=len(members))
+        overlap = np.bincount(owner[ragged(first, last - first)], minlength=len(members))
         hit = (overlap * units[1] >= (len(own) + sizes - overlap) * units[0]) & (groups[places] != groups[q])
         left.append(np.full(int(hit.sum()), q))
         right.append(places[hit])
@@ -267,22 +298,13 @@ def block_links(queries: list[int], members: list[int], sets: list[np.ndarray],
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
-def pair_links(dealt: DataFrame, units: tuple[int, int]) -> DataFrame:
-    """Links (u, v) found in pairs of blocks, of rows (a, b, side, node, grp, set); of each pair a spanning forest."""
-
-    def one(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        node, groups, side = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "grp", "side"))
-        lists = table.column("set").combine_chunks()
-        cuts, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-        sets = [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        first = np.flatnonzero(side == 0).tolist()
-        second = np.flatnonzero(side == 1).tolist() or first
-        u, v = block_links(first, second, sets, groups, units)
-        if not len(u):
-            return None
-        tree = _roots(len(node), u, v)
-        return pa.RecordBatch.from_arrays([pa.array(node[u[tree]]), pa.array(node[v[tree]])], names=["u", "v"])
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    cuts, flat = np.asarray(column.offsets), np.asarray(column.values)
+    return [flat[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _by_pair(dealt: DataFrame, marks: tuple[str, str], one, schema: str) -> DataFrame:
+    """What ``one`` makes of the rows (an Arrow table) of each pair of marks; pairs are dealt over the tasks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -290,43 +312,94 @@ def pair_links(dealt: DataFrame, units: tuple[int, int]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = np.stack([np.asarray(batch.column(c)) for c in ("a", "b")])
-            cuts = np.concatenate([[0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            found = np.stack([np.asarray(batch.column(c)) for c in marks])
+            cuts = np.concatenate([[0], np.flatnonzero((found[:, 1:] != found[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                mark = tuple(marks[:, x].tolist())
+                mark = tuple(found[:, x].tolist())
                 if mark != last and held:
-                    out = one(held)
-                    if out is not None:
-                        yield out
+                    yield from one(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 held.append(batch.slice(x, y - x))
                 last = mark
-        if held and (out := one(held)) is not None:
-            yield out
-
-    ordered = dealt.repartition("a", "b").sortWithinPartitions("a", "b")
-    return ordered.mapInArrow(task, "u long, v long")
-
-
-def matrix_links(docs: DataFrame, sketched: DataFrame, groups: DataFrame, words: int, units: tuple[int, int], block: int = BLOCK) -> DataFrame:
-    """Second pass: links between nodes of unlike groups that the token-group matrix does not rule out."""
-    grouped = sketched.filter("n > 0").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
-    entries = grouped.select("grp", "node", F.explode("tokens").alias("token"))
-    shared = entries.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token", F.col("x").alias("hub"))
-    cells = materialise(entries.join(shared.hint("shuffle_hash"), "token").distinct(), "cells")
-    # Nodes that meet the same hub are alike; they go into the same blocks, whatever their groups.
-    families = cells.groupBy("node", "grp").agg(F.min("hub").alias("family"))
-    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+        if held:
+            yield from one(pa.Table.from_batches(held).combine_chunks())
+
+    return dealt.repartition(*marks).sortWithinPartitions(*marks).mapInArrow(task, schema)
+
+
+def group_unions(filled: DataFrame) -> DataFrame:
+    """(grp, union, twice): the shingles of every group of ``filled`` (grp, node, set), and those of two members or more, sorted."""
+
+    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(np.asarray(table.column("set").combine_chunks().values), return_counts=True)
+        lists = [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (values, values[counts > 1])]
+        yield pa.RecordBatch.from_arrays([table.column("grp").combine_chunks()[:1], *lists], names=["grp", "union", "twice"])
+
+    return _by_pair(filled.select("grp", F.col("grp").alias("mark"), "set"), ("grp", "mark"), one, "grp long, union array<long>, twice array<long>")
+
+
+def opened(dealt: DataFrame, units: tuple[int, int]) -> DataFrame:
+    """Queries (b, node, ruled_out) and whether the stored union of group b rules them out, of rows (a, b, node, set): null nodes are unions."""
+
+    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, sets = table.column("node").combine_chunks(), _sets(table.column("set").combine_chunks())
+        asked = np.flatnonzero(np.asarray(node.is_valid()))
+        (union,) = [sets[k] for k in np.flatnonzero(np.asarray(node.is_null()))]
+        out = ~bounded([sets[k] for k in asked.tolist()], union, units)
+        yield pa.RecordBatch.from_arrays([table.column("b").combine_chunks().take(pa.array(asked)), node.take(pa.array(asked)), pa.array(out)], names=["b", "node", "ruled_out"])
+
+    return _by_pair(dealt, ("a", "b"), one, "b long, node long, ruled_out boolean")
+
+
+def pair_links(dealt: DataFrame, units: tuple[int, int]) -> DataFrame:
+    """Links (u, v) between queries and members of opened groups, of rows (b, part, query, node, family, set); of each part a spanning forest."""
+
+    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, families, query = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "family", "query"))
+        sets = _sets(table.column("set").combine_chunks())
+        u, v = member_links(np.flatnonzero(query).tolist(), np.flatnonzero(~query).tolist(), sets, families, units)
+        if len(u):
+            names, places = np.unique(node, return_inverse=True)
+            tree = _roots(len(names), places[u], places[v])
+            yield pa.RecordBatch.from_arrays([pa.array(node[u[tree]]), pa.array(node[v[tree]])], names=["u", "v"])
+
+    return _by_pair(dealt.withColumn("query", F.col("query").cast("boolean")), ("b", "part"), one, "u long, v long")
+
+
+def candidates(sketched: DataFrame, families: DataFrame) -> DataFrame:
+    """(token, node, family, hub): the tokens that stand in several families; ``hub`` is the smallest of them."""
+    entries = sketched.select("node", F.explode("tokens").alias("token"))
+    same = Window.partitionBy("token")
+    shared = entries.withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same)).filter("least <> most")
+    shared = materialise(shared.select("token", "node").distinct(), "shared")
+    named = shared.join(families, "node", "left").withColumn("family", F.coalesce("component", "node")).drop("component")
+    ends = named.groupBy("token").agg(F.min("family").alias("hub"), F.max("family").alias("other"), F.count("*").alias("rows")).filter("hub <> other").drop("other")
+    return materialise(heavy_join(named, materialise(ends, "tokens"), "token", "rows", "inner"), "candidates")
+
+
+def matrix_links(docs: DataFrame, sketched: DataFrame, named: DataFrame, families: DataFrame, words: int, units: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """Second pass: links between nodes of unlike families that the token-group matrix does not rule out."""
+    cells = candidates(sketched, families)
+    # Nodes that meet the same hub are alike; they go into the same groups, whatever their families.
+    alike = cells.groupBy("node", "family").agg(F.min("hub").alias("kind"))
+    sizes = alike.groupBy("kind").agg(F.count("*").alias("members"))
+    sizes = materialise(sizes.withColumn("rows", F.col("members")), "kinds")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block))
-    blocks = materialise(families.join(sizes, "family").select("node", "grp", F.xxhash64("family", part).alias("blk")), "blocks")
-    columns = materialise(cells.join(blocks.select("node", "blk"), "node").select("token", "blk").distinct(), "columns")
-    pairs = columns.select("token", F.col("blk").alias("a")).join(columns.select("token", F.col("blk").alias("b")), "token").filter("a <= b").select("a", "b").distinct()
-    pairs = materialise(pairs, "pairs")
-    sets = sets_of(docs, sketched, blocks.select("node"), words).select("node", "set")
-    filled = blocks.join(sets, "node")
-    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sides = sides.withColumn("blk", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
-    return materialise(pair_links(sides.join(filled, "blk").select("a", "b", "side", "node", "grp", "set"), units), "matrix-links")
+    members = materialise(heavy_join(alike, sizes, "kind", "rows", "inner").select("node", "family", F.xxhash64("kind", part).alias("grp")), "groups")
+    columns = materialise(cells.select("token", "node").join(members.select("node", "grp"), "node").select("token", "grp").distinct(), "columns")
+    pairs = columns.select("token", F.col("grp").alias("a")).join(columns.select("token", F.col("grp").alias("b")), "token").filter("a <= b").select("a", "b").distinct()
+    pairs = materialise(pairs, "group-pairs")
+    filled = materialise(members.join(sets_of(docs, named, members.select("node"), words).select("node", "set"), "node"), "filled")
+    unions = materialise(group_unions(filled), "unions")
+    queries = pairs.join(filled.select(F.col("grp").alias("a"), "node", "set"), "a").select("a", "b", "node", "set")
+    stored = pairs.join(unions.withColumnRenamed("grp", "b"), "b").select("a", "b", F.lit(None).cast("long").alias("node"), F.when(F.col("a") == F.col("b"), F.col("twice")).otherwise(F.col("union")).alias("set"))
+    asked = materialise(opened(queries.unionByName(stored), units), "opened").filter("not ruled_out").select("b", "node").distinct()
+    rows = asked.groupBy("b").agg(F.count("*").alias("asked"))
+    dealt = asked.join(rows, "b").select("b", F.pmod(F.xxhash64("node"), F.ceil(F.col("asked") / block)).alias("part"), "node")
+    dealt = materialise(dealt, "asked")
+    asking = dealt.join(filled.select("node", "family", "set"), "node").select("b", "part", F.lit(True).alias("query"), "node", "family", "set")
+    answering = dealt.select("b", "part").distinct().join(filled.withColumnRenamed("grp", "b"), "b").select("b", "part", F.lit(False).alias("query"), "node", "family", "set")
+    return materialise(pair_links(asking.unionByName(answering), units), "matrix-links")
 
 
 def join(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS) -> DataFrame:
@@ -335,21 +408,45 @@ def join(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS) ->
 
 
 def labelled(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS) -> DataFrame:
+    """doc_id, same (hash of the text), n and component_id of every row of ``docs`` (doc_id, text)."""
     sketched = materialise(sketch(docs, words, units), "sketch")
-    known = sketched.filter("doc_id is not null")
-    first = group_links(docs, known, words, units)
-    groups = components(first)
-    second = matrix_links(docs, known, groups, words, units)
-    final = components(first.unionByName(second))
-    label = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.xxhash64("doc_id")).otherwise(F.coalesce("component", "node"))
-    rows = sketched.select("doc_id", "n", "node").join(final, "node", "left").select("doc_id", "n", label.alias("label"))
-    smallest = rows.filter("n > 0 and doc_id is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return rows.join(smallest, "label", "left").select("doc_id", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    rows = sketched.select("doc_id", "same", "n", "node")
+    able = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    named = materialise(rows.filter(able).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "nodes")
+    known = sketched.filter("n > 0").join(named.select("node"), "node", "left_semi") if rows.filter("doc_id is null and n > 0").take(1) else sketched.filter("n > 0")
+    first = family_links(docs, known, named, words, units)
+    families = components(first)
+    second = matrix_links(docs, known, named, families, words, units)
+    final = materialise(components(first.unionByName(second)), "components")
+    # The smallest doc_id of every component that has several nodes, then of every node, then of every row.
+    grouped = named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tops = grouped.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("nodes"))
+    labels = heavy_join(materialise(grouped, "grouped"), materialise(tops, "tops"), "component", "nodes", "inner")
+    labels = materialise(labels.select("node", "component_id", "rows"), "labels")
+    out = heavy_join(rows.withColumn("node", F.when(able, F.col("node"))), labels, "node", "rows")
+    return out.select("doc_id", "same", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows without a doc_id or without words all stay."""
-    found = labelled(docs.select("doc_id", "text"), words, units)
-    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of ``docs``, that of the smallest doc_id; rows without a doc_id or without words all stay.
+
+    A row is judged by its doc_id and text together; of rows that repeat both, or of unlike texts with the
+    smallest doc_id in one component, one of the smallest hash stays. Columns may have any names.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names, strict=True))
+    key = [F.col(place["doc_id"]).cast("long").alias("doc_id"), F.xxhash64(F.col(place["text"]).cast("string")).alias("same")]
+    found = materialise(labelled(docs.select("doc_id", "text"), words, units), "labelled").filter("n > 0 and doc_id is not null")
+    least = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("same").alias("kept"), F.count("*").alias("rows"))
+    several = materialise(least.filter("rows > 1").drop("rows"), "several")
+    dropped = found.filter("doc_id <> component_id").select("doc_id", "same")
+    plain = docs.toDF(*names).select("*", *key)
+    if not several.take(1):
+        out = plain.join(materialise(dropped.distinct(), "dropped"), ["doc_id", "same"], "left_anti")
+        return out.select(*[F.col(n).alias(c) for c, n in place.items()])
+    others = found.join(several, "component_id").filter("doc_id = component_id and same <> kept").select("doc_id", "same")
+    out = plain.join(materialise(dropped.union(others).distinct(), "dropped"), ["doc_id", "same"], "left_anti")
+    repeated = several.select(F.col("component_id").alias("doc_id"), F.col("kept").alias("same"))
+    once = out.join(repeated, ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"])
+    out = out.join(repeated, ["doc_id", "same"], "left_anti").unionByName(once)
+    return out.select(*[F.col(n).alias(c) for c, n in place.items()])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import binary_array, chunks, materialise
+from folioflow.llm.common import binary_array, chunks, materialise, partitions_for
 
 DIMENSIONS = 4
 #: Bits of the grid in each dimension.
@@ -173,7 +173,8 @@ def pack(encoded: DataFrame, length: int = 2048) -> DataFrame:
         packer.finish()
         yield packer.batch()
 
-    ordered = encoded.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id", "ids")
+    count = partitions_for(encoded.agg(F.sum(F.col("n") * F.col("width"))).first()[0], encoded.sparkSession)
+    ordered = encoded.repartitionByRange(count, "place", "doc_id").sortWithinPartitions("place", "doc_id", "ids")
     return ordered.mapInArrow(task, RESULT)
 
 

@@ -1,15 +1,19 @@
 """Operator 9: documents as binary token-id files with Elias-Fano document boundaries.
 
-A file holds the concatenated ids of a run of documents in ascending doc_id order, and the cumulative
-document ends as an Elias-Fano sequence: low bits packed, high bits in unary, and a sample of every
-``SELECT_EVERY``-th one-bit for ``select``. That takes about 2 + log2(ids per document) bits a document
-instead of a 64-bit offset.
+A file holds the concatenated ids of a run of documents in ascending doc_id order, the doc_ids (less the
+smallest) and the cumulative document ends, both as Elias-Fano sequences: low bits packed, high bits in
+unary, and a sample of every ``SELECT_EVERY``-th one-bit for ``select``. Ends take about 2 + log2(ids per
+document) bits a document instead of a 64-bit offset. Readers find a document by ``select``; no table of
+offsets is ever unpacked.
 
 Files are written by the executors straight to the shared folder, each under a name that depends only
 on its partition, through a temporary name and a rename, so a repeated task replaces its own file.
 
+The number of range partitions follows the bytes of text; equal doc_ids (null ones among them) are dealt
+on by a hash of the text.
+
 Defined results: a null text counts as empty (the document is its end id alone); equal doc_ids stand
-next to each other, ordered by text; a null doc_id sorts first; an empty table gives no file and no
+next to each other, ordered by a hash of the text; a null doc_id sorts first; an empty table gives no file and no
 row. Other columns are ignored.
 """
 
@@ -24,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import CHUNK_CHARS, chunks, scratch
+from folioflow.llm.common import CHUNK_CHARS, chunks, partitions_for, scratch
 
-MAGIC = b"FFEF0001"
+MAGIC = b"FFEF0002"
 #: Ids after which a file is closed at the next document.
 FILE_IDS = 16_000_000
-SELECT_EVERY = 256
+SELECT_EVERY = 64
+#: Documents described at once when files are read.
+ROWS = 10_000
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_HEADER = struct.Struct("<8sQQII")
+_HEADER = struct.Struct("<8sQQIIq")
 _EF_HEADER = struct.Struct("<QQIII")
 
 
@@ -54,10 +60,10 @@ class EliasFano:
         bits[ones] = 1
         return cls(n, universe, low_bits, low, np.packbits(bits, bitorder="little"), ones[::SELECT_EVERY].astype("<u4"))
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        at = i[:, None] * self.low_bits + np.arange(self.low_bits)
-        bits = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+    def _low(self, i: int) -> int:
+        at = i * self.low_bits
+        data = self.low[at >> 3 : (at + self.low_bits + 7) >> 3].tobytes()
+        return int.from_bytes(data, "little") >> (at & 7) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
         """The i-th value: from the nearest sample on, ones are counted byte by byte."""
@@ -72,16 +78,16 @@ class EliasFano:
         for _ in range(left):
             word &= word - 1
         one = (byte << 3) + (word & -word).bit_length() - 1
-        return ((one - i) << self.low_bits) | int(self._low(np.array([i]))[0])
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low_bits) | self._low(np.arange(self.n))
+        return ((one - i) << self.low_bits) | self._low(i)
 
     def to_bytes(self) -> bytes:
         head = _EF_HEADER.pack(self.n, self.universe, self.low_bits, len(self.low), len(self.high))
         return head + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
 
+    def size(self) -> int:
+        """Bytes of ``to_bytes``."""
+        return _EF_HEADER.size + len(self.low) + len(self.high) + 4 * len(self.samples)
+
     @classmethod
     def from_bytes(cls, data: memoryview) -> EliasFano:
         n, universe, low_bits, low, high = _EF_HEADER.unpack_from(data)
@@ -91,29 +97,39 @@ class EliasFano:
 
 
 class TokenFile:
-    """One file, read back: ``ids`` of all its documents, their ``doc_ids``, and ``ends`` as Elias-Fano."""
+    """One file, read back: ``ids`` of all its documents; their ``doc_ids`` and ``ends`` as Elias-Fano."""
 
     def __init__(self, data: bytes):
         view = memoryview(data)
-        magic, n_docs, n_ids, width, nulls = _HEADER.unpack_from(view)
+        magic, self.n_docs, n_ids, width, self.nulls, self.least = _HEADER.unpack_from(view)
         if magic != MAGIC:
             raise ValueError("not a token file")
         at = _HEADER.size
         self.ids = np.frombuffer(view, f"<u{width}", n_ids, at)
         at += n_ids * width
-        self.doc_ids = np.frombuffer(view, "<i8", n_docs, at)
-        self.null_ids = nulls
-        self.ends = EliasFano.from_bytes(view[at + 8 * n_docs :])
+        self.doc_ids = EliasFano.from_bytes(view[at:])
+        self.ends = EliasFano.from_bytes(view[at + self.doc_ids.size() :])
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where the ids of the i-th document begin and end, found by two selects."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
     def document(self, i: int) -> np.ndarray:
-        """The ids of the i-th document, found by two selects."""
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        """The ids of the i-th document."""
+        start, stop = self.bounds(i)
+        return self.ids[start:stop]
+
+    def doc_id(self, i: int) -> int | None:
+        """The doc_id of the i-th document."""
+        return None if i < self.nulls else self.least + self.doc_ids.select(i - self.nulls)
 
 
 def token_file(ids: np.ndarray, ends: np.ndarray, doc_ids: np.ndarray, nulls: int) -> bytes:
     """The bytes of a file. Null doc_ids come first; ``nulls`` is their number."""
-    head = _HEADER.pack(MAGIC, len(ends), len(ids), ids.dtype.itemsize, nulls)
-    return head + ids.tobytes() + doc_ids.astype("<i8").tobytes() + EliasFano.encode(ends).to_bytes()
+    known = doc_ids[nulls:].astype(np.int64)
+    least = int(known[0]) if len(known) else 0
+    head = _HEADER.pack(MAGIC, len(ends), len(ids), ids.dtype.itemsize, nulls, least)
+    return head + ids.tobytes() + EliasFano.encode(known.view(np.uint64) - np.int64(least).view(np.uint64)).to_bytes() + EliasFano.encode(ends).to_bytes()
 
 
 def _write(uri: str, data: bytes, attempt: int) -> None:
@@ -176,7 +192,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         yield pa.RecordBatch.from_pylist([dict(zip(("part", "number", "path", "docs", "ids"), x, strict=True)) for x in made], schema=pa.schema([("part", pa.int64()), ("number", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    count = partitions_for(ordered.agg(F.sum(F.octet_length("text"))).first()[0], docs.sparkSession)
+    ordered = ordered.repartitionByRange(count, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     files = ordered.mapInArrow(task, "part long, number long, path string, docs long, ids long").collect()
     return [(f.path, f.docs, f.ids) for f in sorted(files)]
 
@@ -188,11 +205,12 @@ def read_token_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = TokenFile(_read(path))
-                ends = file.ends.all()
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                crcs = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                doc_ids = pa.array(file.doc_ids, pa.int64(), mask=np.arange(len(ends)) < file.null_ids)
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts + base), pa.array((ends - starts).astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for at in range(0, file.n_docs, ROWS):
+                    rows = []
+                    for i in range(at, min(at + ROWS, file.n_docs)):
+                        start, stop = file.bounds(i)
+                        rows.append((file.doc_id(i), base + start, stop - start, zlib.crc32(file.ids[start:stop].astype("<u4").tobytes())))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     bases = np.concatenate(([0], np.cumsum([ids for _, _, ids in files]))).tolist()
     rows = [(path, base) for (path, _, _), base in zip(files, bases, strict=False)]

@@ -10,9 +10,11 @@ below zero; where it would, its gradient is followed upwards instead. Clean labe
 the prior: the share of toxic labels, less what confirmed rows take out of U.
 
 The classifier is fitted on a bounded sample drawn by a hash of doc_id: about ``POSITIVES`` and
-``UNLABELLED`` distinct texts. Features enter it if they stand in ``MIN_TEXTS`` positive texts at least and
-more often in P than in U, by a log-likelihood ratio that no feature would reach by accident. Scoring reads every whole text once;
-the model is a sorted array of feature hashes with weights.
+``UNLABELLED`` texts, each distinct text once. Features enter it if they stand in ``MIN_TEXTS`` sampled positive texts
+at least and more often in P than in U, by a log-likelihood ratio that no feature would reach by accident; how often
+they stand in U is counted over all unlabelled texts, as partial sums. Of a sampled text only the features that
+entered reach the driver. Scoring reads every whole text once; the model is a sorted array of feature hashes with
+weights. The prior is what the labels say, kept off 0 and 1 by one row.
 
 Defined results: a null text counts as empty and gets the score of the bias; with no positive or no
 unlabelled text there is nothing to learn, and all score 0; conflicting labels of one doc_id count as
@@ -30,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import chunks
-from folioflow.llm.words import code_points, kinds, mix64, powers, word_hashes
+from folioflow.llm.common import chunks, materialise
+from folioflow.llm.words import code_points, kinds, mix64, run_sums, runs
 
 POSITIVES = 4000
 UNLABELLED = 12000
 MIN_TEXTS = 3
 #: Chance of one feature or more entering by accident, by which the bound on the log-likelihood ratio is set.
-SIGNIFICANCE = 0.05
+SIGNIFICANCE = 0.001
 #: Beginnings of words that count as features beside the words, in code points.
 STEMS = (4, 5, 6)
 ROUNDS = 1500
@@ -48,21 +50,15 @@ THRESHOLD = 0.7
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of each word of the texts, and of the beginnings of longer words."""
     points, owner = code_points([(t or "").lower() for t in texts])
-    inside = kinds(points) < 3
-    begin, words = word_hashes(points, inside)
-    if not len(begin):
-        return begin, words
-    up, down = powers(len(points))
-    sums = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
-    rows, hashes = [owner[begin]], [words]
+    begin, stop = runs(kinds(points) < 3)
+    sums, cuts = run_sums(points, begin, stop)
+    length = stop - begin
+    rows, hashes = [owner[begin]], [mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64(length.astype(np.uint64)))]
     for size in STEMS:
-        at = begin[begin + size < len(points)]
-        at = at[inside[at + size]]  # words longer than the stem only
-        for k in range(1, size):
-            at = at[inside[at + k]]
-        rows.append(owner[at])
-        hashes.append(mix64((sums[at + size] - sums[at]) * down[at] + np.uint64(size)))
+        longer = length > size
+        at = cuts[:-1][longer]
+        rows.append(owner[begin[longer]])
+        hashes.append(mix64(sums[at + size] - sums[at] + mix64(np.array([size + (1 << 40)], dtype=np.uint64))))
     return np.concatenate(rows), np.concatenate(hashes)
 
 
@@ -106,41 +102,44 @@ def _ratio(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return np.where(a / n > b / m, value, 0.0)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = ROUNDS, decay: float = DECAY) -> Model:
-    """Fit the classifier; each text is an array of distinct word hashes."""
-    n, m = len(positive), len(unlabelled)
+def select_features(words: np.ndarray, found: np.ndarray, n: int, in_unlabelled: np.ndarray, m: int) -> np.ndarray:
+    """Which of ``words``, in ``found`` of n positive and in ``in_unlabelled`` of m unlabelled texts, become features."""
     if not n or not m:
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -np.inf)
-    words, found = np.unique(np.concatenate(positive), return_counts=True)
-    words, found = words[found >= MIN_TEXTS], found[found >= MIN_TEXTS]
-
-    def places(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        hashes = np.concatenate(texts)
-        at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-        known = words[at] == hashes if len(words) else np.zeros(len(hashes), dtype=bool)
-        return rows[known], at[known]
-
-    in_unlabelled = np.bincount(places(unlabelled)[1], minlength=len(words))
+        return np.zeros(len(words), dtype=bool)
     bound = 2 * np.log(max(len(words), 1) / SIGNIFICANCE)
-    words = words[_ratio(found, n, in_unlabelled, m) >= bound]
-    (prow, pcol), (urow, ucol) = places(positive), places(unlabelled)
-    weights, bias = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
-    state = np.zeros((2, len(words) + 1))
+    return (found >= MIN_TEXTS) & (_ratio(found, n, in_unlabelled, m) >= bound)
+
+
+def risk(weights: np.ndarray, bias: float, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, float, np.ndarray]:
+    """Positive part and corrected negative part of the risk, and the gradient to follow (weights, then bias), without decay.
+
+    ``positive`` and ``unlabelled``: number of texts, and (text, feature) pairs as two arrays.
+    """
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     softplus = lambda z: np.logaddexp(0, z)
+    (n, prow, pcol), (m, urow, ucol) = positive, unlabelled
+    fp = np.bincount(prow, weights=weights[pcol], minlength=n) + bias
+    fu = np.bincount(urow, weights=weights[ucol], minlength=m) + bias
+    negative = softplus(fu).mean() - prior * softplus(fp).mean()
+    # Gradients by f: of prior * l(f) over P, and of the corrected risk of the negatives.
+    by_p, by_u = -prior * sigmoid(-fp) / n, sigmoid(fu) / m
+    if negative >= 0:
+        by_p = by_p - prior * sigmoid(fp) / n
+    else:
+        by_p, by_u = prior * sigmoid(fp) / n, -by_u
+    gradient = np.bincount(pcol, weights=by_p[prow], minlength=len(weights)) + np.bincount(ucol, weights=by_u[urow], minlength=len(weights))
+    return prior * softplus(-fp).mean(), negative, np.append(gradient, by_p.sum() + by_u.sum())
+
+
+def train(words: np.ndarray, positive: tuple, unlabelled: tuple, prior: float, rounds: int = ROUNDS, decay: float = DECAY) -> Model:
+    """Fit the classifier over the features ``words`` (sorted); ``positive`` and ``unlabelled`` as for ``risk``."""
+    if not positive[0] or not unlabelled[0]:
+        return NOTHING
+    weights, bias = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
+    state = np.zeros((2, len(words) + 1))
     for step in range(1, rounds + 1):
-        fp = np.bincount(prow, weights=weights[pcol], minlength=n) + bias
-        fu = np.bincount(urow, weights=weights[ucol], minlength=m) + bias
-        negative = softplus(fu).mean() - prior * softplus(fp).mean()
-        # Gradients by f: of prior * l(f) over P, and of the corrected risk of the negatives.
-        by_p, by_u = -prior * sigmoid(-fp) / n, sigmoid(fu) / m
-        if negative >= 0:
-            by_p = by_p - prior * sigmoid(fp) / n
-        else:
-            by_p, by_u = prior * sigmoid(fp) / n, -by_u
-        gradient = np.bincount(pcol, weights=by_p[prow], minlength=len(words)) + np.bincount(ucol, weights=by_u[urow], minlength=len(words)) + decay * weights
-        gradient = np.append(gradient, by_p.sum() + by_u.sum())
+        gradient = risk(weights, bias, positive, unlabelled, prior)[2]
+        gradient[:-1] += decay * weights
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.999 * state[1] + 0.001 * gradient**2
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-9)
@@ -148,42 +147,106 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Model(words, weights, float(bias))
 
 
-def _sampled(docs: DataFrame, most: int) -> list[np.ndarray]:
-    """Distinct features of the distinct texts of a small table, ``most`` texts at most."""
+#: What is learned without a positive or an unlabelled text.
+NOTHING = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -np.inf)
+
+
+def _known(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are among the sorted ``words``, and where."""
+    if not len(words):
+        return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return words[at] == hashes, at
+
+
+def _frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features that stand in MIN_TEXTS texts at least, sorted, and in how many they stand. For a sample."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            found, n = np.unique(distinct_features(batch.column("text").to_pylist())[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    table = texts.mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_TEXTS).toArrow()
+    words, n = np.asarray(table.column("word").combine_chunks()).view(np.uint64), np.asarray(table.column("n").combine_chunks())
+    order = np.argsort(words)
+    return words[order], n[order]
+
+
+def _counts_of(texts: DataFrame, words: np.ndarray) -> np.ndarray:
+    """In how many texts each of the sorted ``words`` stands: over all of ``texts``, as partial sums."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), dtype=np.int64)
+        for batch in chunks(batches, "text"):
+            known, at = _known(shared.value, distinct_features(batch.column("text").to_pylist())[1])
+            total += np.bincount(at[known], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "n"])
+
+    out = np.zeros(len(words), dtype=np.int64)
+    if len(words):
+        table = texts.mapInArrow(task, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        out[np.asarray(table.column("place").combine_chunks())] = np.asarray(table.column("n").combine_chunks())
+    return out
+
+
+def _sampled(texts: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of texts of a sample, and its (text, feature) pairs over the sorted ``words``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             rows, hashes = distinct_features(batch.column("text").to_pylist())
-            cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["words"])
+            known, at = _known(words, hashes)
+            cuts = np.searchsorted(rows[known], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("same"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(at[known].astype(np.int32)))], names=["same", "at"])
 
-    found: dict[bytes, np.ndarray] = {}
-    for r in docs.select("text").mapInArrow(task, "words binary").toLocalIterator():
-        if len(found) < most:
-            found.setdefault(bytes(r["words"]), np.frombuffer(r["words"], dtype=np.uint64))
-    return list(found.values())
+    table = texts.mapInArrow(task, "same long, at array<int>").orderBy("same").toArrow()
+    lists = table.column("at").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.diff(np.asarray(lists.offsets))
+    return table.num_rows, np.repeat(np.arange(table.num_rows), sizes), np.asarray(lists.flatten()).astype(np.int64)
 
 
 def _drawn(share: float):
     return F.pmod(F.xxhash64("doc_id", F.lit("pu")), F.lit(1 << 24)) < F.lit(int(share * (1 << 24)) + 1)
 
 
+def _distinct(texts: DataFrame) -> DataFrame:
+    """Each text of a sample once: same (its hash) and text."""
+    return texts.select(F.xxhash64("text").alias("same"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["same"])
+
+
+def prior_of(rows: int, labelled: int, positive: int) -> float:
+    """The share of toxic texts among the unlabelled: what the labels' share leaves after the confirmed ones are taken out."""
+    left = max(rows - labelled, 0) * positive / labelled
+    unlabelled = max(rows - positive, 1)
+    return min(max(left, 1.0), max(unlabelled - 1.0, 0.5)) / max(unlabelled, 2)
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Learn from ``labels`` (doc_id, toxic) and the texts of ``docs`` (doc_id, text), both already without held-out rows."""
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = marked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
-    if not count["p"]:
-        return train([], [], 0.5)
-    confirmed = marked.filter("toxic = 1").select("doc_id")
+    docs = docs.filter(F.col("doc_id").isNotNull())
+    rows = docs.count()
+    if not count["p"] or not rows:
+        return NOTHING
+    confirmed = materialise(marked.filter("toxic = 1").select("doc_id"), "confirmed")
     # At most about POSITIVES ids: small enough to go to every executor.
-    chosen = confirmed.filter(_drawn(min(1.0, positives / count["p"])))
-    p = _sampled(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), 2 * positives)
-    rows = docs.filter(F.col("doc_id").isNotNull()).count()
-    toxic_left = max(rows - count["n"], 0) * count["p"] / count["n"]
-    prior = min(max(toxic_left / max(rows - count["p"], 1), 1e-3), 0.5)
-    u = docs.filter(F.col("doc_id").isNotNull() & _drawn(min(1.0, unlabelled / max(rows, 1))))
-    u = _sampled(u.join(F.broadcast(confirmed.filter(_drawn(min(1.0, unlabelled / max(rows, 1))))), "doc_id", "left_anti"), 2 * unlabelled)
-    return train(p, u, prior)
+    chosen = F.broadcast(confirmed.filter(_drawn(min(1.0, positives / count["p"]))))
+    p = materialise(_distinct(docs.join(chosen, "doc_id", "left_semi")), "positive")
+    share = min(1.0, unlabelled / rows)
+    u = docs.filter(_drawn(share)).join(F.broadcast(confirmed.filter(_drawn(share))), "doc_id", "left_anti")
+    u = materialise(_distinct(u), "unlabelled")
+    n = p.count()
+    words, found = _frequencies(p)
+    # Over all rows that are not confirmed: those of all rows less those of the confirmed ones, which Spark joins by size.
+    everything, known = _counts_of(docs, words), docs.join(confirmed, "doc_id", "left_semi")
+    counted = everything - _counts_of(known, words)
+    words = words[select_features(words, found, n, counted, rows - known.count())]
+    return train(words, _sampled(p, words), _sampled(u, words), prior_of(rows, count["n"], count["p"]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

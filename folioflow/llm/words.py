@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
+from folioflow.llm.common import ragged
+
 #: Code point -> 1 letter, 2 other word character, 3 anything else, 0 not met yet.
 _KINDS = np.zeros(0x110000, dtype=np.uint8)
 LETTER, DIGIT = 1, 2
@@ -36,27 +36,38 @@ def kinds(points: np.ndarray) -> np.ndarray:
     return found
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
+def place_hashes(points: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A 64-bit scramble of each code point together with its place in its run. Sums of them tell runs apart."""
+    return mix64((points.astype(np.uint64) + np.uint64(1)) | (places.astype(np.uint64) << np.uint64(21)))
+
+
+def run_sums(points: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the place hashes of all runs begin..stop, and where each run begins in them (one more at the end).
+
+    Code points are scrambled together with their places before they are added, so a collision has no
+    algebraic cause: words of any length collide with a probability near 2^-64 a pair.
+    """
+    length = stop - begin
+    cuts = np.concatenate([[0], np.cumsum(length)])
+    at = ragged(begin, length)
+    sums = np.zeros(len(at) + 1, dtype=np.uint64)
+    np.cumsum(place_hashes(points[at], at - np.repeat(begin, length)), out=sums[1:])
+    return sums, cuts
+
+
+def run_hashes(points: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs begin..stop."""
+    sums, cuts = run_sums(points, begin, stop)
+    return mix64(sums[cuts[1:]] - sums[cuts[:-1]] + mix64((stop - begin).astype(np.uint64)))
+
+
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the maximal runs where ``inside`` holds, and the places after them. The last place must be outside."""
+    edge = np.diff(inside.astype(np.int8), prepend=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 def word_hashes(points: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and 64-bit hashes of the maximal runs where ``inside`` holds. The last code point must be outside."""
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(begin):
-        return begin, np.zeros(0, dtype=np.uint64)
-    up, down = powers(len(points))
-    sums = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
-    hashes = (sums[stop] - sums[begin]) * down[begin]
-    return begin, mix64(hashes + mix64((stop - begin).astype(np.uint64)))
+    begin, stop = runs(inside)
+    return begin, run_hashes(points, begin, stop)

@@ -21,7 +21,7 @@ def test_stages_one_after_the_other(spark):
     kept = {r["doc_id"] for r in clean.collect()}
     assert clean.columns == columns and kept == {r["doc_id"] for r in docs.collect()} - toxic
 
-    components = {r["component_id"] for r in ngram_join.join(clean).collect()}
+    components = {r["component_id"] for r in ngram_join.join(clean, words=5, units=(80, 100)).collect()}
     unlike = corpus_pipeline.materialise(steps["near copies"](spark, clean, TABLES), "test")
     assert unlike.columns == columns and {r["doc_id"] for r in unlike.collect()} == components
 
