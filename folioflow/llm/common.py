@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1_500_000
 #: A key is heavy if it has more than one in HEAVY_KEYS rows, and more than HEAVY_ROWS.
 HEAVY_KEYS, HEAVY_ROWS = 1000, 1000
+#: Folders of our own, by application, where none is configured.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        configured = f"file://{tempfile.gettempdir()}/folioflow-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/folioflow-{uuid.uuid4().hex}")
     return configured.rstrip("/")
 
 

@@ -12,18 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import heavy_join, materialise
+from folioflow.llm.common import HEAVY_ROWS, heavy_join, materialise
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (u, v)."""
+def _stars(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """One step over edges (u, v). ``few``: no node can have a large share of them."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     smallest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).select("u", F.least("u", "m").alias("m"), "edges")
-    smallest = materialise(smallest, "smallest")
-    joined = heavy_join(both, smallest, "u", "edges", "inner")
+    if few:
+        joined = both.join(smallest, "u")
+    else:
+        smallest = materialise(smallest, "smallest")
+        joined = heavy_join(both, smallest, "u", "edges", "inner")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -40,5 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         if not row["n"] or (row["n"], row["h"]) == seen:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = (row["n"], row["h"])
-        current = materialise(_stars(current, large=True), "large-star")
-        current = materialise(_stars(current, large=False), "small-star")
+        few = row["n"] <= HEAVY_ROWS // 2  # a step at most doubles the edges
+        current = materialise(_stars(current, True, few), "large-star")
+        current = materialise(_stars(current, False, few), "small-star")

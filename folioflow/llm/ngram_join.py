@@ -223,7 +223,7 @@ def sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, words: int = WO
     wanted = materialise(named.join(nodes, "node", "left_semi").select("node", F.col("first").alias("doc_id")), "wanted")
     texts = _plain(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     found = texts.mapInArrow(task, "node long, n long, set array<long>")
-    return materialise(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _reaches(overlap, a, b, units: tuple[int, int]):
@@ -252,7 +252,7 @@ def family_links(docs: DataFrame, sketched: DataFrame, named: DataFrame, words:
     part = F.pmod(F.xxhash64("u"), F.ceil(-F.col("hub.m") / HUB_ROWS))
     pairs = materialise(chosen.select("u", F.col("hub.v").alias("v"), part.alias("part")), "pairs")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    return materialise(linked(pairs, sets_of(docs, named, wanted, words), units), "family-links")
+    return materialise(linked(pairs, materialise(sets_of(docs, named, wanted, words), "sets"), units), "family-links")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -417,11 +417,11 @@ def labelled(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS
     first = family_links(docs, known, named, words, units)
     families = components(first)
     second = matrix_links(docs, known, named, families, words, units)
-    final = materialise(components(first.unionByName(second)), "components")
+    final = components(first.unionByName(second))
     # The smallest doc_id of every component that has several nodes, then of every node, then of every row.
     grouped = named.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = grouped.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("nodes"))
-    labels = heavy_join(materialise(grouped, "grouped"), materialise(tops, "tops"), "component", "nodes", "inner")
+    labels = heavy_join(grouped, materialise(tops, "tops"), "component", "nodes", "inner")
     labels = materialise(labels.select("node", "component_id", "rows"), "labels")
     out = heavy_join(rows.withColumn("node", F.when(able, F.col("node"))), labels, "node", "rows")
     return out.select("doc_id", "same", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
