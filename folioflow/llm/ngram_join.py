@@ -16,16 +16,17 @@ many as two linked sets cannot both have without a common one. One shuffle by to
 in several nodes, and of these the ones that stand in several families.
 
 *Token-group matrix.* The nodes with such tokens are partitioned into groups of alike ones, and each group's
-union of shingles is stored, with those that stand in two members or more beside it. Nodes of a group are
-queries against every group that shares a candidate token with theirs (and against their own). By the stored
-union a query's overlap with any member is bounded; within its own group only shingles of two members count.
-Only groups whose bound reaches the threshold are opened: their members are compared with the queries that
-opened them. Links, thinned to a spanning forest, are all that comes back.
+union of tokens is stored: the matrix of tokens and groups. Every node is a query against the groups that
+hold a token of its own. A link leaves so many buckets of a level equal that the query must overlap the
+group's union by a number of tokens that follows from its size, its empty buckets and the largest size in the
+group (in its own group only tokens of two members count). Groups that are not overlapped by so much are ruled
+out; the others are opened: their members' shingles are compared with those of the queries that opened them.
+Links, thinned to a spanning forest, are all that comes back.
 
 So large sets of near copies are settled by the first pass in linear time, and pairs of nodes are never
 listed. The rest are joins and aggregations with map-side partial sums; keys that hold a large share of the
-rows are broadcast (at most a thousand), hubs' sets are replicated by the number of their members. Shingling,
-bounding and comparing run in numpy.
+rows are broadcast (at most a thousand), hubs' sets are replicated by the number of their members. Shingling
+and comparing run in numpy, the matrix is a join and a count.
 
 Defined results: a text without words is empty and links with nothing, as does a null text; with fewer
 words than a shingle has, the whole sequence is the one shingle; a row with null doc_id links with
@@ -104,8 +105,8 @@ class Levels:
             self.bounds.append(self.bounds[-1] * self.whole // self.part + 1)
         for j in range(len(self.buckets), len(self.bounds) - 2):
             k = (self.bounds[j + 1] + self.bounds[j + 2] - 2) * (self.whole - self.part) // (self.whole + self.part)
-            empty = (k + 1) * np.exp(-(self.bounds[j] + self.bounds[j + 1]) / 2 / (k + 1))
-            spare = 1 + int(empty + 3 * empty**0.5)
+            empty = (k + 1) * np.exp(-self.bounds[j] / (k + 1))  # as many as the smallest sets of the level leave on average
+            spare = 1 + int(empty + 4 * empty**0.5)
             self.buckets.append(k + 1 + spare if k else 0)
             self.spare.append(spare)
 
@@ -114,13 +115,24 @@ class Levels:
         self._extend(int(sizes.max(initial=1)))
         return np.searchsorted(self.bounds, sizes, side="right") - 1, np.array(self.buckets), np.array(self.spare)
 
+    def largest(self, sizes: np.ndarray, below: int) -> np.ndarray:
+        """The largest size that can link with a set at its own level (0), or at the level below its class (1)."""
+        bounds = np.array(self.bounds)
+        at = np.searchsorted(self.bounds, sizes, side="right") - 1
+        return bounds[at] - 1 if below else np.minimum(bounds[at + 2] - 1, sizes * self.whole // self.part)
+
     def prefix(self, sizes: np.ndarray) -> np.ndarray:
         """How many of a set's smallest shingles must hold one of a linked set's."""
         return sizes - (sizes * self.part + self.whole - 1) // self.whole + 1
 
 
-def bucket_tokens(values: np.ndarray, bounds: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate tokens of all sets one after the other, and where each set's begin."""
+def bucket_tokens(values: np.ndarray, bounds: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate tokens of all sets one after the other, where each set's begin, and four numbers a set.
+
+    A token's two lowest bits tell its kind: 0 and 1 for a bucket of an even and of an odd level, 2 for a
+    shingle. The numbers are, for either kind of level, the buckets that are filled and the largest size
+    with which the set can link there: of the filled buckets all but as many as shingles differ are equal.
+    """
     sizes = np.diff(bounds)
     n = len(sizes)
     owner = np.repeat(np.arange(n), sizes)
@@ -128,6 +140,8 @@ def bucket_tokens(values: np.ndarray, bounds: np.ndarray, levels: Levels) -> tup
     spread, content = mix64(values ^ np.uint64(0xD1B54A32D192ED03)), mix64(values ^ np.uint64(0x8CB92BA72F3D8DD7))
     rows, tokens = [], []
     sparse = np.zeros(n, dtype=bool)
+    room = np.zeros((n, 4), dtype=np.int64)
+    kind = lambda x, tag: x & ~np.uint64(3) | tag
     for below in (0, 1):
         level = classes - below
         used = (sizes > 0) & (level >= 0)
@@ -144,14 +158,17 @@ def bucket_tokens(values: np.ndarray, bounds: np.ndarray, levels: Levels) -> tup
         sparse |= np.bincount(who[~filled], minlength=n) > np.where(m > 0, spare[np.maximum(level, 0)], n + 1)
         label = mix64((level[who].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + np.uint64(1))
         rows.append(who[filled])
-        tokens.append(mix64(sums + label)[filled])
+        tokens.append(kind(mix64(sums + label), (level[who] & 1).astype(np.uint64))[filled])
+        odd = level & 1
+        room[np.arange(n), 2 * odd] = np.bincount(who[filled], minlength=n)
+        room[np.arange(n), 2 * odd + 1] = levels.largest(np.maximum(sizes, 1), below)
     some = np.flatnonzero(sparse)
     first = ragged(bounds[:-1][some], levels.prefix(sizes[some]))
     rows.append(owner[first])
-    tokens.append(mix64(values[first] ^ np.uint64(0xA0761D6478BD642F)))
+    tokens.append(kind(mix64(values[first] ^ np.uint64(0xA0761D6478BD642F)), np.uint64(2)))
     rows, tokens = np.concatenate(rows), np.concatenate(tokens)
     order = np.argsort(rows, kind="stable")
-    return tokens[order], np.searchsorted(rows[order], np.arange(n + 1))
+    return tokens[order], np.searchsorted(rows[order], np.arange(n + 1)), room
 
 
 def set_nodes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -189,7 +206,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def sketch(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS) -> DataFrame:
-    """doc_id, same (hash of the text), n (set size), node, keys and tokens of every row; keys and tokens once a node and task."""
+    """doc_id, same (hash of the text), n (set size), node, keys, tokens and room of every row; keys and tokens once a node and task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(units)
@@ -202,13 +219,14 @@ def sketch(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS)
             fresh &= (sizes > 0) & ~np.fromiter((x in met for x in nodes.tolist()), dtype=bool, count=len(nodes))
             met.update(nodes[fresh].tolist())
             values, bounds = values[np.repeat(fresh, sizes)], np.concatenate([[0], np.cumsum(np.where(fresh, sizes, 0))])
-            tokens, cuts = bucket_tokens(values, bounds, levels)
+            tokens, cuts, room = bucket_tokens(values, bounds, levels)
+            rooms = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(nodes) + 1, 4, dtype=np.int32)), pa.array(room.reshape(-1)))
             keys, key_cuts = group_keys(values, bounds)[fresh], np.concatenate([[0], np.cumsum(fresh * KEYS)])
-            columns = [batch.column("doc_id"), batch.column("same"), pa.array(sizes), pa.array(nodes), _lists(keys.reshape(-1), key_cuts), _lists(tokens, cuts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "node", "keys", "tokens"])
+            columns = [batch.column("doc_id"), batch.column("same"), pa.array(sizes), pa.array(nodes), _lists(keys.reshape(-1), key_cuts), _lists(tokens, cuts), rooms]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "node", "keys", "tokens", "room"])
 
     hashed = _plain(docs).select("doc_id", F.xxhash64("text").alias("same"), "text")
-    return hashed.mapInArrow(task, "doc_id long, same long, n long, node long, keys array<long>, tokens array<long>")
+    return hashed.mapInArrow(task, "doc_id long, same long, n long, node long, keys array<long>, tokens array<long>, room array<long>")
 
 
 def sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
@@ -269,16 +287,6 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def bounded(queries: list[np.ndarray], union: np.ndarray, units: tuple[int, int]) -> np.ndarray:
-    """Which queries' sets overlap a stored union (sorted) by what a link needs at least."""
-    sizes = np.fromiter(map(len, queries), dtype=np.int64, count=len(queries))
-    flat = np.concatenate(queries)
-    at = np.minimum(np.searchsorted(union, flat), max(len(union) - 1, 0))
-    inside = union[at] == flat if len(union) else np.zeros(len(flat), dtype=bool)
-    overlap = np.add.reduceat(inside.astype(np.int64), np.cumsum(sizes) - sizes)
-    return overlap * units[1] >= sizes * units[0]
-
-
 def member_links(queries: list[int], members: list[int], sets: list[np.ndarray], groups: np.ndarray, units: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Places (u, v) of the links between queries and members of unlike families."""
     postings = np.concatenate([sets[m] for m in members])
@@ -327,30 +335,6 @@ def _by_pair(dealt: DataFrame, marks: tuple[str, str], one, schema: str) -> Data
     return dealt.repartition(*marks).sortWithinPartitions(*marks).mapInArrow(task, schema)
 
 
-def group_unions(filled: DataFrame) -> DataFrame:
-    """(grp, union, twice): the shingles of every group of ``filled`` (grp, node, set), and those of two members or more, sorted."""
-
-    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(np.asarray(table.column("set").combine_chunks().values), return_counts=True)
-        lists = [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (values, values[counts > 1])]
-        yield pa.RecordBatch.from_arrays([table.column("grp").combine_chunks()[:1], *lists], names=["grp", "union", "twice"])
-
-    return _by_pair(filled.select("grp", F.col("grp").alias("mark"), "set"), ("grp", "mark"), one, "grp long, union array<long>, twice array<long>")
-
-
-def opened(dealt: DataFrame, units: tuple[int, int]) -> DataFrame:
-    """Queries (b, node, ruled_out) and whether the stored union of group b rules them out, of rows (a, b, node, set): null nodes are unions."""
-
-    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, sets = table.column("node").combine_chunks(), _sets(table.column("set").combine_chunks())
-        asked = np.flatnonzero(np.asarray(node.is_valid()))
-        (union,) = [sets[k] for k in np.flatnonzero(np.asarray(node.is_null()))]
-        out = ~bounded([sets[k] for k in asked.tolist()], union, units)
-        yield pa.RecordBatch.from_arrays([table.column("b").combine_chunks().take(pa.array(asked)), node.take(pa.array(asked)), pa.array(out)], names=["b", "node", "ruled_out"])
-
-    return _by_pair(dealt, ("a", "b"), one, "b long, node long, ruled_out boolean")
-
-
 def pair_links(dealt: DataFrame, units: tuple[int, int]) -> DataFrame:
     """Links (u, v) between queries and members of opened groups, of rows (b, part, query, node, family, set); of each part a spanning forest."""
 
@@ -377,6 +361,31 @@ def candidates(sketched: DataFrame, families: DataFrame) -> DataFrame:
     return materialise(heavy_join(named, materialise(ends, "tokens"), "token", "rows", "inner"), "candidates")
 
 
+def overlaps(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, node, b, even, odd, single): by how many tokens of each kind the node, of group a, overlaps the stored union of group b.
+
+    Of two groups only one asks the other. Within a group only tokens of two members count.
+    """
+    placed = cells.select("token", "node").join(members.select("node", "grp"), "node")
+    unions = materialise(placed.groupBy("token", "grp").agg(F.count("*").alias("held")), "unions")
+    kind = F.col("token").bitwiseAND(F.lit(3))
+    met = placed.withColumnRenamed("grp", "a").join(unions.withColumnRenamed("grp", "b"), "token").filter("a < b or (a = b and held > 1)")
+    return met.groupBy("a", "node", "b").agg(F.count_if(kind == 0).alias("even"), F.count_if(kind == 1).alias("odd"), F.count_if(kind == 2).alias("single"))
+
+
+def opened(asked: DataFrame, members: DataFrame, units: tuple[int, int]) -> DataFrame:
+    """``asked`` (node, b, even, odd, single) with ``open``: could group b hold a member that links with the node?"""
+    known = members.select("node", "n", "room")
+    tops = members.groupBy(F.col("grp").alias("b")).agg(F.max("n").alias("top"))
+
+    def enough(overlap: str, at: int):
+        filled, largest = F.col("room")[at], F.least(F.col("room")[at + 1], F.col("top"))
+        differ = F.floor((F.col("n") + largest) * (units[1] - units[0]) / (units[1] + units[0]))
+        return F.col(overlap) >= F.greatest(filled - differ, F.lit(1))
+
+    return asked.join(known, "node").join(tops, "b").withColumn("open", enough("even", 0) | enough("odd", 2) | (F.col("single") > 0)).select(*asked.columns, "open")
+
+
 def matrix_links(docs: DataFrame, sketched: DataFrame, named: DataFrame, families: DataFrame, words: int, units: tuple[int, int], block: int = BLOCK) -> DataFrame:
     """Second pass: links between nodes of unlike families that the token-group matrix does not rule out."""
     cells = candidates(sketched, families)
@@ -385,20 +394,19 @@ def matrix_links(docs: DataFrame, sketched: DataFrame, named: DataFrame, familie
     sizes = alike.groupBy("kind").agg(F.count("*").alias("members"))
     sizes = materialise(sizes.withColumn("rows", F.col("members")), "kinds")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block))
-    members = materialise(heavy_join(alike, sizes, "kind", "rows", "inner").select("node", "family", F.xxhash64("kind", part).alias("grp")), "groups")
-    columns = materialise(cells.select("token", "node").join(members.select("node", "grp"), "node").select("token", "grp").distinct(), "columns")
-    pairs = columns.select("token", F.col("grp").alias("a")).join(columns.select("token", F.col("grp").alias("b")), "token").filter("a <= b").select("a", "b").distinct()
-    pairs = materialise(pairs, "group-pairs")
-    filled = materialise(members.join(sets_of(docs, named, members.select("node"), words).select("node", "set"), "node"), "filled")
-    unions = materialise(group_unions(filled), "unions")
-    queries = pairs.join(filled.select(F.col("grp").alias("a"), "node", "set"), "a").select("a", "b", "node", "set")
-    stored = pairs.join(unions.withColumnRenamed("grp", "b"), "b").select("a", "b", F.lit(None).cast("long").alias("node"), F.when(F.col("a") == F.col("b"), F.col("twice")).otherwise(F.col("union")).alias("set"))
-    asked = materialise(opened(queries.unionByName(stored), units), "opened").filter("not ruled_out").select("b", "node").distinct()
+    members = heavy_join(alike, sizes, "kind", "rows", "inner").select("node", "family", F.xxhash64("kind", part).alias("grp"))
+    rooms = sketched.filter(F.size("tokens") > 0).select("node", "n", "room").dropDuplicates(["node"])
+    members = materialise(members.join(rooms, "node"), "groups")
+    asked = materialise(opened(overlaps(cells, members), members, units), "opened").filter("open")
     rows = asked.groupBy("b").agg(F.count("*").alias("asked"))
     dealt = asked.join(rows, "b").select("b", F.pmod(F.xxhash64("node"), F.ceil(F.col("asked") / block)).alias("part"), "node")
     dealt = materialise(dealt, "asked")
-    asking = dealt.join(filled.select("node", "family", "set"), "node").select("b", "part", F.lit(True).alias("query"), "node", "family", "set")
-    answering = dealt.select("b", "part").distinct().join(filled.withColumnRenamed("grp", "b"), "b").select("b", "part", F.lit(False).alias("query"), "node", "family", "set")
+    # Sets are looked up for the queries and for the members of the groups that are opened.
+    groups = members.select("node", "family", F.col("grp").alias("b"))
+    wanted = dealt.select("node").union(groups.join(dealt.select("b").distinct(), "b", "left_semi").select("node")).distinct()
+    sets = materialise(sets_of(docs, named, wanted, words).select("node", "set"), "sets")
+    asking = dealt.join(members.select("node", "family"), "node").join(sets, "node").select("b", "part", F.lit(True).alias("query"), "node", "family", "set")
+    answering = dealt.select("b", "part").distinct().join(groups.join(sets, "node"), "b").select("b", "part", F.lit(False).alias("query"), "node", "family", "set")
     return materialise(pair_links(asking.unionByName(answering), units), "matrix-links")
 
 
