@@ -67,6 +67,23 @@ def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: st
     return left.join(heavy, key).unionByName(apart.join(right.filter(F.col(weight) <= limit).drop(weight), key, how))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, shares: DataFrame, weight: str, salt, spread: int = 64) -> DataFrame:
+    """``left`` join ``right`` by ``key``, of which ``right`` may have several rows; heavy keys are dealt over ``spread`` tasks by ``salt``.
+
+    ``shares`` has a row per key with ``weight``, the rows of ``left`` that have it. Only the names of heavy
+    keys, a thousand at most, are broadcast.
+    """
+    shares = materialise(shares, "shares")
+    bound = shares.agg(F.max(weight).alias("most"), F.sum(weight).alias("total")).first()
+    limit = max((bound["total"] or 0) // HEAVY_KEYS, HEAVY_ROWS)
+    if (bound["most"] or 0) <= limit:
+        return left.join(right, key)
+    heavy = F.broadcast(shares.filter(F.col(weight) > limit).select(key, F.lit(spread).alias("salts")))
+    dealt = left.join(heavy, key, "left").withColumn("salt", F.pmod(F.xxhash64(salt), F.coalesce("salts", F.lit(1)))).drop("salts")
+    copied = right.join(heavy, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).cast("long")).drop("salts")
+    return dealt.join(copied, [key, "salt"]).drop("salt")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a scratch path through Spark's file system layer."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

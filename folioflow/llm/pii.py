@@ -11,12 +11,14 @@ they are independent. Pairs met in ``min_support`` distinct texts at least count
 ``remove_from`` are removed, those of at least ``generalise_from`` are replaced by their category, in the
 texts that hold the entity. Copies of a text count once, so that a copied page proves nothing.
 
-Counts cover the whole corpus and are shuffled as partial sums; nothing is collected. Patterns are
-written so that Java's matcher neither recurses by the length of a match nor rescans a long run.
+Counts cover the whole corpus and are shuffled as partial sums; nothing is collected. Texts and entities that
+stand in a large share of the rows are met by a broadcast or dealt over several tasks. Patterns are
+written so that Java's matcher neither recurses by the length of a match nor rescans a long run, and a text
+takes time in proportion to its length and matches.
 
 Defined results: a null text counts as empty; empty span lists give empty strings (base_sha256 is that of
 the empty string); equal texts give equal values; a null doc_id stays; an empty table gives no row.
-Other columns are passed on by ``sanitise`` and ignored by ``find``.
+Other columns, whatever their names, are passed on by ``sanitise`` and ignored by ``find``.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialise
-from folioflow.llm.native import SPANS, spans
+from folioflow.llm.common import heavy_join, materialise, salted_join
+from folioflow.llm.native import SPANS, counted, let, piece, running, spans, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that the co-occurrence method adds: replaced by a category, or removed.
@@ -40,12 +42,11 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORDS = r"[\p{L}\p{N}]{3,}"
 
 WINDOW = 6
-#: Characters on either side of a span in which its neighbouring words are looked for.
-REACH = 120
 MIN_SUPPORT = 3
 GENERALISE_FROM = 0.8
 REMOVE_FROM = 0.95
-
+#: Most terms that go to every executor (about 40 bytes each).
+BROADCAST_TERMS = 200_000
 
 
 def _no_spans() -> Column:
@@ -75,6 +76,16 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def _gates(text: Column) -> dict[str, Column]:
+    """Kind -> what any text with such a span holds, found fast."""
+    return {
+        "email": F.contains(text, F.lit("@")),
+        "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
+        "card": text.rlike(r"(?:[0-9][ -]?){12}[0-9]"),
+        "phone": F.contains(text, F.lit("+")),
+    }
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """Kind -> spans of a text, by the fixed patterns and checks."""
 
@@ -90,13 +101,14 @@ def base_spans(text: Column) -> dict[str, Column]:
         n = F.length(_digits(x["v"]))
         return (n >= 9) & (n <= 15)
 
-    none = _no_spans()
-    return {
-        "email": F.when(F.contains(text, F.lit("@")), spans(_joined(text, r"\.", "[A-Za-z0-9-]"), F.lit(EMAIL))).otherwise(none),
-        "ip": F.when(text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), F.filter(spans(text, F.lit(IP)), ip_ok)).otherwise(none),
-        "card": F.when(text.rlike(r"(?:[0-9][ -]?){12}[0-9]"), F.filter(spans(_joined(text, "[ -]", "[0-9]"), F.lit(CARD)), card_ok)).otherwise(none),
-        "phone": F.when(F.contains(text, F.lit("+")), F.filter(spans(text, F.lit(PHONE)), phone_ok)).otherwise(none),
+    none, gates = _no_spans(), _gates(text)
+    found = {
+        "email": spans(_joined(text, r"\.", "[A-Za-z0-9-]"), F.lit(EMAIL)),
+        "ip": F.filter(spans(text, F.lit(IP)), ip_ok),
+        "card": F.filter(spans(_joined(text, "[ -]", "[0-9]"), F.lit(CARD)), card_ok),
+        "phone": F.filter(spans(text, F.lit(PHONE)), phone_ok),
     }
+    return {kind: F.when(gates[kind], column).otherwise(none) for kind, column in found.items()}
 
 
 def _listed(kind: Column | str, found: Column) -> Column:
@@ -117,35 +129,38 @@ def _tagged(kind: str) -> Column:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans by kind, ``key`` (equal for equal texts that hold spans, unlike otherwise), ``same`` and the text where it holds spans."""
+    """doc_id, the base spans by kind, ``same`` (a hash of the text), and ``key`` (its digest) and the text where it holds spans."""
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = plain.select("doc_id", "text", *(c.alias(kind) for kind, c in base_spans(F.col("text")).items()))
     some = F.greatest(*[F.size(k) for k in KINDS]) > 0
-    return found.select(
-        "doc_id",
-        *KINDS,
-        F.when(some, F.md5("text")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-        F.xxhash64("text").alias("same"),
-        F.when(some, F.col("text")).alias("text"),
-    )
+    return found.select("doc_id", *KINDS, F.xxhash64("text").alias("same"), F.when(some, F.md5("text")).alias("key"), F.when(some, F.col("text")).alias("text"))
 
 
-def _neighbours(text: Column, x: Column, window: int) -> Column:
-    """Distinct lower-case words within ``window`` words before or after a span."""
-    before = F.substr(text, F.greatest(x["s"] - REACH + 1, F.lit(1)), F.least(x["s"], F.lit(REACH)))
-    after = F.substr(text, x["e"] + 1, F.lit(REACH))
-    left = F.regexp_extract_all(F.lower(before), F.lit(WORDS), F.lit(0))
-    right = F.regexp_extract_all(F.lower(after), F.lit(WORDS), F.lit(0))
-    near = F.concat(F.slice(left, F.greatest(F.size(left) - window + 1, F.lit(1)), window), F.slice(right, 1, window))
-    return F.array_distinct(near)
+def _holders(base: DataFrame) -> DataFrame:
+    """One row of each distinct text that holds spans, with ``rows``, how many have it."""
+    kept = [F.any_value(c).alias(c) for c in (*KINDS, "same", "text")]
+    return base.filter(F.col("key").isNotNull()).groupBy("key").agg(*kept, F.count("*").alias("rows"))
+
+
+def _neighbours(words: Column, found: Column, window: int) -> Column:
+    """(entity, terms) of every span of ``found``: distinct lower-case words among the ``window`` ones before and after it."""
+    before = counted(F.transform(words, lambda w: w["e"]), F.transform(found, lambda x: x["s"]), True)
+    after = counted(F.transform(words, lambda w: w["s"]), F.transform(found, lambda x: x["e"]), False)
+
+    def near(x: Column, n: Column) -> Column:
+        left = F.slice(words, F.greatest(n["b"] - window + 1, F.lit(1)), F.least(n["b"], F.lit(window)))
+        both = F.concat(left, F.slice(words, n["a"] + 1, F.lit(window)))
+        return F.struct(x["entity"].alias("entity"), F.array_distinct(F.transform(both, lambda w: F.lower(w["v"]))).alias("terms"))
+
+    return let(F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a"))), lambda ranks: F.zip_with(found, ranks, near))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, generalise_from: float = GENERALISE_FROM) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity of the corpus by at least ``generalise_from``."""
     spark = docs.sparkSession
-    holders = base.filter(F.col("text").isNotNull())
-    mentions = holders.select("same", "text", F.explode(F.concat(*map(_entities, KINDS))).alias("x"))
-    mentions = mentions.select("same", F.col("x")["entity"].alias("entity"), _neighbours(F.col("text"), F.col("x"), window).alias("terms"))
+    holders = _holders(base)
+    found = let(F.struct(spans(F.col("text"), F.lit(WORDS)).alias("w"), F.concat(*map(_entities, KINDS)).alias("x")), lambda z: _neighbours(z["w"], z["x"], window))
+    mentions = holders.select("same", F.explode(found).alias("m")).select("same", "m.entity", "m.terms")
     met = materialise(mentions.select("entity", "same", F.explode("terms").alias("term")).distinct(), "met")
     entities = mentions.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     # One number, that of distinct texts, goes into every row.
@@ -165,20 +180,26 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, window: int = WINDOW, min
     words = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         F.xxhash64("text").alias("same"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))).alias("term")
     )
-    frequency = words.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    held = words.join(F.broadcast(wanted), "term", "left_semi") if wanted.count() <= BROADCAST_TERMS else words.join(wanted, "term", "left_semi")
+    frequency = held.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
     scored = pairs.join(frequency, "term").select("entity", "term", disclosure(F.col("with_term")).alias("disclosure"))
     return materialise(scored.filter(F.col("disclosure") >= generalise_from), "disclosing")
 
 
 def term_spans(base: DataFrame, terms: DataFrame, remove_from: float = REMOVE_FROM) -> DataFrame:
-    """key -> spans (s, e, kind) of the revealing terms in the texts that hold the entities they reveal."""
-    holders = base.filter(F.col("text").isNotNull()).dropDuplicates(["key"])
+    """key, terms and rows: spans (s, e, kind) of the revealing terms in the distinct texts that hold the entities they reveal."""
+    holders = materialise(_holders(base), "holders")
     held = holders.select("key", F.explode(F.array_distinct(F.transform(F.concat(*map(_entities, KINDS)), lambda x: x["entity"]))).alias("entity"))
-    by_text = held.join(terms, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
-    # The term is looked up in the text's words; the text goes along once per revealing term, of which there are few.
-    placed = by_text.join(holders.select("key", "text"), "key").select("key", "term", "disclosure", F.explode(spans(F.lower("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("term"), F.lit(r"\E(?![\p{L}\p{N}])")))).alias("x"))
-    kind = F.when(F.col("disclosure") >= remove_from, F.lit(DROPPED)).otherwise(F.lit(TERM))
-    return placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("x")["s"].alias("s"), F.col("x")["e"].alias("e"), kind.alias("kind")))).alias("terms"))
+    shares = held.groupBy("entity").agg(F.count("*").alias("texts"))
+    met = salted_join(held, terms, "entity", shares, "texts", F.col("key"))
+    by_text = met.groupBy("key", "term").agg(F.max("disclosure").alias("disclosure")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+
+    def located(words: Column) -> Column:
+        told = lambda w: F.try_element_at("told", F.lower(w["v"]))
+        kind = lambda w: F.when(told(w) >= remove_from, F.lit(DROPPED)).otherwise(F.lit(TERM))
+        return F.transform(F.filter(words, lambda w: told(w).isNotNull()), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), kind(w).alias("kind")))
+
+    return by_text.join(holders.select("key", "text", "rows"), "key").select("key", let(spans(F.col("text"), F.lit(WORDS)), located).alias("terms"), "rows")
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:
@@ -187,7 +208,10 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     remove_from = thresholds.pop("remove_from", REMOVE_FROM)
     extra = term_spans(base, disclosing_terms(docs, base, **thresholds), remove_from)
     everything = F.array_join(F.concat(*[_listed(k, F.col(k)) for k in KINDS]), ",")
-    rows = base.select("doc_id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], everything.alias("listed")).join(extra, "key", "left")
+    rows = base.select("doc_id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], everything.alias("listed"))
+    # Texts without spans meet nothing, and are not shuffled.
+    extra = materialise(extra, "terms")
+    rows = heavy_join(rows.filter("key is not null"), extra, "key", "rows").unionByName(rows.filter("key is null"), allowMissingColumns=True)
     added = F.coalesce(F.array_join(F.concat(*map(_listed_terms, (TERM, DROPPED))), ","), F.lit(""))
     return rows.select(
         "doc_id",
@@ -200,14 +224,16 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
 def redact(text: Column, found: Column) -> Column:
     """The text with spans (s, e, kind), sorted by s, replaced by [KIND], or by nothing for DROPPED. Spans that overlap share one replacement."""
 
-    def step(state: Column, x: Column) -> Column:
-        tag = F.when(x["kind"] == DROPPED, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-        fresh = F.struct(x["e"].alias("at"), F.concat(state["out"], F.substr(text, state["at"] + 1, x["s"] - state["at"]), tag).alias("out"))
-        longer = F.struct(F.greatest(state["at"], x["e"]).alias("at"), state["out"].alias("out"))
-        return F.when(x["s"] >= state["at"], fresh).otherwise(longer)
+    def cut(z: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), running(F.transform(z["x"], lambda x: x["e"]), larger=True))
+        return let(F.struct(z["x"].alias("x"), z["b"].alias("b"), ends.alias("e")), filled)
+
+    def filled(z: Column) -> Column:
+        tag = lambda x: F.when(x["kind"] == DROPPED, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        parts = F.transform(z["x"], lambda x, i: F.when(x["s"] >= z["e"][i], F.concat(piece(z["b"], z["e"][i], x["s"]), tag(x))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), piece(z["b"], F.element_at(z["e"], -1), F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(found, zero, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
+    return let(F.struct(found.alias("x"), text_blocks(text).alias("b")), cut)
 
 
 def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
@@ -216,15 +242,24 @@ def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = materialise(find_base(plain), "pii")
     extra = term_spans(base, disclosing_terms(plain, base, **thresholds), remove_from)
-    holders = base.filter(F.col("text").isNotNull()).dropDuplicates(["key"]).join(extra, "key", "left")
+    holders = _holders(base).join(extra.drop("rows"), "key", "left")
     every = F.concat(*map(_tagged, KINDS), F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,kind:string>>")))
-    clean = holders.select(F.col("key").alias("__key"), redact(F.col("text"), F.array_sort(every)).alias("__clean"))
-    # Only texts that hold a base span can change; the others pass by the join.
-    return _replaced(docs, clean, text)
+    clean = holders.select("key", redact(F.col("text"), F.array_sort(every)).alias("clean"), "rows")
+    return _replaced(docs, materialise(clean, "clean"), text)
 
 
 def _replaced(docs: DataFrame, clean: DataFrame, text: str) -> DataFrame:
-    out = docs.withColumn("__key", F.md5(F.col(text))).join(clean, "__key", "left")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn(text, F.coalesce("__clean", F.col(text))).select(docs.columns)
+    """``docs`` with the texts of ``clean`` (key, clean, rows). Only texts that may hold a base span are looked up; the others are not shuffled."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names, strict=True))
+    plain, old = docs.toDF(*names), F.col(place[text])
+    gate = F.lit(False)
+    for holds in _gates(old.cast("string")).values():
+        gate = gate | F.coalesce(holds, F.lit(False))
+    met = heavy_join(plain.filter(gate).withColumn("key", F.md5(old.cast("string"))), clean, "key", "rows")
+    out = met.drop("key").unionByName(plain.filter(~gate), allowMissingColumns=True)
+    new = {place[text]: F.coalesce("clean", old)}
+    if "n_chars" in place:
+        kept = F.col(place["n_chars"])
+        new[place["n_chars"]] = F.when(F.col("clean").isNull(), kept).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[new.get(n, F.col(n)).alias(c) for c, n in place.items()])
