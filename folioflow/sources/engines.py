@@ -108,10 +108,23 @@ class Pdfium:
 
     def page_texts(self, content: bytes) -> list[str]:
         document = self._open(content)
-        return [page.get_textpage().get_text_range().replace("\r\n", "\n").replace("\r", "\n").strip() for page in document]
+        texts = []
+        try:
+            for page in document:
+                layer = page.get_textpage()
+                texts.append(layer.get_text_range().replace("\r\n", "\n").replace("\r", "\n").strip())
+                layer.close()
+                page.close()
+        finally:
+            document.close()
+        return texts
 
     def render(self, content: bytes, page: int, dpi: int) -> np.ndarray:
-        return np.asarray(self._open(content)[page - 1].render(scale=max(1, dpi / 72), grayscale=True).to_numpy())
+        document = self._open(content)
+        try:
+            return np.array(document[page - 1].render(scale=max(1, dpi / 72), grayscale=True).to_numpy())
+        finally:
+            document.close()
 
 
 @dataclass
@@ -248,14 +261,19 @@ def _attempts(image: np.ndarray, dpi: int, number: int, recogniser: OcrEngine, s
         shown = image_variant(image, variant)
         for psm in settings.psm:
             number += 1
-            tsv = recogniser.table(shown, psm)
-            yield number, dpi, variant, psm, tsv, "" if has_words(tsv) else recogniser.text(shown, psm)
+            try:
+                tsv = recogniser.table(shown, psm)
+                plain = "" if has_words(tsv) else recogniser.text(shown, psm)
+            except Exception:  # a failing attempt, or one that takes too long, must not stop the others
+                tsv = plain = ""
+            yield number, dpi, variant, psm, tsv, plain
 
 
 def recognise(pages: DataFrame, pdf: Callable[[], PdfEngine], ocr: Callable[[], OcrEngine], settings: S.Settings) -> DataFrame:
     """Word tables of the attempts at ``pages`` (doc_id, page_index, content), and ``blank`` for pages that look empty.
 
-    All attempts at a page run in one task, from the finest resolution down; a blank page takes none. The
+    All attempts at a page run in one task, from the finest resolution down; a blank page takes none. A
+    resolution that cannot be rendered is passed over; a page without any keeps one attempt without text. The
     caller filters pages first, so that no page with a good text layer is ever rendered.
     """
 
@@ -266,12 +284,16 @@ def recognise(pages: DataFrame, pdf: Callable[[], PdfEngine], ocr: Callable[[],
             for doc_id, page, content in zip(batch["doc_id"], batch["page_index"], batch["content"], strict=True):
                 rows = []
                 for dpi in settings.dpi:
-                    image = reader.render(content, page, dpi)
+                    try:
+                        image = reader.render(content, page, dpi)
+                    except Exception:
+                        continue
                     if not rows and is_blank(image):
                         rows.append((doc_id, page, 0, dpi, "", 0, True, "", ""))
                         break
                     tried = _attempts(image, dpi, len(rows), recogniser, settings)
                     rows += [(doc_id, page, *setting, False, tsv, plain) for *setting, tsv, plain in tried]
+                rows = rows or [(doc_id, page, 1, settings.dpi[0], settings.variants[0], settings.psm[0], False, "", "")]
                 yield pd.DataFrame(rows, columns=names)
 
     return pages.select("doc_id", "page_index", "content").mapInPandas(work, "doc_id long, page_index int, attempt_no int, dpi int, variant string, psm int, blank boolean, tsv string, plain string")
