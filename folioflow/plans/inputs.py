@@ -52,11 +52,6 @@ def sure_attempts(docs: DataFrame) -> DataFrame:
 
 
 def attempts(docs: DataFrame) -> DataFrame:
-    """doc_id, page_index and the matrix of attempts with made-up confidences and the beginnings of texts, of unlike lengths."""
-    return sure_attempts(docs.select("doc_id", "text")).withColumn("text", F.substr("text", F.lit(1), 300 + (F.col("attempt_no") * 37) % 400))
-
-
-def whole_attempts(docs: DataFrame) -> DataFrame:
     """doc_id, page_index and the matrix of attempts with made-up confidences and whole texts, each with a tail of its attempt's own length."""
     return sure_attempts(docs.select("doc_id", "text")).withColumn("text", F.concat("text", F.repeat(F.lit("x"), (F.col("attempt_no") * 37 % 400).cast("int"))))
 

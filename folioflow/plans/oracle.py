@@ -71,9 +71,6 @@ r AS (SELECT *, CASE WHEN qw = '' THEN 'норма' ELSE 'проверить' EN
  concat_ws(' ', CASE WHEN length(text) < 400 THEN 'Мало извлечённого текста, нужно проверить вручную.' WHEN reviews > 0 THEN 'Есть элементы OCR для ручной проверки: ' || reviews || '.' END,
  CASE WHEN bad THEN 'Похоже на слабое распознавание русского текста.' END, nullif(qw, '')) AS warning,
  CASE WHEN scanned THEN 'Постранично: текст+OCR' ELSE 'PDFium text' END AS method FROM r1)"""
-TRIED = f"""{ALTERED},
-mx AS (SELECT row_number() OVER (ORDER BY di, vi, pi) AS attempt_no, dpi, vi, psm FROM (VALUES (1, 300), (2, 250), (3, 216)) x(di, dpi), (VALUES (1), (2), (3)) y(vi), (VALUES (1, 6), (2, 4), (3, 11)) z(pi, psm)),
-t AS (SELECT doc_id, attempt_no, psm, ((doc_id * 31 + dpi * 7 + psm * 13 + vi * 17) % 101)::DOUBLE AS sure, substr(text, 1, (300 + (attempt_no * 37) % 400)::BIGINT) AS text FROM d, mx)"""
 MATRIX = """mx AS (SELECT row_number() OVER (ORDER BY di, vi, pi) AS attempt_no, dpi, vi, psm FROM (VALUES (1, 300), (2, 250), (3, 216)) x(di, dpi), (VALUES (1), (2), (3)) y(vi), (VALUES (1, 6), (2, 4), (3, 11)) z(pi, psm))"""
 ATTEMPT_SURE = "((doc_id * 31 + dpi * 7 + psm * 13 + vi * 17) % 101)::DOUBLE"
 _PHRASES = ("the that", "and the of", "mit license", "tionre thand", "quality of des", "ing")
@@ -103,9 +100,7 @@ SQL: dict[str, str] = {
 SELECT lang, CASE WHEN warning = '' THEN 'норма' ELSE 'проверить' END AS quality_status, warning, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM q GROUP BY ALL""",
     "letter_stats": f"""WITH {ALTERED} SELECT doc_id, {_letters('text')} AS letters, {_n('text', f'[{C}]')} AS cyrillic, {_runs('text', '>= 2')} AS words, {_runs('text', '= 1')} AS singles, {_repl('text')} AS replacements FROM d""",
     "page_ocr_decision": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, page_index, {_strip('page_text')} AS st FROM p) SELECT doc_id, page_index, {NEED} AS needs_ocr, {_bad('st')} AS bad_layer FROM s""",
-    "doc_type": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, {_strip('page_text')} AS st FROM p WHERE doc_id % 9 <> 0), c AS (SELECT doc_id, count(*) AS n, count_if({NEED}) AS o FROM s GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.doc_id % 13 = 0 THEN 'DOCX' WHEN d.doc_id % 17 = 0 THEN 'ODT' WHEN n IS NULL OR n = o THEN 'PDF-скан' WHEN o > 0 THEN 'PDF смешанный' ELSE 'PDF с текстом' END AS doc_type, n AS page_count FROM d LEFT JOIN c USING (doc_id)""",
-    "doc_type_whole": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, {_strip('page_text')} AS st FROM p), c AS (SELECT doc_id, count(*) AS n, count_if({NEED}) AS o FROM s GROUP BY doc_id)
+    "doc_type": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, {_strip('page_text')} AS st FROM p), c AS (SELECT doc_id, count(*) AS n, count_if({NEED}) AS o FROM s GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.doc_id % 13 = 0 THEN 'DOCX' WHEN d.doc_id % 17 = 0 THEN 'ODT' WHEN n IS NULL OR n = o THEN 'PDF-скан' WHEN o > 0 THEN 'PDF смешанный' ELSE 'PDF с текстом' END AS doc_type, n AS page_count FROM d LEFT JOIN c USING (doc_id)""",
     "page_warnings": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, page_index, {_strip('page_text')} AS st, {SURE} AS sure FROM p) SELECT doc_id, page_index, {NOTE.format(strict='TRUE', ocr='TRUE')} AS warning FROM s""",
     "bad_russian_ocr": f"""WITH {ALTERED} SELECT doc_id, {_letters('text')} >= 200 AND {_cyr('text')} < 0.35 AS bad FROM d""",
@@ -119,20 +114,11 @@ o AS (SELECT doc_id, array_to_string(s.o || CASE WHEN s.p <> '' THEN [s.p] ELSE
 SELECT doc_id, md5({_strip(r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')")}) AS digest FROM o""",
     "tsv_lines": f"WITH {_WORDS} SELECT doc_id, (i // 7)::BIGINT AS line_num, string_agg(word, ' ' ORDER BY i) AS line FROM w GROUP BY doc_id, i // 7",
     "tsv_confidence": f"WITH {_WORDS}, c AS (SELECT doc_id, (doc_id * 7 + i * 13) % 103 - 2 AS c FROM w) SELECT doc_id, sum(CASE WHEN c >= 0 THEN c END)::DOUBLE AS total, count(CASE WHEN c >= 0 THEN 1 END) AS words FROM c GROUP BY doc_id",
-    "attempt_scores": f"""WITH {TRIED}, s AS (SELECT doc_id, attempt_no, psm, sure, {_strip('text')} AS st FROM t WHERE doc_id % 5 = 0)
-SELECT doc_id, attempt_no, floor(((CASE WHEN st = '' THEN 0.0::DOUBLE ELSE least(length(st), 2500) * 0.03::DOUBLE + {_runs('st', '>= 2')} * 0.8::DOUBLE + sure * 2.0::DOUBLE + {_cyr('st')} * 35.0::DOUBLE - {_repl('st')} * 8.0::DOUBLE - {_single('st')} * 40.0::DOUBLE END)
- + CASE psm WHEN 6 THEN 8.0::DOUBLE WHEN 4 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 + 0.5)::BIGINT AS hundredths FROM s""",
-    "attempt_scores_whole": f"""WITH {ALTERED}, {MATRIX}, s AS (SELECT doc_id, {_strip('text')} AS st FROM d),
+    "attempt_scores": f"""WITH {ALTERED}, {MATRIX}, s AS (SELECT doc_id, {_strip('text')} AS st FROM d),
 o AS MATERIALIZED (SELECT doc_id, st = '' AS none, least(length(st), 2500) AS n, {_runs('st', '>= 2')} AS w, {_cyr('st')} AS c, {_repl('st')} AS r, {_single('st')} AS g FROM s)
 SELECT doc_id, attempt_no, floor(((CASE WHEN none THEN 0.0::DOUBLE ELSE n * 0.03::DOUBLE + w * 0.8::DOUBLE + {ATTEMPT_SURE} * 2.0::DOUBLE + c * 35.0::DOUBLE - r * 8.0::DOUBLE - g * 40.0::DOUBLE END)
  + CASE psm WHEN 6 THEN 8.0::DOUBLE WHEN 4 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 + 0.5)::BIGINT AS hundredths FROM o, mx""",
-    "best_attempt": f"""WITH {TRIED}, s AS (SELECT doc_id, attempt_no, sure, length(text) AS n, sure + length(text) % 7 AS score FROM t),
-g AS (SELECT *, max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS top, coalesce(max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM s),
-bs AS (SELECT doc_id, attempt_no, max(CASE WHEN score > before THEN attempt_no END) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS best FROM g),
-j AS (SELECT bs.doc_id, bs.attempt_no, bs.best, s.sure, s.n FROM bs JOIN s ON s.doc_id = bs.doc_id AND s.attempt_no = bs.best),
-e AS (SELECT doc_id, coalesce(min(CASE WHEN attempt_no >= 9 AND sure >= 88 AND n >= 400 THEN attempt_no END), 27) AS attempt_count FROM j GROUP BY doc_id)
-SELECT e.doc_id, j.best AS attempt_no, e.attempt_count FROM e JOIN j ON j.doc_id = e.doc_id AND j.attempt_no = e.attempt_count""",
-    "best_attempt_whole": f"""WITH {ALTERED}, {MATRIX}, t AS (SELECT doc_id, attempt_no, {ATTEMPT_SURE} AS sure, (length(text) + attempt_no * 37 % 400)::BIGINT AS n FROM d, mx), s AS (SELECT *, sure + n % 7 AS score FROM t),
+    "best_attempt": f"""WITH {ALTERED}, {MATRIX}, t AS (SELECT doc_id, attempt_no, {ATTEMPT_SURE} AS sure, (length(text) + attempt_no * 37 % 400)::BIGINT AS n FROM d, mx), s AS (SELECT *, sure + n % 7 AS score FROM t),
 g AS (SELECT *, coalesce(max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM s),
 bs AS (SELECT doc_id, attempt_no, max(CASE WHEN score > before THEN attempt_no END) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS best FROM g),
 j AS (SELECT bs.doc_id, bs.attempt_no, bs.best, s.sure, s.n FROM bs JOIN s ON s.doc_id = bs.doc_id AND s.attempt_no = bs.best),
@@ -149,8 +135,7 @@ SELECT doc_id, md5(string_agg('## Страница ' || page_index || chr(10) ||
  || CASE WHEN src = 'ocr' THEN 'уверенность: ' || coalesce(printf('%.1f', sure), 'нет данных') || ', dpi: 216, psm: 6, вариант: contrast_sharp, попыток: 1, выбор: score=1.0; confidence=' || coalesce(printf('%.1f', sure), 'нет') || '; dpi=216; psm=6; variant=contrast_sharp; attempts=1' ELSE 'OCR детали: нет' END
  || ', замечание: ' || CASE WHEN note = '' THEN 'нет' ELSE note END AS line FROM e""",
     "problem_notes": f"""WITH {STATUS} SELECT doc_id, array_to_string(['# Требует проверки: doc_' || doc_id || '.pdf', '', '- Исходный файл: `/in/doc_' || doc_id || '.pdf`', '- Тип: ' || doc_type, '- Метод: ' || method, '- Статус: ' || status, '- Предупреждение: ' || CASE WHEN warning = '' THEN 'нет' ELSE warning END, '- Ошибка: нет', '', 'Проверьте исходный документ вручную, особенно если это бумажный скан.', ''], chr(10)) AS note FROM r WHERE status <> 'успешно'""",
-    "combined_markdown": f"""WITH {STATUS} SELECT doc_id + 1 AS doc_index, array_to_string(['', '', '---', '', '# Документ ' || (doc_id + 1) || ': doc_' || doc_id || '.pdf', '', '- Тип: ' || doc_type, '- Метод: ' || method, '- Статус: ' || status, '- Качество: ' || quality_status, '- Исходный файл: `/in/doc_' || doc_id || '.pdf`'], chr(10)) AS head FROM r""",
-    "combined_sections": rf"""WITH {STATUS}, hy AS (SELECT doc_id, regexp_replace({HYPHEN.replace('text', _strip('text'))}, '[ \t]+', ' ', 'g') AS t FROM r),
+    "combined_markdown": rf"""WITH {STATUS}, hy AS (SELECT doc_id, regexp_replace({HYPHEN.replace('text', _strip('text'))}, '[ \t]+', ' ', 'g') AS t FROM r),
 ln AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}), lambda x: NOT regexp_matches(x, '^(?i)(стр\.?|страница)\s*[0-9]{{1,3}}(\s*из\s*[0-9]{{1,3}})?$')) AS k FROM hy),
 fo AS (SELECT doc_id, {FOLD} AS s FROM ln),
 jo AS (SELECT doc_id, array_to_string(s.o || CASE WHEN s.p <> '' THEN [s.p] ELSE []::VARCHAR[] END, chr(10)) AS t FROM fo),
