@@ -12,17 +12,22 @@ from folioflow.functions.cleanup import clean_markdown
 NO_REPORT = f"array<{S.PAGE_REPORT}>"
 
 
-def document_kinds(manifest: DataFrame, pages: DataFrame) -> DataFrame:
-    """``manifest`` (doc_id, ext) with doc_type, by how many pages (doc_id, page_text) need recognition. Files without pages stay."""
-    counts = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(T.needs_ocr(F.col("page_text"))).alias("ocr"))
-    ext = F.lower("ext")
-    kind = (
+def document_kind(ext: Column, pages: Column, ocr: Column) -> Column:
+    """The kind of a file by its suffix and by how many of its pages (null: it has none) need recognition."""
+    ext = F.lower(ext)
+    return (
         F.when(ext == ".docx", S.DOCX)
         .when(ext != ".pdf", F.upper(F.regexp_replace(ext, r"\A\.+", "")))
-        .when(F.col("pages").isNull() | (F.col("ocr") == F.col("pages")), S.SCAN)
-        .when(F.col("ocr") > 0, S.MIXED)
+        .when(pages.isNull() | (ocr == pages), S.SCAN)
+        .when(ocr > 0, S.MIXED)
         .otherwise(S.TEXT_PDF)
     )
+
+
+def document_kinds(manifest: DataFrame, pages: DataFrame) -> DataFrame:
+    """``manifest`` (doc_id, ext) with doc_type, by how many pages (doc_id, page_text) need recognition. Files without pages stay."""
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(T.needs_ocr(F.col("page_text"))).alias("ocr"))
+    kind = document_kind(F.col("ext"), F.col("pages"), F.col("ocr"))
     return manifest.join(counts, "doc_id", "left").select(*[manifest[c] for c in manifest.columns], kind.alias("doc_type"), F.col("pages").cast("int").alias("page_count"))
 
 

@@ -67,14 +67,18 @@ def word_tables(docs: DataFrame) -> DataFrame:
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversion results of the altered documents, each page recognised in one attempt where it needs to be."""
     settings = S.Settings(quality_mode="standard")
-    cut = pages(altered(spark, sf_dir)).withColumn("text", T.strip(F.col("page_text")))
-    need = T.needs_ocr(F.col("page_text"))
+    cut = pages(altered(spark, sf_dir)).select("doc_id", "page_index", T.strip(F.col("page_text")).alias("text"), T.needs_ocr(F.col("page_text")).alias("need"))
+    need = F.col("need")
     source = F.when(~need, "text").when(F.col("text") == "", "blank").otherwise("ocr")
     sure = F.when(need & ((F.col("doc_id") + F.col("page_index")) % 10 != 0), ((F.col("doc_id") * 31 + F.col("page_index") * 17) % 101).cast("double"))
     rows = cut.select("doc_id", "page_index", source.alias("source"), "text", sure.alias("confidence"), F.lit(6).alias("psm"), F.lit(216).alias("dpi"), F.lit("contrast_sharp").alias("variant"), F.lit(1.0).alias("score"), F.lit(1).alias("attempt_count"), F.lit("").alias("attempt_warning"))
     files = table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.lit(".pdf").alias("ext"))
-    kinds = conversion.document_kinds(files, cut.select("doc_id", "page_text"))
-    joined = kinds.join(conversion.assembled(conversion.page_entries(rows, settings)), "doc_id", "left")
+    # One pass over the pages: their report entries tell the kind of a document too.
+    joined = files.join(conversion.assembled(conversion.page_entries(rows, settings)), "doc_id", "left")
+    count = F.size("page_report")
+    poor = F.size(F.filter("page_report", lambda p: p["source"] != "text"))
+    joined = joined.withColumn("page_count", F.when(F.col("page_report").isNotNull(), count))
+    joined = joined.withColumn("doc_type", conversion.document_kind(F.col("ext"), F.col("page_count"), poor))
     layer = F.col("doc_type") == S.TEXT_PDF
     read = joined.select(
         "doc_id", "doc_type", "page_count", F.col("markdown").alias("raw_text"), F.when(~layer, F.col("page_report")).alias("page_report"),
