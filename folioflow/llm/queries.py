@@ -21,11 +21,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
-def vocabulary() -> str:
-    """The byte-level BPE vocabulary of the public tokenizer files."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary of the public tokenizer files."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -106,3 +106,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.ngram_join import join
 
     return join(documents(spark, sf_dir))
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by the word vocabulary, and whether they pass the limit."""
+    from folioflow.llm.token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
