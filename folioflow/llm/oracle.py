@@ -22,3 +22,18 @@ e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 nodes AS (SELECT vec_id AS id FROM embeddings),
 {_REACH}
 SELECT id AS vec_id, (SELECT count(*) FROM e WHERE e.u = top.id) AS n_links, component_id, id = component_id AS kept FROM top"""
+
+COLLOCATIONS = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4), (5)) x(m) WHERE len(w) >= m),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.m, c.phrase, c.a, c.k, l.a AS l, r.a AS r, t.n, (1000::HUGEINT * c.a * t.n::HUGEINT) // (l.a::HUGEINT * r.a) AS score FROM c JOIN t ON t.lang = c.lang
+ JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(ws, 1, c.k), ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(ws, c.k + 1, c.m), ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM s),
+i AS (SELECT lang, a, unnest(list_transform(range(1, m - z + 2), lambda j: array_to_string(list_slice(string_split(phrase, ' '), j, j + z - 1), ' '))) AS phrase FROM f, (VALUES (2), (3), (4)) y(z) WHERE z < m),
+h AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+o AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, b.n, b.score FROM b LEFT JOIN h USING (lang, phrase) WHERE place = 1 AND (longer IS NULL OR longer < b.a)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM k WHERE rank <= 2000"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioflow.llm import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN, "op8_embedding_near_dedup": oracle.NEAR_EMBEDDINGS}
+ORACLE: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN, "op8_embedding_near_dedup": oracle.NEAR_EMBEDDINGS, "op13_collocations": oracle.COLLOCATIONS}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -114,3 +114,19 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.token_counts import count_tokens
 
     return count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every text, and how often the linked ids are linked in the corpus."""
+    from folioflow.llm.alignment import align
+
+    return align(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of two to five words that stand out most, by language."""
+    from folioflow.llm.collocations import mine
+
+    return mine(documents(spark, sf_dir, "lang", "text"))
