@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/folioflow-{uuid.uuid4().hex}")
     return configured.rstrip("/")
@@ -79,8 +80,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, shares: DataFrame,
     if (bound["most"] or 0) <= limit:
         return left.join(right, key)
     heavy = F.broadcast(shares.filter(F.col(weight) > limit).select(key, F.lit(spread).alias("salts")))
-    dealt = left.join(heavy, key, "left").withColumn("salt", F.pmod(F.xxhash64(salt), F.coalesce("salts", F.lit(1)))).drop("salts")
-    copied = right.join(heavy, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).cast("long")).drop("salts")
+    salts = F.coalesce("salts", F.lit(1)).cast("long")
+    dealt = left.join(heavy, key, "left").withColumn("salt", F.pmod(F.xxhash64(salt), salts)).drop("salts")
+    copied = right.join(heavy, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
     return dealt.join(copied, [key, "salt"]).drop("salt")
 
 

@@ -155,12 +155,10 @@ def _neighbours(words: Column, found: Column, window: int) -> Column:
     return let(F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a"))), lambda ranks: F.zip_with(found, ranks, near))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, generalise_from: float = GENERALISE_FROM) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity of the corpus by at least ``generalise_from``."""
-    spark = docs.sparkSession
-    holders = _holders(base)
+def disclosing_terms(docs: DataFrame, base: DataFrame, holders: DataFrame, window: int = WINDOW, min_support: int = MIN_SUPPORT, generalise_from: float = GENERALISE_FROM) -> DataFrame:
+    """(entity, term, disclosure) of the terms that reveal an entity of the corpus by at least ``generalise_from``. ``holders``: the texts of ``base`` with spans."""
     found = let(F.struct(spans(F.col("text"), F.lit(WORDS)).alias("w"), F.concat(*map(_entities, KINDS)).alias("x")), lambda z: _neighbours(z["w"], z["x"], window))
-    mentions = holders.select("same", F.explode(found).alias("m")).select("same", "m.entity", "m.terms")
+    mentions = materialise(holders.select("same", F.explode(found).alias("m")).select("same", "m.entity", "m.terms"), "mentions")
     met = materialise(mentions.select("entity", "same", F.explode("terms").alias("term")).distinct(), "met")
     entities = mentions.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     # One number, that of distinct texts, goes into every row.
@@ -186,9 +184,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, window: int = WINDOW, min
     return materialise(scored.filter(F.col("disclosure") >= generalise_from), "disclosing")
 
 
-def term_spans(base: DataFrame, terms: DataFrame, remove_from: float = REMOVE_FROM) -> DataFrame:
+def term_spans(holders: DataFrame, terms: DataFrame, remove_from: float = REMOVE_FROM) -> DataFrame:
     """key, terms and rows: spans (s, e, kind) of the revealing terms in the distinct texts that hold the entities they reveal."""
-    holders = materialise(_holders(base), "holders")
     held = holders.select("key", F.explode(F.array_distinct(F.transform(F.concat(*map(_entities, KINDS)), lambda x: x["entity"]))).alias("entity"))
     shares = held.groupBy("entity").agg(F.count("*").alias("texts"))
     met = salted_join(held, terms, "entity", shares, "texts", F.col("key"))
@@ -206,7 +203,8 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     """Counts, digest and spans of every row of ``docs`` (doc_id, text)."""
     base = materialise(find_base(docs), "pii")
     remove_from = thresholds.pop("remove_from", REMOVE_FROM)
-    extra = term_spans(base, disclosing_terms(docs, base, **thresholds), remove_from)
+    holders = materialise(_holders(base), "holders")
+    extra = term_spans(holders, disclosing_terms(docs, base, holders, **thresholds), remove_from)
     everything = F.array_join(F.concat(*[_listed(k, F.col(k)) for k in KINDS]), ",")
     rows = base.select("doc_id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], everything.alias("listed"))
     # Texts without spans meet nothing, and are not shuffled.
@@ -241,10 +239,12 @@ def sanitise(docs: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     remove_from = thresholds.pop("remove_from", REMOVE_FROM)
     plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = materialise(find_base(plain), "pii")
-    extra = term_spans(base, disclosing_terms(plain, base, **thresholds), remove_from)
-    holders = _holders(base).join(extra.drop("rows"), "key", "left")
+    holders = materialise(_holders(base), "holders")
+    extra = term_spans(holders, disclosing_terms(plain, base, holders, **thresholds), remove_from)
     every = F.concat(*map(_tagged, KINDS), F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,kind:string>>")))
-    clean = holders.select("key", redact(F.col("text"), F.array_sort(every)).alias("clean"), "rows")
+    # Of spans that begin together the longer comes first, so that a value keeps its own tag though one of its words is a term.
+    every = F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    clean = holders.join(extra.drop("rows"), "key", "left").select("key", redact(F.col("text"), every).alias("clean"), "rows")
     return _replaced(docs, materialise(clean, "clean"), text)
 
 
