@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from folioflow import settings as S
 from folioflow.functions import text as T
-from folioflow.operators import conversion, docx, ocr, reports
-from folioflow.sources import engines, manifest
+from folioflow.operators import conversion, docx, reports
+from folioflow.sources import engines, manifest, recognition
 
 
 def convert_pages(files: DataFrame, pages: DataFrame, pdf: Callable, recogniser: Callable, settings: S.Settings) -> DataFrame:
@@ -21,26 +21,17 @@ def convert_pages(files: DataFrame, pages: DataFrame, pdf: Callable, recogniser:
     Pages are split by a filter before anything is rendered, and met again by a union.
     """
     good = pages.filter(~T.needs_ocr(F.col("page_text"))).select("doc_id", "page_index", F.lit("text").alias("source"), F.col("page_text").alias("text"))
-    poor = pages.filter(T.needs_ocr(F.col("page_text"))).join(files, "doc_id")
-    tried = engines.recognise(poor, pdf, recogniser, settings).persist()
-    blank = tried.filter("blank").select("doc_id", "page_index", F.lit("blank").alias("source"), F.lit("").alias("text"))
-    keys = ["doc_id", "page_index", "attempt_no"]
-    read = ocr.recognised_text(ocr.word_table(tried.filter("not blank"), keys), keys)
-    attempts = tried.filter("not blank").drop("tsv", "blank").join(read, keys, "left").withColumn("text", F.coalesce("text", "plain", F.lit(""))).drop("plain")
-    best = ocr.best_attempts(ocr.scored(attempts), ["doc_id", "page_index"], len(settings.variants) * len(settings.psm))
-    best = best.withColumn("source", F.lit("ocr")).drop("attempt_no").withColumn("attempt_warning", F.lit(""))
-    rows = best.unionByName(good, allowMissingColumns=True).unionByName(blank, allowMissingColumns=True)
+    poor = pages.filter(T.needs_ocr(F.col("page_text"))).select("doc_id", "page_index")
+    tried = recognition.recognise(files, poor, pdf, recogniser, settings)
+    tried = tried.withColumn("source", F.when(F.col("blank"), "blank").otherwise("ocr")).drop("blank")
+    rows = tried.unionByName(good, allowMissingColumns=True)
     return conversion.assembled(conversion.page_entries(rows, settings))
 
 
-def convert_pictures(files: DataFrame, reader: Callable, recogniser: Callable, settings: S.Settings) -> DataFrame:
+def convert_pictures(files: DataFrame, opener: Callable, recogniser: Callable, settings: S.Settings) -> DataFrame:
     """doc_id, blocks and page_report of the embedded pictures with text of DOCX ``files`` (doc_id, content)."""
-    tried = engines.recognise_pictures(docx.docx_pictures(files), reader, recogniser, settings).persist()
-    keys = ["doc_id", "number", "attempt_no"]
-    read = ocr.recognised_text(ocr.word_table(tried, keys), keys)
-    attempts = tried.drop("tsv").join(read, keys, "left").withColumn("text", F.coalesce("text", "plain", F.lit(""))).drop("plain")
-    best = ocr.best_attempts(ocr.scored(attempts), ["doc_id", "number"], len(settings.variants) * len(settings.psm))
-    kept = docx.picture_sections(best.withColumn("source", F.lit("ocr")).withColumn("attempt_warning", F.lit(""))).persist()
+    best = recognition.recognise_pictures(docx.docx_pictures(files), opener, recogniser, settings)
+    kept = docx.picture_sections(best.withColumn("source", F.lit("ocr"))).persist()
     entries = conversion.page_entries(kept, settings).select("doc_id", "page_index", F.col("entry").withField("source", F.lit("docx-image")).alias("entry"))
     rows = F.array_sort(F.collect_list(F.struct("page_index", "block", "entry")))
     found = kept.select("doc_id", "page_index", "block").join(entries, ["doc_id", "page_index"]).groupBy("doc_id").agg(rows.alias("rows"))
@@ -66,7 +57,9 @@ def convert_folder(
     scans = kinds.filter(F.col("doc_type").isin(S.SCAN, S.MIXED)).select("doc_id")
     if recogniser is not None and info.path:
         own = docx.with_pictures(own.drop("page_report"), convert_pictures(docx_files, pictures, recogniser, settings))
-        paged = convert_pages(pdfs, pages.join(scans, "doc_id", "left_semi"), pdf, recogniser, settings)
+        # Without a language that is asked for, scans go to the other converters.
+        able = set(settings.ocr_languages) <= set(info.languages)
+        paged = convert_pages(pdfs, pages.join(scans, "doc_id", "left_semi").filter(F.lit(able)), pdf, recogniser, settings)
         paged = paged.select("doc_id", F.col("markdown").alias("raw_text"), F.lit(S.PAGEWISE).alias("method"), F.lit("").alias("error"), "page_report")
         own = own.unionByName(paged.filter("raw_text <> ''"))
     own = own.unionByName(layer.join(scans, "doc_id", "left_anti"), allowMissingColumns=True).persist()

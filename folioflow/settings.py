@@ -17,6 +17,8 @@ SCAN_MIN_LETTERS = 200
 PAGE_MIN_LETTERS = 100
 BLANK_DARK_SHARE = 0.01
 DARK_BELOW = 245
+CONTRAST_CUT = 1
+WHITE_ABOVE = 180
 MAX_WORKERS = 4
 MAX_IMAGE_PIXELS = 250_000_000
 SKIPPED_DIRS = (".venv", "__pycache__", "build", "dist", "runtime", "tessdata")
@@ -39,12 +41,6 @@ PAGE_REPORT = (
     "struct<page_index:int,source:string,char_count:int,warning:string,confidence:double,psm:int,dpi:int,"
     "variant:string,attempt_count:int,selected_reason:string>"
 )
-RESULTS = (
-    "source string, output_name string, doc_type string, method string, status string, char_count int, page_count int, "
-    "cyrillic_ratio double, replacement_count int, quality_status string, text_page_count int, ocr_page_count int, "
-    f"blank_page_count int, docx_image_ocr_count int, page_report array<{PAGE_REPORT}>, warning string, error string"
-)
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -93,8 +89,3 @@ def parse_workers(value: str) -> int:
     if not 1 <= workers <= MAX_WORKERS:
         raise ValueError(f"workers must be 1 to {MAX_WORKERS}")
     return workers
-
-
-def worker_count(jobs: int, cpus: int, settings: Settings) -> int:
-    """OCR tasks that run at a time."""
-    return max(1, min(settings.max_ocr_workers, jobs, max(1, cpus // 2)))

@@ -10,6 +10,7 @@ import os
 import shutil
 import subprocess
 from collections.abc import Callable, Iterator
+from contextlib import closing
 from dataclasses import dataclass, field
 from importlib.util import find_spec
 from typing import Protocol
@@ -33,6 +34,25 @@ class PdfEngine(Protocol):
     def render(self, content: bytes, page: int, dpi: int) -> np.ndarray: ...
 
 
+@dataclass
+class OpenedEachTime:
+    """A document whose engine opens it for every page."""
+
+    engine: PdfEngine
+    content: bytes
+
+    def render(self, page: int, dpi: int) -> np.ndarray:
+        return self.engine.render(self.content, page, dpi)
+
+    def close(self) -> None:
+        pass
+
+
+def opened(engine: PdfEngine, content: bytes):
+    """A document, with ``render(page, dpi)`` and ``close()``: opened once by engines that can."""
+    return engine.opened(content) if hasattr(engine, "opened") else OpenedEachTime(engine, content)
+
+
 class OcrEngine(Protocol):
     def table(self, image: np.ndarray, psm: int) -> str: ...
 
@@ -96,9 +116,27 @@ class Pillow:
         return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
 
 
+@dataclass
+class PdfiumDocument:
+    document: object
+
+    def render(self, page: int, dpi: int) -> np.ndarray:
+        shown = self.document[page - 1]
+        try:
+            return np.array(shown.render(scale=max(1, dpi / 72), grayscale=True).to_numpy())
+        finally:
+            shown.close()
+
+    def close(self) -> None:
+        self.document.close()
+
+
 class Pdfium:
     """Text layers and pictures of PDF pages by PDFium."""
 
+    def opened(self, content: bytes) -> PdfiumDocument:
+        return PdfiumDocument(self._open(content))
+
     def _open(self, content: bytes):
         if not find_spec("pypdfium2"):
             raise EngineMissing("pypdfium2")
@@ -120,11 +158,8 @@ class Pdfium:
         return texts
 
     def render(self, content: bytes, page: int, dpi: int) -> np.ndarray:
-        document = self._open(content)
-        try:
-            return np.array(document[page - 1].render(scale=max(1, dpi / 72), grayscale=True).to_numpy())
-        finally:
-            document.close()
+        with closing(self.opened(content)) as document:
+            return document.render(page, dpi)
 
 
 @dataclass
@@ -136,11 +171,11 @@ class Tesseract:
     data: str | None = None
 
     def table(self, image: np.ndarray, psm: int) -> str:
-        """A word table, or an empty text if the program fails."""
+        """A word table; an error with the program's own words if it fails."""
         return self._ask(image, psm, TABLE_TIMEOUT, "-c", "tessedit_create_tsv=1")
 
     def text(self, image: np.ndarray, psm: int) -> str:
-        """Plain text, or an empty one if the program fails."""
+        """Plain text; an error with the program's own words if it fails."""
         return self._ask(image, psm, TEXT_TIMEOUT)
 
     def _ask(self, image: np.ndarray, psm: int, timeout: int, *options: str) -> str:
@@ -148,7 +183,9 @@ class Tesseract:
         where = ["--tessdata-dir", self.data] if self.data else []
         command = [self.path, "stdin", "stdout", *where, "-l", self.languages, "--psm", str(psm), *options]
         done = subprocess.run(command, input=header + np.ascontiguousarray(image, dtype=np.uint8).tobytes(), capture_output=True, timeout=timeout)
-        return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else ""
+        if done.returncode:
+            raise RuntimeError(done.stderr.decode("utf-8", "replace").strip() or f"exit code {done.returncode}")
+        return done.stdout.decode("utf-8", "replace")
 
 
 @dataclass(frozen=True)
@@ -216,28 +253,52 @@ def is_candidate(image: np.ndarray) -> bool:
     return width >= S.IMAGE_MIN_WIDTH and height >= S.IMAGE_MIN_HEIGHT and width * height >= S.IMAGE_MIN_PIXELS and not is_blank(image)
 
 
+def contrast_table(histogram: np.ndarray, cut: int = S.CONTRAST_CUT) -> np.ndarray:
+    """What each grey becomes when ``cut`` per cent of the pixels go at either end and the rest is stretched to 0..255.
+
+    Whole pixels are cut, and a grey may be cut in part; a picture of one grey stays as it is.
+    """
+    greys = np.arange(256)
+    share = int(histogram.sum()) * cut // 100
+    left = np.maximum(np.cumsum(histogram) - share, 0) > 0
+    right = np.maximum(np.cumsum(histogram[::-1]) - share, 0)[::-1] > 0
+    low, high = (int(np.argmax(left)), int(255 - np.argmax(right[::-1]))) if left.any() else (255, 0)
+    if high <= low:
+        return greys.astype(np.uint8)
+    scale = 255.0 / (high - low)
+    return np.clip(np.trunc(greys * scale - low * scale), 0, 255).astype(np.uint8)
+
+
+def sharpened(image: np.ndarray) -> np.ndarray:
+    """Each pixel twice less the mean of the eight around it: weights -2 around 32, over 16. Pixels of the border stay."""
+    if min(image.shape) < 3:
+        return image
+    rows, columns = image.shape
+    whole = image.astype(np.int32)
+    near = sum(whole[y : rows - 2 + y, x : columns - 2 + x] for y in range(3) for x in range(3))
+    out = image.copy()
+    value = (34 * whole[1:-1, 1:-1] - 2 * near) / 16
+    out[1:-1, 1:-1] = np.clip(np.floor(value + 0.5), 0, 255).astype(np.uint8)
+    return out
+
+
 def image_variant(image: np.ndarray, variant: str) -> np.ndarray:
     """A grey picture as it is, with contrast stretched and sharpened, or in black and white."""
     if variant == "gray":
         return image
-    low, high = np.percentile(image, (1, 99))
-    stretched = np.clip((image.astype(np.float64) - low) * 255 / max(high - low, 1), 0, 255)
-    if variant == "binary":
-        return np.where(stretched > 180, 255, 0).astype(np.uint8)
-    padded = np.pad(stretched, 1, mode="edge")
-    around = sum(padded[1 + y : 1 + y + image.shape[0], 1 + x : 1 + x + image.shape[1]] for y in (-1, 0, 1) for x in (-1, 0, 1)) - stretched
-    return np.clip(stretched * 2 - around / 8, 0, 255).astype(np.uint8)
+    stretched = contrast_table(np.bincount(image.reshape(-1), minlength=256))[image]
+    return np.where(stretched > S.WHITE_ABOVE, 255, 0).astype(np.uint8) if variant == "binary" else sharpened(stretched)
 
 
 def pdf_pages(files: DataFrame, engine: Callable[[], PdfEngine]) -> DataFrame:
     """doc_id, page_index and page_text of ``files`` (doc_id, content); a file that cannot be read gives no row."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = engine()
+        opener = engine()
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
-                    texts = reader.page_texts(content)
+                    texts = opener.page_texts(content)
                 except Exception:
                     texts = []
                 if texts:
@@ -246,77 +307,6 @@ def pdf_pages(files: DataFrame, engine: Callable[[], PdfEngine]) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(read, "doc_id long, page_index int, page_text string")
 
 
-def has_words(tsv: str) -> bool:
-    """Does a word table hold any word?"""
-    lines = [x.split("\t") for x in tsv.splitlines() if x.strip()]
-    if not lines or not {"block_num", "par_num", "line_num", "conf", "text"} <= set(lines[0]):
-        return False
-    at = lines[0].index("text")
-    return any(len(x) > at and x[at].strip() for x in lines[1:])
-
-
-def _attempts(image: np.ndarray, dpi: int, number: int, recogniser: OcrEngine, settings: S.Settings) -> Iterator[tuple]:
-    """attempt_no, dpi, variant, psm, tsv and plain of the attempts at one picture; text mode is tried where the table is without words."""
-    for variant in settings.variants:
-        shown = image_variant(image, variant)
-        for psm in settings.psm:
-            number += 1
-            try:
-                tsv = recogniser.table(shown, psm)
-                plain = "" if has_words(tsv) else recogniser.text(shown, psm)
-            except Exception:  # a failing attempt, or one that takes too long, must not stop the others
-                tsv = plain = ""
-            yield number, dpi, variant, psm, tsv, plain
-
-
-def recognise(pages: DataFrame, pdf: Callable[[], PdfEngine], ocr: Callable[[], OcrEngine], settings: S.Settings) -> DataFrame:
-    """Word tables of the attempts at ``pages`` (doc_id, page_index, content), and ``blank`` for pages that look empty.
-
-    All attempts at a page run in one task, from the finest resolution down; a blank page takes none. A
-    resolution that cannot be rendered is passed over; a page without any keeps one attempt without text. The
-    caller filters pages first, so that no page with a good text layer is ever rendered.
-    """
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, recogniser = pdf(), ocr()
-        names = ["doc_id", "page_index", "attempt_no", "dpi", "variant", "psm", "blank", "tsv", "plain"]
-        for batch in batches:
-            for doc_id, page, content in zip(batch["doc_id"], batch["page_index"], batch["content"], strict=True):
-                rows = []
-                for dpi in settings.dpi:
-                    try:
-                        image = reader.render(content, page, dpi)
-                    except Exception:
-                        continue
-                    if not rows and is_blank(image):
-                        rows.append((doc_id, page, 0, dpi, "", 0, True, "", ""))
-                        break
-                    tried = _attempts(image, dpi, len(rows), recogniser, settings)
-                    rows += [(doc_id, page, *setting, False, tsv, plain) for *setting, tsv, plain in tried]
-                rows = rows or [(doc_id, page, 1, settings.dpi[0], settings.variants[0], settings.psm[0], False, "", "")]
-                yield pd.DataFrame(rows, columns=names)
-
-    return pages.select("doc_id", "page_index", "content").mapInPandas(work, "doc_id long, page_index int, attempt_no int, dpi int, variant string, psm int, blank boolean, tsv string, plain string")
-
-
-def recognise_pictures(pictures: DataFrame, reader: Callable[[], PictureEngine], ocr: Callable[[], OcrEngine], settings: S.Settings) -> DataFrame:
-    """Word tables of the attempts at ``pictures`` (doc_id, number, content) that may hold text; pictures that cannot be read give no row."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opener, recogniser = reader(), ocr()
-        names = ["doc_id", "number", "attempt_no", "dpi", "variant", "psm", "tsv", "plain"]
-        for batch in batches:
-            for doc_id, number, content in zip(batch["doc_id"], batch["number"], batch["content"], strict=True):
-                try:
-                    image = opener.grey(content)
-                except Exception:  # a broken picture must not stop the others
-                    continue
-                if is_candidate(image):
-                    yield pd.DataFrame([(doc_id, number, *a) for a in _attempts(image, 0, 0, recogniser, settings)], columns=names)
-
-    return pictures.select("doc_id", "number", "content").mapInPandas(work, "doc_id long, number int, attempt_no int, dpi int, variant string, psm int, tsv string, plain string")
-
-
 def other_converters(files: DataFrame, convert: Callable[[bytes, str, str], str]) -> DataFrame:
     """doc_id, other_text, other_method and other_error of ``files`` (doc_id, ext, doc_type, content): the first converter that gives text."""
 

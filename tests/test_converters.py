@@ -1,7 +1,5 @@
 """Pictures in DOCX files, other converters and text mode take effect in the conversion of a folder."""
 
-import numpy as np
-
 from folioflow import settings as S
 from folioflow.plans.convert import convert_folder
 from folioflow.sources import engines
@@ -54,27 +52,3 @@ def test_text_mode_where_the_table_has_no_words(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b" ")
     rows = convert(spark, tmp_path, lambda: engines.FakeOcr("block_num\tpar_num\tline_num\tconf\ttext\n", "слово " * 100))
     assert rows["a.pdf"]["method"] == S.PAGEWISE and rows["a.pdf"]["char_count"] > 500
-
-
-def test_failing_pages_and_attempts_do_not_stop_a_run(spark):
-    class BrittlePdf:
-        """The first page renders at 300 dpi only, the second not at all."""
-
-        def render(self, content, page, dpi):
-            if page == 2 or dpi != 300:
-                raise ValueError("no picture")
-            return np.zeros((10, 10), dtype=np.uint8)
-
-    class BrittleOcr:
-        def table(self, image, psm):
-            raise TimeoutError("too long")
-
-        def text(self, image, psm):
-            return "text"
-
-    pages = spark.createDataFrame([(1, 1, bytearray(b"x")), (1, 2, bytearray(b"x"))], "doc_id long, page_index int, content binary")
-    settings = S.Settings(quality_mode="max")
-    rows = engines.recognise(pages, BrittlePdf, BrittleOcr, settings).collect()
-    first, second = ([r for r in rows if r["page_index"] == p] for p in (1, 2))
-    assert {r["dpi"] for r in first} == {300} and len(first) == len(settings.variants) * len(settings.psm)
-    assert len(second) == 1 and not second[0]["blank"] and all(r["tsv"] == r["plain"] == "" for r in rows)

@@ -48,7 +48,6 @@ def test_settings():
     with pytest.raises(ValueError):
         S.parse_workers("9")
     assert S.parse_workers("2") == 2
-    assert S.worker_count(10, 8, S.Settings()) == 4 and S.worker_count(1, 1, S.Settings()) == 1
     assert len(S.Settings().dpi) * len(S.Settings().psm) * len(S.Settings().variants) == 27
     assert S.Settings(quality_mode="standard").dpi == (216,)
 
@@ -180,13 +179,6 @@ def test_folder_end_to_end(spark, tmp_path):
     assert (top / "00_ALL_DOCUMENTS.md").read_text(encoding="utf-8").count("# Документ ") == 4
 
 
-def test_blank_pages_take_no_attempt(spark):
-    pages = spark.createDataFrame([(1, 1, b"x")], "doc_id long, page_index int, content binary")
-    white = lambda: engines.FakePdf(np.full((10, 10), 255, np.uint8))
-    assert [(r["blank"], r["attempt_no"]) for r in engines.recognise(pages, white, engines.FakeOcr, S.Settings()).collect()] == [(True, 0)]
-    assert engines.recognise(pages, engines.FakePdf, engines.FakeOcr, S.Settings()).count() == 27
-
-
 def test_stream(spark, tmp_path):
     docs = [(n, f"Строка {n}-\nая\nтекст", "ru", "s", 1) for n in range(5)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "in"))
