@@ -71,20 +71,20 @@ def measured_score(of: dict[str, Column], sure: Column) -> Column:
     return F.when(of["chars"] == 0, 0.0).otherwise(value)
 
 
-def raw_score(text: Column, sure: Column) -> Column:
-    """How good a recognised text (normalised) looks, unrounded."""
-    return measured_score(measures(text), sure)
-
-
 def psm_bonus(psm: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in S.PSM_BONUS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, psm), F.lit(0.0))
 
 
+def final_score(of: dict[str, Column], sure: Column, psm: Column) -> Column:
+    """The score of an attempt of these measures, rounded as it is compared."""
+    return F.bround(F.bround(measured_score(of, sure), 3) + psm_bonus(psm), 3)
+
+
 def scored(attempts: DataFrame) -> DataFrame:
     """``attempts`` (text, confidence, psm) with the text normalised and ``score``."""
     plain = attempts.withColumn("text", T.strip(T.newlines(F.col("text"))))
-    return plain.withColumn("score", F.bround(F.bround(raw_score(F.col("text"), F.col("confidence")), 3) + psm_bonus(F.col("psm")), 3))
+    return plain.withColumn("score", final_score(measures(F.col("text")), F.col("confidence"), F.col("psm")))
 
 
 def best_attempts(attempts: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -92,11 +92,12 @@ def best_attempts(attempts: DataFrame, keys: list[str], least: int) -> DataFrame
 
     The best so far is that of the highest score, the earliest among equals. From attempt ``least`` on, the
     search stops as soon as the best so far is confident and long enough. One sort by page serves both
-    windows; nothing is joined.
+    windows; nothing is joined. Rows with ``chars``, the length of their text, need not carry the text.
     """
+    chars = F.col("chars") if "chars" in attempts.columns else F.length("text")
     page = Window.partitionBy(*keys)
     so_far = page.orderBy("attempt_no").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.struct("score", (-F.col("attempt_no")).alias("order"), "confidence", F.length("text").alias("chars"))
+    rank = F.struct("score", (-F.col("attempt_no")).alias("order"), "confidence", chars.alias("chars"))
     running = attempts.withColumn("__best", F.max(rank).over(so_far))
     good = (F.col("attempt_no") >= least) & (F.col("__best.confidence") >= S.STOP_CONFIDENCE) & (F.col("__best.chars") >= S.LOW_TEXT)
     ended = running.withColumn("__stop", F.coalesce(F.min(F.when(good, F.col("attempt_no"))).over(page), F.max("attempt_no").over(page)))

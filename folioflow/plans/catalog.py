@@ -13,7 +13,7 @@ from folioflow.functions import text as T
 from folioflow.operators import conversion, ocr, phrases, reports
 from folioflow.plans import inputs, oracle
 from folioflow.session import table
-from folioflow.sources import manifest
+from folioflow.sources import manifest, recognition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE = oracle.SQL
@@ -127,10 +127,17 @@ def attempt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best attempt, with the early stop, by whole texts."""
-    tried = inputs.attempts(inputs.altered(spark, sf_dir)).withColumn("score", F.col("confidence") + F.length("text") % 7)
-    best = ocr.best_attempts(tried, ["doc_id", "page_index"], 9)
-    return best.select("doc_id", *_long("attempt_no", "attempt_count"))
+    """The best of attempts that exist as rows, with the early stop, by whole texts."""
+    best = ocr.best_attempts(inputs.tried(inputs.altered(spark, sf_dir)), ["doc_id", "page_index"], 9)
+    return best.select("doc_id", *_long("attempt_no", "attempt_count"), F.floor(F.col("score") * 100 + 0.5).cast("long").alias("hundredths"))
+
+
+@query
+def recognition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the search over attempts as the conversion runs it, in the task and with the early stop, by whole texts."""
+    text = T.strip(T.newlines(F.col("text"))).alias("text")
+    found = recognition.search_texts(inputs.altered(spark, sf_dir).select("doc_id", text), inputs.made_up_answer, S.Settings())
+    return found.select("doc_id", "attempt_no", "attempt_count", F.floor(F.col("score") * 100 + 0.5).cast("long").alias("hundredths"))
 
 
 @query

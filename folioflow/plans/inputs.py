@@ -51,9 +51,21 @@ def sure_attempts(docs: DataFrame) -> DataFrame:
     return tried.withColumn("confidence", sure)
 
 
-def attempts(docs: DataFrame) -> DataFrame:
-    """doc_id, page_index and the matrix of attempts with made-up confidences and whole texts, each with a tail of its attempt's own length."""
-    return sure_attempts(docs.select("doc_id", "text")).withColumn("text", F.concat("text", F.repeat(F.lit("x"), (F.col("attempt_no") * 37 % 400).cast("int"))))
+def made_up_answer(doc_id: int, text: str, number: int, dpi: int, variant: str, psm: int) -> tuple[str, float]:
+    """What ``tried`` has of one attempt."""
+    place = S.VARIANTS["max"].index(variant) + 1
+    return ("" if (doc_id + number) % 5 == 0 else text), float((doc_id * 31 + dpi * 7 + psm * 13 + place * 17) % 101)
+
+
+def tried(docs: DataFrame) -> DataFrame:
+    """doc_id, page_index and the matrix of attempts, each with the measures of the whole text, or of none in every fifth, and its score."""
+    from folioflow.operators import ocr
+
+    text = docs.select("doc_id", T.strip(T.newlines(F.col("text"))).alias("text"))
+    known = ocr.measures(F.col("text"))
+    rows = sure_attempts(text.select("doc_id", *[c.alias(n) for n, c in known.items()]))
+    seen = rows.withColumn("chars", F.when((F.col("doc_id") + F.col("attempt_no")) % 5 == 0, 0).otherwise(F.col("chars")))
+    return seen.select("doc_id", "page_index", "attempt_no", "confidence", "chars", ocr.final_score({n: F.col(n) for n in known}, F.col("confidence"), F.col("psm")).alias("score"))
 
 
 def word_tables(docs: DataFrame) -> DataFrame:

@@ -94,6 +94,16 @@ FOLD = _FOLD.replace("STRUCT(x.p)", _STRUCTURAL.format("x.p")).replace("STRUCT(s
 HYPHEN = r"regexp_replace(regexp_replace(text, '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g'), '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g')"
 _WORDS = r"w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents))"
 
+BEST = f"""WITH {ALTERED}, {MATRIX}, w AS (SELECT doc_id, {_strip("replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS st FROM d),
+o AS MATERIALIZED (SELECT doc_id, length(st) AS n, {_runs('st', '>= 2')} AS w, {_cyr('st')} AS c, {_repl('st')} AS r, {_single('st')} AS g FROM w),
+t AS (SELECT *, {ATTEMPT_SURE} AS sure, CASE psm WHEN 6 THEN 8.0::DOUBLE WHEN 4 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS bonus, (doc_id + attempt_no) % 5 = 0 OR n = 0 AS empty FROM o, mx),
+s AS (SELECT doc_id, attempt_no, sure, CASE WHEN empty THEN 0 ELSE n END AS n, round_even(CASE WHEN empty THEN 0.0::DOUBLE ELSE round_even(least(n, 2500) * 0.03::DOUBLE + w * 0.8::DOUBLE + sure * 2.0::DOUBLE + c * 35.0::DOUBLE - r * 8.0::DOUBLE - g * 40.0::DOUBLE, 3) END + bonus, 3) AS score FROM t),
+g AS (SELECT *, coalesce(max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e9) AS before FROM s),
+bs AS (SELECT doc_id, attempt_no, max(CASE WHEN score > before THEN attempt_no END) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS best FROM g),
+j AS (SELECT bs.doc_id, bs.attempt_no, bs.best, s.sure, s.n, s.score FROM bs JOIN s ON s.doc_id = bs.doc_id AND s.attempt_no = bs.best),
+e AS (SELECT doc_id, coalesce(min(CASE WHEN attempt_no >= 9 AND sure >= 88 AND n >= 400 THEN attempt_no END), 27) AS attempt_count FROM j GROUP BY doc_id)
+SELECT e.doc_id, j.best AS attempt_no, e.attempt_count, floor(j.score * 100 + 0.5)::BIGINT AS hundredths FROM e JOIN j ON j.doc_id = e.doc_id AND j.attempt_no = e.attempt_count"""
+
 SQL: dict[str, str] = {
     "text_quality": f"""WITH {ALTERED}, q AS (SELECT lang, text, concat_ws(' ', CASE WHEN {_repl('text')} > 0 THEN 'Есть нечитаемые символы: ' || {_repl('text')} || '.' END, CASE WHEN length(text) < 400 THEN 'Очень мало текста.' END,
  CASE WHEN {KIND} IN ('PDF-скан', 'PDF смешанный') AND round_even({_cyr('text')}, 3) < 0.35 AND {_letters('text')} >= 200 THEN 'Низкая доля кириллицы для русского скана.' END) AS warning FROM d)
@@ -118,12 +128,8 @@ SELECT doc_id, md5({_strip(r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'
 o AS MATERIALIZED (SELECT doc_id, st = '' AS none, least(length(st), 2500) AS n, {_runs('st', '>= 2')} AS w, {_cyr('st')} AS c, {_repl('st')} AS r, {_single('st')} AS g FROM s)
 SELECT doc_id, attempt_no, floor(((CASE WHEN none THEN 0.0::DOUBLE ELSE n * 0.03::DOUBLE + w * 0.8::DOUBLE + {ATTEMPT_SURE} * 2.0::DOUBLE + c * 35.0::DOUBLE - r * 8.0::DOUBLE - g * 40.0::DOUBLE END)
  + CASE psm WHEN 6 THEN 8.0::DOUBLE WHEN 4 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 + 0.5)::BIGINT AS hundredths FROM o, mx""",
-    "best_attempt": f"""WITH {ALTERED}, {MATRIX}, t AS (SELECT doc_id, attempt_no, {ATTEMPT_SURE} AS sure, (length(text) + attempt_no * 37 % 400)::BIGINT AS n FROM d, mx), s AS (SELECT *, sure + n % 7 AS score FROM t),
-g AS (SELECT *, coalesce(max(score) OVER (PARTITION BY doc_id ORDER BY attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM s),
-bs AS (SELECT doc_id, attempt_no, max(CASE WHEN score > before THEN attempt_no END) OVER (PARTITION BY doc_id ORDER BY attempt_no) AS best FROM g),
-j AS (SELECT bs.doc_id, bs.attempt_no, bs.best, s.sure, s.n FROM bs JOIN s ON s.doc_id = bs.doc_id AND s.attempt_no = bs.best),
-e AS (SELECT doc_id, coalesce(min(CASE WHEN attempt_no >= 9 AND sure >= 88 AND n >= 400 THEN attempt_no END), 27) AS attempt_count FROM j GROUP BY doc_id)
-SELECT e.doc_id, j.best AS attempt_no, e.attempt_count FROM e JOIN j ON j.doc_id = e.doc_id AND j.attempt_no = e.attempt_count""",
+    "best_attempt": BEST,
+    "recognition_search": BEST,
     "assemble_pages": f"""WITH {ALTERED}, {PAGES}, s AS (SELECT doc_id, page_index, {_strip('page_text')} AS st FROM p)
 SELECT doc_id, md5(string_agg('## Страница ' || page_index || chr(10) || chr(10) || st, chr(10) || chr(10) ORDER BY page_index)) AS digest, min(page_index) AS first_page FROM s WHERE st <> '' GROUP BY doc_id""",
     "document_status": f"""WITH {STATUS} SELECT doc_id, doc_type, method, status, warning, quality_status, page_count, length(text) AS char_count, rp AS replacement_count, tp AS text_page_count, op AS ocr_page_count, bp AS blank_page_count FROM r""",

@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import closing
 from decimal import ROUND_HALF_EVEN, Decimal
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -67,18 +68,22 @@ def rounded(value: float, digits: int) -> float:
     return float(Decimal(repr(value)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN))
 
 
-def score_of(text: str, confidence: float | None, psm: int) -> float:
-    """How good a recognised text looks: what ``operators.ocr.scored`` computes of a column."""
-    if not text:
-        return S.PSM_BONUS.get(psm, 0.0)
+@lru_cache(maxsize=8)
+def measured(text: str) -> tuple[float, ...]:
+    """What a score owes to the text alone: for length, words and Cyrillic, and against unreadable characters and single letters."""
     letters = len(re.findall("[A-Za-zА-Яа-яЁё]", text))
     sizes = [len(run) for run in re.findall("[A-Za-zА-Яа-яЁё]+", text)]
     singles, cyrillic = sizes.count(1), len(re.findall("[А-Яа-яЁё]", text))
-    value = min(len(text), 2500) * 0.03 + (len(sizes) - singles) * 0.8 + (confidence or 0.0) * 2.0
-    value += (cyrillic / letters if letters else 0.0) * 35.0
-    value -= text.count("�") * 8.0
-    value -= singles / max(1, len(sizes)) * 40.0
-    return rounded(rounded(value, 3) + S.PSM_BONUS.get(psm, 0.0), 3)
+    return min(len(text), 2500) * 0.03, (len(sizes) - singles) * 0.8, (cyrillic / letters if letters else 0.0) * 35.0, text.count("�") * 8.0, singles / max(1, len(sizes)) * 40.0
+
+
+def score_of(text: str, confidence: float | None, psm: int) -> float:
+    """How good a recognised text looks: what ``operators.ocr.scored`` computes of a column."""
+    bonus = S.PSM_BONUS.get(psm, 0.0)
+    if not text:
+        return bonus
+    chars, words, cyrillic, replaced, singles = measured(text)
+    return rounded(rounded(chars + words + (confidence or 0.0) * 2.0 + cyrillic - replaced - singles, 3) + bonus, 3)
 
 
 def attempt(picture: np.ndarray, dpi: int, variant: str, psm: int, engine: engines.OcrEngine, settings: S.Settings) -> Attempt:
@@ -187,3 +192,25 @@ def recognise_pictures(pictures: DataFrame, opener: Callable[[], engines.Picture
                     yield _frame([(doc_id, number, *_row(*found))], ["doc_id", "number"])
 
     return pictures.select("doc_id", "number", "content").mapInPandas(work, f"doc_id long, number int, {CHOSEN}")
+
+
+def search_texts(rows: DataFrame, answer: Callable[[int, str, int, int, str, int], tuple[str, float | None]], settings: S.Settings) -> DataFrame:
+    """doc_id, attempt_no, attempt_count and score of the search over made-up attempts at ``rows`` (doc_id, text): ``answer(doc_id, text, number, dpi, variant, psm)``."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                numbers: dict[Attempt, int] = {}
+
+                def judge(shown: str, dpi: int, variant: str, psm: int) -> Attempt:
+                    said, sure = answer(doc_id, shown, len(numbers) + 1, dpi, variant, psm)  # noqa: B023
+                    found = Attempt(said, sure, dpi, variant, psm, score_of(said, sure, psm))
+                    numbers[found] = len(numbers) + 1  # noqa: B023
+                    return found
+
+                found, made = search(((dpi, text) for dpi in settings.dpi), lambda picture, variant: picture, judge, settings)
+                out.append((doc_id, numbers[found], made, found.score))
+            yield pd.DataFrame(out, columns=["doc_id", "attempt_no", "attempt_count", "score"])
+
+    return rows.select("doc_id", "text").mapInPandas(work, "doc_id long, attempt_no long, attempt_count long, score double")
