@@ -1,176 +1,92 @@
-"""Reading DOCX files in Python workers: blocks, tables, notes and picture targets, as rows.
+"""From the paragraphs of DOCX files to blocks and texts, and from references to the pictures that a file shows.
 
-Only the XML is walked here; joining blocks, counting and judging are DataFrame work. Known limits that
-results depend on: only direct children of a container are blocks, and rows of nested tables appear both
-in their own right and in the outer cell's text.
+``sources.docx_parts`` gives a row per paragraph with its place. A cell is its paragraphs, a row its cells, a table its rows
+filled up to the widest, a note its blocks: groupings of one another, all within a document, so that rows are dealt once, by document.
 """
 
 from __future__ import annotations
 
-import io
-import posixpath
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAIN = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-BODY = "word/document.xml"
-NOTES = (("word/footnotes.xml", "Сноски"), ("word/endnotes.xml", "Концевые сноски"))
+from folioflow.functions import text as T
+from folioflow.sources import docx_parts
+
+TITLES = ("", "Сноски", "Концевые сноски")
 NO_TEXT = "Встроенное чтение DOCX не извлекло текст."
 PICTURES_HEAD = "## Текст из изображений DOCX"
-BLOCKS = "doc_id long, seq int, kind string, text string, error string"
-
-
-def tidy(text: str) -> str:
-    """Blanks squeezed, none around line ends."""
-    text = re.sub(r"[ \t]+", " ", text.replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub(r" *\n *", "\n", text).strip()
-
-
-def paragraph(node: ElementTree.Element) -> str:
-    """A paragraph's text, with [id] where a note is referred to."""
-    marks = {"tab": "\t", "br": "\n", "cr": "\n"}
-    out = []
-    for x in node.iter():
-        name = x.tag.removeprefix(MAIN) if x.tag.startswith(MAIN) else ""
-        if name == "t":
-            out.append(x.text or "")
-        elif name in marks:
-            out.append(marks[name])
-        elif name in ("footnoteReference", "endnoteReference"):
-            number = x.get(f"{MAIN}id", "")
-            out.append(f"[{number}]" if number and number[0] != "-" else "")
-    return tidy("".join(out))
-
-
-def table(node: ElementTree.Element) -> str:
-    """A Markdown table of all rows below a table node; rows without text are left out, short ones filled up."""
-    grid = []
-    for row in node.iter(f"{MAIN}tr"):
-        cells = []
-        for cell in row.iterfind(f"{MAIN}tc"):
-            joined = " ".join(filter(None, map(paragraph, cell.iter(f"{MAIN}p"))))
-            cells.append(tidy(joined).replace("|", "\\|").replace("\n", " / "))
-        if any(cells):
-            grid.append(cells)
-    if not grid:
-        return ""
-    width = max(map(len, grid))
-    grid = [cells + [""] * (width - len(cells)) for cells in grid]
-    grid.insert(1, ["---"] * width)
-    return "\n".join(f"| {' | '.join(cells)} |" for cells in grid)
-
-
-def blocks(container: ElementTree.Element) -> list[tuple[str, str]]:
-    """(kind, text) of the direct children that hold text."""
-    readers = {f"{MAIN}p": ("paragraph", paragraph), f"{MAIN}tbl": ("table", table)}
-    found = [(readers[x.tag][0], readers[x.tag][1](x)) for x in container if x.tag in readers]
-    return [(kind, text) for kind, text in found if text]
-
-
-def notes(archive: zipfile.ZipFile, part: str, title: str) -> list[tuple[str, str]]:
-    """A heading and the notes of a part; nothing if the part is missing or holds none."""
-    if part not in archive.namelist():
-        return []
-    out = []
-    for note in ElementTree.fromstring(archive.read(part)):
-        number = note.get(f"{MAIN}id", "")
-        text = "\n\n".join(t for _, t in blocks(note)).strip()
-        if number and number[0] != "-" and text:
-            out.append(("note", f"[{number}] {text}"))
-    return [("heading", f"## {title}"), *out] if out else []
-
-
-def read_blocks(data: bytes) -> list[tuple[str, str]]:
-    """All blocks of a file: body, footnotes, endnotes. ValueError if there is no text."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        if BODY not in archive.namelist():
-            raise ValueError("DOCX не содержит основного текста word/document.xml.")
-        body = ElementTree.fromstring(archive.read(BODY)).find(f".//{MAIN}body")
-        if body is None:
-            raise ValueError("В DOCX не найден основной текст.")
-        found = blocks(body)
-        for part, title in NOTES:
-            found += notes(archive, part, title)
-    if not found:
-        raise ValueError(NO_TEXT)
-    return found
-
-
-def _picture_links(archive: zipfile.ZipFile, part: str) -> dict[str, str]:
-    folder, name = posixpath.split(part)
-    rels = ElementTree.fromstring(archive.read(f"{folder}/_rels/{name}.rels"))
-    pictures = [r for r in rels if r.get("TargetMode") != "External" and r.get("Type", "").endswith("/image")]
-    return {r.get("Id"): posixpath.normpath(posixpath.join(folder, r.get("Target"))) for r in pictures if r.get("Id") and r.get("Target")}
-
-
-def picture_targets(data: bytes) -> list[str]:
-    """Embedded pictures in the order in which the document, its headers and footers, and its notes refer to them."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        names = set(archive.namelist())
-        margins = sorted(n for n in names if re.fullmatch(r"word/(header|footer)\d+\.xml", n))
-        found: dict[str, None] = {}
-        for part in [BODY, *margins, *[p for p, _ in NOTES if p in names]]:
-            try:
-                root, links = ElementTree.fromstring(archive.read(part)), _picture_links(archive, part)
-            except (KeyError, ElementTree.ParseError):
-                continue
-            for node in root.iter():
-                target = links.get(node.get(f"{LINKS}embed") or node.get(f"{LINKS}id") or "")
-                if target in names:
-                    found[target] = None
-        return list(found)
+PLACE = ["doc_id", "part", "note_no", "note", "block", "kind"]
+
+
+def _gathered(order: str, value: str) -> Column:
+    """The values of a group by their order."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
+
+
+def table_text(rows: Column) -> Column:
+    """A Markdown table of rows of cells, short rows filled up with empty cells."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    lines = F.transform(rows, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+    rule = F.array(line(F.array_repeat(F.lit("---"), width)))
+    return F.array_join(F.concat(F.slice(lines, F.lit(1), F.lit(1)), rule, F.slice(lines, F.lit(2), F.size(lines))), "\n")
+
+
+def blocks_of(paragraphs: DataFrame) -> DataFrame:
+    """Blocks (doc_id, part, note_no, block, kind, text, error) of paragraphs (doc_id and ``docx_parts.PLACED``): paragraphs, tables, notes under headings.
+
+    A table's rows without text are left out. A file that could not be read keeps its row with ``error``.
+    """
+    dealt = paragraphs.repartition("doc_id")
+    plain = dealt.filter("error = ''").withColumn("text", T.docx_text(F.col("text")))
+    full = F.filter(_gathered("n", "text"), lambda x: x != "")
+    cells = plain.groupBy(*PLACE, "row", "cell").agg(F.array_join(full, " ").alias("text"))
+    cells = cells.withColumn("text", F.when(F.col("kind") == "table", T.table_cell(F.col("text"))).otherwise(F.col("text")))
+    rows = cells.groupBy(*PLACE, "row").agg(_gathered("cell", "text").alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    whole = rows.groupBy(*PLACE).agg(_gathered("row", "cells").alias("rows"))
+    text = F.when(F.col("kind") == "table", table_text(F.col("rows"))).otherwise(F.col("rows")[0][0])
+    blocks = whole.select(*PLACE, text.alias("text"))
+    notes = blocks.filter("part > 0").groupBy("doc_id", "part", "note_no", "note").agg(F.array_join(_gathered("block", "text"), "\n\n").alias("text"))
+    notes = notes.select("doc_id", "part", "note_no", F.lit(0).alias("block"), F.lit("note").alias("kind"), F.concat(F.lit("["), "note", F.lit("] "), "text").alias("text"))
+    title = F.element_at(F.array(*[F.lit(t) for t in TITLES]), F.col("part") + 1)
+    heads = notes.select("doc_id", "part").distinct().select("doc_id", "part", F.lit(0).alias("note_no"), F.lit(0).alias("block"), F.lit("heading").alias("kind"), F.concat(F.lit("## "), title).alias("text"))
+    body = blocks.filter("part = 0").select("doc_id", "part", "note_no", "block", "kind", "text")
+    found = body.unionByName(notes).unionByName(heads).withColumn("error", F.lit(""))
+    return found.unionByName(dealt.filter("error <> ''").select("doc_id", "error"), allowMissingColumns=True)
 
 
 def docx_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of ``files`` (doc_id, content), a row each; a file that cannot be read gives one row with ``error``."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in BLOCKS.split(", ")]
-        for batch in batches:
-            rows = []
-            for doc_id, data in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    rows += [(doc_id, n, kind, text, "") for n, (kind, text) in enumerate(read_blocks(data))]
-                except Exception as problem:  # a broken file must not stop the others
-                    rows.append((doc_id, 0, "", "", str(problem)))
-            yield pd.DataFrame(rows, columns=names)
+    """Blocks of ``files`` (doc_id, content); a file that cannot be read gives one row with ``error``."""
+    return blocks_of(docx_parts.paragraphs(files))
 
-    return files.select("doc_id", "content").mapInPandas(read, BLOCKS)
 
+def docx_text(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, raw_text and error of ``files`` (doc_id): their ``blocks`` in order with an empty line between."""
+    order = F.struct("part", "note_no", "block", "text")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error") == "", order))), lambda b: b["text"]), "\n\n")
+    texts = files.select("doc_id").join(blocks.groupBy("doc_id").agg(joined.alias("raw_text"), F.max("error").alias("error")), "doc_id", "left")
+    return texts.select("doc_id", F.coalesce("raw_text", F.lit("")).alias("raw_text"), F.coalesce("error", F.lit(NO_TEXT)).alias("error"))
 
-def docx_pictures(files: DataFrame) -> DataFrame:
-    """doc_id, number, target and content of the embedded pictures of ``files`` (doc_id, content)."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, data in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    targets = picture_targets(data)
-                    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                        for n, target in enumerate(targets, 1):
-                            try:
-                                rows.append((doc_id, n, target, archive.read(target)))
-                            except Exception:  # a broken picture must not stop the others
-                                continue
-                except Exception:  # a file that cannot be read has no pictures
-                    continue
-            yield pd.DataFrame(rows, columns=["doc_id", "number", "target", "content"])
+def picture_places(references: DataFrame) -> DataFrame:
+    """doc_id, number and target of the pictures that documents show, by first reference, of ``docx_parts.references``.
 
-    return files.select("doc_id", "content").mapInPandas(read, "doc_id long, number int, target string, content binary")
+    References meet relationships within their part; of relationships of one id the last counts. A target that is not in
+    the file is none, one that is referred to again counts where it stood first.
+    """
+    rows = references.filter("error = ''").repartition("doc_id")
+    asked = rows.filter("part is not null and target is null").select("doc_id", "part", "link", "part_no", "position")
+    links = rows.filter("part is not null and target is not null").groupBy("doc_id", "part", "link").agg(F.max_by("target", "position").alias("target"))
+    there = rows.filter("part is null").select("doc_id", "target")
+    met = asked.join(links, ["doc_id", "part", "link"]).join(there, ["doc_id", "target"], "left_semi")
+    first = met.groupBy("doc_id", "target").agg(F.min(F.struct("part_no", "position")).alias("first"))
+    return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("number"), "target")
 
 
-def docx_text(block_rows: DataFrame) -> DataFrame:
-    """doc_id, raw_text and error of every file, its blocks in order with an empty line between."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error") == "", F.struct("seq", "text")))), lambda b: b["text"]), "\n\n")
-    return block_rows.groupBy("doc_id").agg(joined.alias("raw_text"), F.max("error").alias("error"))
+def docx_pictures(files: DataFrame) -> DataFrame:
+    """doc_id, number, target and content of the embedded pictures of ``files`` (doc_id, content)."""
+    places = picture_places(docx_parts.references(files)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "target"))).alias("targets"))
+    return docx_parts.members(files.join(places, "doc_id"))
 
 
 def with_pictures(texts: DataFrame, pictures: DataFrame) -> DataFrame:
@@ -184,10 +100,6 @@ def with_pictures(texts: DataFrame, pictures: DataFrame) -> DataFrame:
 
 def picture_sections(recognised: DataFrame, least_letters: int = 20) -> DataFrame:
     """doc_id, page_index, block and text of recognised pictures (doc_id, number, text) with enough letters, numbered anew without gaps."""
-    from pyspark.sql import Window
-
-    from folioflow.functions import text as T
-
     plain = recognised.withColumn("text", T.strip(T.newlines(F.col("text"))))
     kept = plain.filter(T.letters(F.col("text")) >= least_letters)
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("number"))

@@ -51,7 +51,7 @@ def convert_folder(
     pages = engines.pdf_pages(pdfs, pdf).persist()
     kinds = conversion.document_kinds(files, pages)
     docx_files = data.join(files.filter(is_docx).select("doc_id"), "doc_id", "left_semi")
-    own = docx.docx_text(docx.docx_blocks(docx_files)).withColumn("method", F.lit(S.DOCX_METHOD))
+    own = docx.docx_text(docx_files, docx.docx_blocks(docx_files)).withColumn("method", F.lit(S.DOCX_METHOD))
     own = own.withColumn("page_report", F.lit(None).cast(conversion.NO_REPORT))
     layer = conversion.text_layer(pages, settings).select("doc_id", F.col("markdown").alias("raw_text"), F.lit(S.LAYER_METHOD).alias("method"), F.lit("").alias("error"))
     scans = kinds.filter(F.col("doc_type").isin(S.SCAN, S.MIXED)).select("doc_id")

@@ -14,7 +14,7 @@ from folioflow.functions import cleanup
 from folioflow.functions import text as T
 from folioflow.operators import docx, ocr, phrases
 from folioflow.plans.convert import convert_folder, write_results
-from folioflow.sources import engines, manifest
+from folioflow.sources import docx_parts, engines, manifest
 from folioflow.streaming.incremental import follow
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -62,15 +62,16 @@ def test_docx(spark):
     body += '<w:p><w:r><w:t>Claim</w:t><w:footnoteReference w:id="2"/></w:r></w:p>'
     notes = f'<w:footnote w:id="-1">{para("no")}</w:footnote><w:footnote w:id="2">{para("Note text")}</w:footnote>'
     files = spark.createDataFrame([(1, make_docx(body, notes)), (2, b"not a zip"), (3, make_docx(""))], "doc_id long, content binary")
-    got = {r["doc_id"]: r for r in docx.docx_text(docx.docx_blocks(files)).collect()}
+    got = {r["doc_id"]: r for r in docx.docx_text(files, docx.docx_blocks(files)).collect()}
     assert got[1]["raw_text"] == "Intro\n\n| A\\|1 | B |\n| --- | --- |\n| C |  |\n\nClaim[2]\n\n## Сноски\n\n[2] Note text"
     assert got[2]["error"] and got[3]["error"] == "Встроенное чтение DOCX не извлекло текст."
 
 
 def test_docx_pictures(spark):
     data = make_docx(para("x") + '<w:p><w:blip r:embed="rId1"/><w:blip r:embed="rId1"/><w:blip r:id="rId2"/></w:p>', picture=True)
-    assert docx.picture_targets(data) == ["word/media/image1.png"]
-    rows = docx.docx_pictures(spark.createDataFrame([(1, data)], "doc_id long, content binary")).collect()
+    files = spark.createDataFrame([(1, data)], "doc_id long, content binary")
+    assert [(r["number"], r["target"]) for r in docx.picture_places(docx_parts.references(files)).collect()] == [(1, "word/media/image1.png")]
+    rows = docx.docx_pictures(files).collect()
     assert [(r["number"], bytes(r["content"])) for r in rows] == [(1, b"picture")]
     seen = spark.createDataFrame([(1, 1, "short"), (1, 2, "long enough text of a picture")], "doc_id long, number int, text string")
     assert [r["block"] for r in docx.picture_sections(seen).collect()] == ["### Изображение 1\n\nlong enough text of a picture"]
