@@ -6,6 +6,9 @@ most ``BITS`` bits (32 MB) however many there are, built by a grouped aggregate.
 lets a rare phrase be counted in vain; the count, which is exact and by the phrase itself, drops it. A task
 counts the phrases of a chunk of texts in numpy, Spark sums these counts within the task and then by phrase.
 
+Pairs are by far the most numerous, and most of them are rare: they are first counted by hash alone, 16 bytes a pair, and
+only those whose hash is frequent are then counted by themselves.
+
 A candidate is scored at each cut into two parts, whose counts stand in the level tables, since both are at least as
 frequent; the lowest score is the candidate's. A candidate that never occurs outside a longer one is dropped.
 Arithmetic is in decimals of 38 digits, exact for a*n up to 10^35.
@@ -99,28 +102,51 @@ def frequent_bits(level: DataFrame, grams: int, most: int = BITS) -> np.ndarray:
     return bitmap
 
 
-def counted(texts: DataFrame, k: int, least: int, bitmap: np.ndarray | None) -> DataFrame:
-    """(lang, phrase, code, n) of the runs of k words with ``least`` occurrences or more in ``texts`` (lang, text); at level 1 also the number of words of each lang, phrase null."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array]]:
+    """The words of some texts at a time, and the langs that their numbers mean."""
+    for batch in chunks(batches, "text", CHUNK):
+        names = batch.column("lang").dictionary_encode()
+        seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in names.dictionary.to_pylist()], dtype=np.uint64)
+        yield Words(batch.column("text").to_pylist(), np.asarray(names.indices), seeds), names.dictionary
+
+
+def places(words: Words, k: int, bitmap: np.ndarray | None, own: np.ndarray | None = None) -> np.ndarray:
+    """Where runs of k words begin whose both runs of one word less are in ``bitmap``, and which are themselves in ``own``; null leaves all."""
+    here = words.whole(k)
+    if bitmap is not None:
+        parts = marked(bitmap, words.code(k - 1))
+        here &= parts[: len(here)] & parts[1 : len(here) + 1]
+    at = np.flatnonzero(here)
+    return at if own is None else at[marked(own, words.code(k)[at])]
+
+
+def frequent_codes(texts: DataFrame, k: int, least: int, bitmap: np.ndarray | None, most: int = BITS) -> np.ndarray:
+    """A bitmap of the hashes that runs of k words have ``least`` times or more together: of all frequent runs, and hardly any other."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        for batch in chunks(batches, "text", CHUNK):
-            names = batch.column("lang").dictionary_encode()
-            seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in names.dictionary.to_pylist()], dtype=np.uint64)
-            words = Words(batch.column("text").to_pylist(), np.asarray(names.indices), seeds)
-            here = words.whole(k)
-            if bitmap is not None:
-                parts = marked(bitmap, words.code(k - 1))
-                here &= parts[: len(here)] & parts[1 : len(here) + 1]
-            at = np.flatnonzero(here)
+        for words, _ in _chunks(batches):
+            code, n = np.unique(words.code(k)[places(words, k, shared.value)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
+
+    sums = texts.mapInArrow(task, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    codes = materialise(sums.filter(F.col("n") >= least).select("code"), f"codes-{k}")
+    return frequent_bits(codes, codes.count(), most)
+
+
+def counted(texts: DataFrame, k: int, least: int, bitmap: np.ndarray | None, own: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, code, n) of the runs of k words with ``least`` occurrences or more in ``texts`` (lang, text); at level 1 also the number of words of each lang, phrase null."""
+    shared = texts.sparkSession.sparkContext.broadcast((bitmap, own))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, langs in _chunks(batches):
+            at = places(words, k, *shared.value)
             code, first, n = np.unique(words.code(k)[at], return_index=True, return_counts=True)
             first = at[first]
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(words.lang[first])), words.phrases(first, k), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "phrase", "code", "n"])
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.lang[first])), words.phrases(first, k), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "phrase", "code", "n"])
             if k == 1:
-                total = np.bincount(words.lang, minlength=len(seeds))
-                nothing = pa.nulls(len(seeds))
-                yield pa.RecordBatch.from_arrays([names.dictionary, nothing.cast(pa.string()), nothing.cast(pa.int64()), pa.array(total)], names=["lang", "phrase", "code", "n"])
+                total, nothing = np.bincount(words.lang, minlength=len(langs)), pa.nulls(len(langs))
+                yield pa.RecordBatch.from_arrays([langs, nothing.cast(pa.string()), nothing.cast(pa.int64()), pa.array(total)], names=["lang", "phrase", "code", "n"])
 
     sums = texts.mapInArrow(task, COUNTED).groupBy("lang", "phrase").agg(F.first("code").alias("code"), F.sum("n").alias("n"))
     return sums.filter(F.col("phrase").isNull() | (F.col("n") >= least))
@@ -157,7 +183,8 @@ def mine(docs: DataFrame, least: int = LEAST, best: int = BEST, longest: int = L
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found, bitmap = [], None
     for k in range(1, longest + 1):
-        level = materialise(counted(texts, k, least, bitmap), f"level-{k}")
+        own = frequent_codes(texts, k, least, bitmap, bits) if k == 2 else None
+        level = materialise(counted(texts, k, least, bitmap, own), f"level-{k}")
         found.append(level)
         grams = level.filter("phrase is not null")
         size = grams.count()
