@@ -31,7 +31,7 @@ def main() -> int:
     started = dt.datetime.now()
     spark = SparkSession.builder.appName("folioflow").getOrCreate()
     recogniser = (lambda: engines.Tesseract(info.path, settings.language_argument, info.data)) if info.path else None
-    print(write_results(convert_folder(spark, a.folder, settings, recogniser=recogniser, info=info), a.folder, settings, started))
+    print(write_results(convert_folder(spark, a.folder, settings, recogniser=recogniser, info=info), a.folder, settings, started, info))
     return 0
 
 

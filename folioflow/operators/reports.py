@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow import settings as S
 from folioflow.functions import text as T
 
 
+@dataclass(frozen=True)
+class Run:
+    """What the reports tell of a run beside its results."""
+
+    folder: str
+    result: str
+    started: dt.datetime
+    finished: dt.datetime
+    settings: S.Settings
+    engine: str | None = None
+    version: str | None = None
+    languages: tuple[str, ...] = ()
+    data: str | None = None
+
+
+#: Documents whose lines are counted together before they are numbered.
+COUNTED_TOGETHER = 4096
+TITLE, OCR_TITLE = "Отчёт о конвертации документов", "Постраничный OCR-отчет"
+TOTALS = (("documents", "документов обработано"), ("succeeded", "успешно"), ("to_review", "требует проверки"), ("failed", "ошибки"), ("pages", "страниц PDF"), ("ocr_pages", "страниц OCR"), ("docx_images", "изображений DOCX распознано OCR"), ("text_pages", "страниц прочитано текстовым слоем"), ("blank_pages", "пустых/почти пустых страниц"), ("page_warnings", "страниц с замечаниями OCR"), ("image_warnings", "изображений DOCX с замечаниями OCR"), ("chars", "символов извлечено"))
+
+
 def _warned(kind: str) -> Column:
     """Number of a document's report entries with a warning, of DOCX images or of pages."""
     image = kind == "docx-image"
@@ -53,8 +77,7 @@ def page_lines(results: DataFrame) -> DataFrame:
     """doc_id, page_index, line: the line of every entry in the page-by-page report."""
     rows = results.select("doc_id", F.explode("page_report").alias("p"))
     p = F.col("p")
-    line = F.concat(F.lit("- "), T.entry_place(p), F.lit(": "), T.source_label(p["source"]), F.lit(", символов: "), p["char_count"].cast("string"), F.lit(", "), T.entry_details(p), F.lit(", замечание: "), F.coalesce(F.nullif(p["warning"], F.lit("")), F.lit("нет")))
-    return rows.select("doc_id", p["page_index"].alias("page_index"), line.alias("line"))
+    return rows.select("doc_id", p["page_index"].alias("page_index"), entry_line(p).alias("line"))
 
 
 def problem_notes(results: DataFrame) -> DataFrame:
@@ -82,3 +105,99 @@ def document_sections(results: DataFrame, page_breaks: bool = False) -> DataFram
 
 COMBINED_HEAD = "# Все документы\n\nИсточник: очищенные Markdown-файлы из папки `01_markdown`.\nДля юридически важных мест сверяйте OCR-сканы с оригинальными PDF.\n"
 NO_PAGES = "OCR не выполнялся: в обработанных файлах не было PDF-сканов, смешанных PDF или подходящих изображений DOCX."
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """line_no (from 1) and line of ``blocks`` (section, doc_index, lines): by section, then document, then place.
+
+    Numbers are prefix sums in two steps: over groups of COUNTED_TOGETHER neighbouring documents, and within each group. No
+    list of all lines or documents is gathered; only one row per group passes through one task.
+    """
+    place = F.col("section") * (1 << 40) + F.coalesce("doc_index", F.lit(0))
+    rows = blocks.select(place.alias("place"), F.floor(place / COUNTED_TOGETHER).alias("grp"), "lines")
+    sizes = rows.groupBy("grp").agg(F.sum(F.size("lines")).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum(F.size("lines")).over(Window.partitionBy("grp").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("own", own).join(sizes.select("grp", before.alias("before")), "grp")
+    return placed.select("own", "before", F.posexplode("lines").alias("at", "line")).select((F.col("before") + F.col("own") + F.col("at") + 1).alias("line_no"), "line")
+
+
+def _fixed(*lines: str) -> Column:
+    return F.array(*[F.lit(x) for x in lines])
+
+
+def _told(label: str, value: Column) -> Column:
+    return F.concat(F.lit(label), value.cast("string"))
+
+
+def _or(column: Column, other: str) -> Column:
+    return F.coalesce(F.nullif(column, F.lit("")), F.lit(other))
+
+
+def _times(run: Run) -> list[Column]:
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in (run.started.isoformat(), run.finished.isoformat()))
+    return [_told("Создан: ", F.date_format(end, "yyyy-MM-dd HH:mm:ss")), _told("Время обработки: ", T.duration(start, end))]
+
+
+def run_report_lines(results: DataFrame, run: Run) -> DataFrame:
+    """line_no and line of the report of a run: totals, then a block for every document. ``results`` has doc_index, name and output_name."""
+    created, took = _times(run)
+    languages = ", ".join(run.languages) or "языки не определены"
+    found = f"найден{f', версия {run.version}' if run.version else ''} ({languages})" if run.engine else "не найден"
+    s = run.settings
+    head = F.concat(
+        _fixed(TITLE, ""), F.array(created, F.lit(f"Исходная папка: {run.folder}"), F.lit(f"Папка результата: {run.result}"), took), _fixed("", "Итог:"),
+        F.array(*[_told(f"- {label}: ", F.col(name)) for name, label in TOTALS]),
+        _fixed(
+            f"- Tesseract OCR: {found}", f"- Tesseract path: {run.engine or 'не найден'}", f"- tessdata: {run.data or 'не определено'}", f"- OCR языки: {s.language_argument}",
+            f"- режим качества OCR: {s.quality_mode}", f"- максимум параллельных OCR-страниц: {s.max_ocr_workers}", f"- границы страниц в Markdown: {'сохраняются' if s.preserve_page_breaks else 'обычный режим'}",
+        ),
+        F.array(_told("- средняя уверенность OCR: ", T.optional_float(F.col("mean_confidence")))), _fixed("", "Файлы:"),
+    )
+    top = run_totals(results).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("doc_index"), head.alias("lines"))
+    first = results.agg(F.min("doc_index").alias("first"))
+    block = F.array(
+        F.concat(F.col("doc_index").cast("string"), F.lit(". "), F.col("name")), _told("   Статус: ", F.col("status")), _told("   Тип: ", F.col("doc_type")), _told("   Метод: ", F.col("method")),
+        _told("   Markdown: 01_markdown/", F.col("output_name")), _told("   Страниц: ", T.optional_int(F.col("page_count"))), _told("   OCR страниц: ", F.col("ocr_page_count")),
+        _told("   Изображений DOCX распознано OCR: ", F.col("docx_image_ocr_count")), _told("   Текстовый слой: ", F.col("text_page_count")), _told("   Пустые страницы: ", F.col("blank_page_count")),
+        _told("   Страниц с замечаниями OCR: ", _warned("page")), _told("   Изображений DOCX с замечаниями OCR: ", _warned("docx-image")), _told("   Средняя уверенность OCR: ", T.optional_float(mean_confidence())),
+        _told("   Символов: ", F.col("char_count")), _told("   Качество: ", F.col("quality_status")), _told("   Предупреждение: ", _or(F.col("warning"), "нет")), _told("   Ошибка: ", _or(F.col("error"), "нет")),
+    )
+    # An empty line stands between the blocks.
+    lines = F.when(F.col("doc_index") > F.col("first"), F.concat(_fixed(""), block)).otherwise(block)
+    files = results.crossJoin(F.broadcast(first)).select(F.lit(1).alias("section"), F.col("doc_index").cast("long").alias("doc_index"), lines.alias("lines"))
+    return numbered(top.unionByName(files))
+
+
+def entry_line(p: Column) -> Column:
+    """The line of a page or picture in the page-by-page report."""
+    return F.concat(F.lit("- "), T.entry_place(p), F.lit(": "), T.source_label(p["source"]), F.lit(", символов: "), p["char_count"].cast("string"), F.lit(", "), T.entry_details(p), F.lit(", замечание: "), _or(p["warning"], "нет"))
+
+
+def ocr_report_lines(results: DataFrame, run: Run) -> DataFrame:
+    """line_no and line of the page-by-page report: what to review, then a block for every document with pages."""
+    paged = results.filter(F.size("page_report") > 0)
+    noted = F.filter("page_report", lambda p: p["warning"] != "")
+    some = results.agg(F.coalesce(F.max(F.size("page_report")), F.lit(0)).alias("pages"), F.coalesce(F.max(F.size(noted)), F.lit(0)).alias("notes"), F.min(F.when(F.size("page_report") > 0, F.col("doc_index"))).alias("first"))
+    created, took = _times(run)
+    start = F.concat(_fixed(OCR_TITLE, ""), F.array(created, took), _fixed(""), F.when(F.col("pages") == 0, _fixed(NO_PAGES)).otherwise(_fixed("Страницы и изображения для ручной проверки:")))
+    head = some.select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("doc_index"), start.alias("lines"))
+    index = F.col("doc_index").cast("long").alias("doc_index")
+    review = paged.select(F.lit(1).alias("section"), index, F.transform(noted, lambda p: F.concat(F.lit("- "), F.col("name"), F.lit(", "), T.entry_place(p), F.lit(": "), p["warning"])).alias("lines")).filter(F.size("lines") > 0)
+    middle = some.filter("pages > 0").select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("doc_index"), F.when(F.col("notes") == 0, _fixed("- нет", "")).otherwise(_fixed("")).alias("lines"))
+    block = F.concat(
+        F.when(F.col("doc_index") > F.col("first"), _fixed("")).otherwise(F.array().cast("array<string>")),
+        F.array(
+            _told("Файл: ", F.col("name")), _told("Тип: ", F.col("doc_type")), _told("Метод: ", F.col("method")), _told("Страниц: ", T.optional_int(F.col("page_count"))), _told("OCR страниц: ", F.col("ocr_page_count")),
+            _told("Изображений DOCX распознано OCR: ", F.col("docx_image_ocr_count")), _told("Текстовый слой: ", F.col("text_page_count")), _told("Пустые страницы: ", F.col("blank_page_count")), F.lit(""), F.lit("Страницы и изображения:"),
+        ),
+        F.transform("page_report", entry_line),
+    )
+    files = paged.crossJoin(F.broadcast(some)).select(F.lit(3).alias("section"), index, block.alias("lines"))
+    return numbered(head.unionByName(review).unionByName(middle).unionByName(files))
+
+
+def combined_lines(results: DataFrame, page_breaks: bool = False) -> DataFrame:
+    """line_no and line of the combined text: its head, and the section of every document as one."""
+    sections = document_sections(results, page_breaks).select(F.col("doc_index").cast("long").alias("line_no"), F.col("section").alias("line"))
+    return results.sparkSession.createDataFrame([(-(1 << 40), COMBINED_HEAD)], "line_no long, line string").unionByName(sections)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from folioflow import settings as S
 from folioflow.functions import cleanup
 from folioflow.functions import text as T
-from folioflow.operators import conversion, ocr, phrases, reports
+from folioflow.operators import conversion, docx, ocr, phrases, reports
 from folioflow.plans import inputs, oracle
 from folioflow.session import table
-from folioflow.sources import manifest, recognition
+from folioflow.sources import docx_parts, manifest, recognition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE = oracle.SQL
@@ -157,14 +157,26 @@ def document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a run."""
-    return reports.run_totals(inputs.results(spark, sf_dir)).withColumn("mean_confidence", F.floor(F.col("mean_confidence")).cast("long"))
+    return reports.run_totals(inputs.results(spark, sf_dir)).withColumn("mean_confidence", T.optional_float(F.col("mean_confidence")))
 
 
 @query
 def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the report tells of each file."""
     rows = reports.file_rows(inputs.results(spark, sf_dir))
-    return rows.select("doc_id", "status", "quality_status", *_long("page_warnings", "ocr_page_count"), F.floor("mean_confidence").cast("long").alias("mean_confidence"))
+    return rows.select("doc_id", "status", "quality_status", *_long("page_warnings", "ocr_page_count"), T.optional_float(F.col("mean_confidence")).alias("mean_confidence"))
+
+
+@query
+def run_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the report of a run, by its number."""
+    return reports.run_report_lines(inputs.results(spark, sf_dir), inputs.RUN)
+
+
+@query
+def ocr_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the page-by-page report, by its number."""
+    return reports.ocr_report_lines(inputs.results(spark, sf_dir), inputs.RUN)
 
 
 @query
@@ -235,6 +247,30 @@ def docx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.docx_text(rough)).alias("run"), F.md5(T.table_cell(rough)).alias("cell"))
 
 
+@query
+def docx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as DOCX files, read back: paragraphs, tables and notes in one Markdown text."""
+    files = inputs.docx_files(spark, sf_dir)
+    read = docx.docx_text(files, docx.docx_blocks(files))
+    return read.select("doc_id", F.md5("raw_text").alias("digest"), F.length("raw_text").cast("long").alias("chars"), (F.col("error") != "").alias("failed"))
+
+
+@query
+def docx_picture_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pictures that DOCX files refer to, by first reference."""
+    found = docx.picture_places(docx_parts.references(inputs.docx_files(spark, sf_dir)))
+    return found.select("doc_id", *_long("number"), "target")
+
+
+@query
+def phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts hold which of the phrases of a table: all items of ``benchmark``, by their sentences, in all documents."""
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    wanted = items.select("item_id", F.posexplode(F.split("text", r"[.\n]")).alias("n", "phrase")).select((F.col("item_id") * 1000 + F.col("n")).alias("phrase_id"), "phrase")
+    found = phrases.recall_by_table(table(spark, sf_dir, "documents", "doc_id", "text"), wanted)
+    return found.select("doc_id", "total", "found", "ids")
+
+
 @query
 def first_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of several converters that gave text."""

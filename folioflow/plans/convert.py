@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioflow import settings as S
 from folioflow.functions import text as T
 from folioflow.operators import conversion, docx, reports
-from folioflow.sources import engines, manifest, recognition
+from folioflow.sources import engines, manifest, recognition, sinks
 
 
 def convert_pages(files: DataFrame, pages: DataFrame, pdf: Callable, recogniser: Callable, settings: S.Settings) -> DataFrame:
@@ -78,32 +78,21 @@ def convert_folder(
     return conversion.with_status(named, settings, info.path, list(info.languages))
 
 
-def write_results(results: DataFrame, folder: str, settings: S.Settings, started: dt.datetime) -> Path:
-    """Write Markdown files, notes on problems, the combined text and the reports; returns the result folder."""
+def write_results(results: DataFrame, folder: str, settings: S.Settings, started: dt.datetime, info: engines.EngineInfo | None = None, finished: dt.datetime | None = None) -> Path:
+    """Write Markdown files, notes on problems, the combined text and the reports; returns the result folder. Executors write all of it."""
     results = results.persist()
     top = manifest.result_folder(folder, started)
     clean, problems = top / "01_markdown", top / "02_problem_files"
     clean.mkdir()
-    names = dict(results.select("doc_id", "output_name").toLocalIterator())
-    for r in results.select("output_name", "clean_markdown").toLocalIterator():
-        (clean / r["output_name"]).write_text(r["clean_markdown"], encoding="utf-8")
-    for r in reports.problem_notes(results).toLocalIterator():
-        problems.mkdir(exist_ok=True)
-        (problems / names[r["doc_id"]]).write_text(r["note"], encoding="utf-8")
-    with (top / "00_ALL_DOCUMENTS.md").open("w", encoding="utf-8") as out:
-        out.write(reports.COMBINED_HEAD)
-        for r in reports.document_sections(results, settings.preserve_page_breaks).orderBy("doc_index").toLocalIterator():
-            out.write("\n" + r["section"])
-        out.write("\n")
-    totals = reports.run_totals(results).first().asDict()
-    labels = (("documents", "документов обработано"), ("succeeded", "успешно"), ("to_review", "требует проверки"), ("failed", "ошибки"), ("pages", "страниц PDF"), ("ocr_pages", "страниц OCR"), ("docx_images", "изображений DOCX распознано OCR"), ("text_pages", "страниц прочитано текстовым слоем"), ("blank_pages", "пустых/почти пустых страниц"), ("page_warnings", "страниц с замечаниями OCR"), ("image_warnings", "изображений DOCX с замечаниями OCR"), ("chars", "символов извлечено"))
-    with (top / "REPORT.txt").open("w", encoding="utf-8") as out:
-        out.write("Итог:\n" + "".join(f"- {label}: {totals[key]}\n" for key, label in labels))
-        mean = totals["mean_confidence"]
-        out.write(f"- средняя уверенность OCR: {'нет данных' if mean is None else f'{mean:.1f}'}\n\nФайлы:\n")
-        for n, r in enumerate(results.orderBy("doc_index").select("name", "status", "doc_type", "method", "output_name", "char_count", "quality_status", "warning", "error").toLocalIterator(), 1):
-            out.write(f"{n}. {r['name']}\n   Статус: {r['status']}\n   Тип: {r['doc_type']}\n   Метод: {r['method']}\n   Markdown: 01_markdown/{r['output_name']}\n   Символов: {r['char_count']}\n   Качество: {r['quality_status']}\n   Предупреждение: {r['warning'] or 'нет'}\n   Ошибка: {r['error'] or 'нет'}\n\n")
-    with (top / "OCR_REPORT.txt").open("w", encoding="utf-8") as out:
-        lines = [r["line"] for r in reports.page_lines(results).orderBy("doc_id", "page_index").toLocalIterator()]
-        out.write("\n".join(lines or [reports.NO_PAGES]) + "\n")
+    sinks.write_files(results.select(F.col("output_name").alias("name"), F.col("clean_markdown").alias("text")), str(clean))
+    notes = reports.problem_notes(results).join(results.select("doc_id", "output_name"), "doc_id").select(F.col("output_name").alias("name"), F.col("note").alias("text"))
+    if not notes.isEmpty():
+        problems.mkdir()
+        sinks.write_files(notes, str(problems))
+    sinks.write_lines(reports.combined_lines(results, settings.preserve_page_breaks), str(top / "00_ALL_DOCUMENTS.md"))
+    info = info or engines.EngineInfo()
+    run = reports.Run(folder, str(top), started, finished or dt.datetime.now(started.tzinfo), settings, info.path, info.version, info.languages, info.data)
+    sinks.write_lines(reports.run_report_lines(results, run), str(top / "REPORT.txt"))
+    sinks.write_lines(reports.ocr_report_lines(results, run), str(top / "OCR_REPORT.txt"))
+    results.unpersist()
     return top

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import settings as S
 from folioflow.functions import text as T
-from folioflow.operators import conversion
+from folioflow.operators import conversion, reports
 from folioflow.session import table
+from folioflow.sources import docx_parts
 
+#: What reports tell of a run beside its results.
+RUN = reports.Run("/in", "/out", dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 6, 10), S.Settings(), "/bin/engine", "5.3", ("rus", "eng"))
 LATIN, RUSSIAN = "abcdefghijklmnopqrstuvwxyz", "абцдефгхижклмнопярстувщызэ"
 PAGE_LINES = 8
 KINDS = (S.DOCX, S.SCAN, S.MIXED, S.TEXT_PDF)
@@ -98,4 +105,27 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     done = conversion.with_status(read, settings, "engine", ["rus", "eng"])
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return done.withColumn("name", name).withColumn("source", F.concat(F.lit("/in/"), name)).withColumn("doc_index", F.col("doc_id") + 1)
+    return done.withColumn("name", name).withColumn("source", F.concat(F.lit("/in/"), name)).withColumn("doc_index", F.col("doc_id") + 1).withColumn("output_name", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")))
+
+
+#: What the pictures of ``docx_files`` are: id, target, external. One id stands twice, one target is not there.
+LINKS = (("r0", "media/a.png", False), ("r1", "media/b.png", False), ("r2", "http://x/a.png", True), ("r3", "gone.png", False), ("r4", "./media/../media/c.png", False), ("r5", "media/b.png", False), ("r6", "media/d.png", False), ("r6", "media/e.png", False))
+
+
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and content: every text as a DOCX file, made in the row. Every third line is a table, every fourth file has notes, every word refers to a picture by its length."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            files = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                lines = text.split("\n")
+                cells = [line.split(", ") for line in lines]
+                blocks = [[row, row[:1]] if n % 3 == 2 else line for n, (line, row) in enumerate(zip(lines, cells, strict=True))]
+                notes = {"-1": "none", "2": lines[0]} if doc_id % 4 == 0 else None
+                files.append(docx_parts.document(blocks, notes, [f"r{len(w) % 9}" for w in text.split(" ")], list(LINKS)))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": files})
+
+    # What XML 1.0 cannot hold becomes a blank.
+    text = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.alias("text")).mapInPandas(made, "doc_id long, content binary")

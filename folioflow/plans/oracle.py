@@ -25,6 +25,11 @@ def _strip(t: str) -> str:
     return rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 
 
+def _tidy(t: str) -> str:
+    t = f"replace(replace({t}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return _strip(rf"regexp_replace(regexp_replace({t}, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')")
+
+
 def _single(t: str) -> str:
     return f"({_runs(t, '= 1')} / greatest(1, len(regexp_extract_all({t}, '[{L}]+'))))"
 
@@ -134,12 +139,28 @@ SELECT doc_id, attempt_no, floor(((CASE WHEN none THEN 0.0::DOUBLE ELSE n * 0.03
 SELECT doc_id, md5(string_agg('## Страница ' || page_index || chr(10) || chr(10) || st, chr(10) || chr(10) ORDER BY page_index)) AS digest, min(page_index) AS first_page FROM s WHERE st <> '' GROUP BY doc_id""",
     "document_status": f"""WITH {STATUS} SELECT doc_id, doc_type, method, status, warning, quality_status, page_count, length(text) AS char_count, rp AS replacement_count, tp AS text_page_count, op AS ocr_page_count, bp AS blank_page_count FROM r""",
     "run_report": f"""WITH {STATUS} SELECT count(*) AS documents, count_if(status = 'успешно') AS succeeded, count_if(status = 'требует проверки') AS to_review, count_if(status = 'ошибка') AS failed, sum(page_count)::BIGINT AS pages, sum(op)::BIGINT AS ocr_pages, 0::BIGINT AS docx_images,
- sum(tp)::BIGINT AS text_pages, sum(bp)::BIGINT AS blank_pages, sum(reviews)::BIGINT AS page_warnings, 0::BIGINT AS image_warnings, sum(length(text))::BIGINT AS chars, floor(round_even(sum(ssum) / sum(sn), 1))::BIGINT AS mean_confidence FROM r""",
-    "file_report": f"""WITH {STATUS} SELECT doc_id, status, quality_status, reviews AS page_warnings, op AS ocr_page_count, CASE WHEN sn > 0 THEN floor(round_even(ssum / sn, 1))::BIGINT END AS mean_confidence FROM r""",
+ sum(tp)::BIGINT AS text_pages, sum(bp)::BIGINT AS blank_pages, sum(reviews)::BIGINT AS page_warnings, 0::BIGINT AS image_warnings, sum(length(text))::BIGINT AS chars, printf('%.1f', round_even(sum(ssum) / sum(sn), 1)) AS mean_confidence FROM r""",
+    "file_report": f"""WITH {STATUS} SELECT doc_id, status, quality_status, reviews AS page_warnings, op AS ocr_page_count, CASE WHEN sn > 0 THEN printf('%.1f', round_even(ssum / sn, 1)) ELSE 'нет данных' END AS mean_confidence FROM r""",
     "review_list": f"""WITH {STATUS} SELECT doc_id, page_index, 'стр. ' || page_index AS place, note AS warning FROM e WHERE note <> ''""",
     "page_report_lines": f"""WITH {STATUS} SELECT doc_id, page_index, '- стр. ' || page_index || ': ' || CASE src WHEN 'ocr' THEN 'OCR' WHEN 'text' THEN 'текстовый слой' ELSE 'пустая/почти пустая' END || ', символов: ' || length(st) || ', '
  || CASE WHEN src = 'ocr' THEN 'уверенность: ' || coalesce(printf('%.1f', sure), 'нет данных') || ', dpi: 216, psm: 6, вариант: contrast_sharp, попыток: 1, выбор: score=1.0; confidence=' || coalesce(printf('%.1f', sure), 'нет') || '; dpi=216; psm=6; variant=contrast_sharp; attempts=1' ELSE 'OCR детали: нет' END
  || ', замечание: ' || CASE WHEN note = '' THEN 'нет' ELSE note END AS line FROM e""",
+    "run_report_lines": f"""WITH {STATUS},
+hd AS (SELECT ['Отчёт о конвертации документов', '', 'Создан: 2024-01-02 03:06:10', 'Исходная папка: /in', 'Папка результата: /out', 'Время обработки: 2 мин 5 сек', '', 'Итог:', '- документов обработано: ' || count(*), '- успешно: ' || count_if(status = 'успешно'), '- требует проверки: ' || count_if(status = 'требует проверки'), '- ошибки: 0',
+ '- страниц PDF: ' || sum(page_count), '- страниц OCR: ' || sum(op), '- изображений DOCX распознано OCR: 0', '- страниц прочитано текстовым слоем: ' || sum(tp), '- пустых/почти пустых страниц: ' || sum(bp), '- страниц с замечаниями OCR: ' || sum(reviews), '- изображений DOCX с замечаниями OCR: 0', '- символов извлечено: ' || sum(length(text)),
+ '- Tesseract OCR: найден, версия 5.3 (rus, eng)', '- Tesseract path: /bin/engine', '- tessdata: не определено', '- OCR языки: rus+eng', '- режим качества OCR: max', '- максимум параллельных OCR-страниц: 4', '- границы страниц в Markdown: обычный режим', '- средняя уверенность OCR: ' || printf('%.1f', round_even(sum(ssum) / sum(sn), 1)), '', 'Файлы:'] AS ls FROM r),
+fl AS (SELECT doc_id, CASE WHEN doc_id > (SELECT min(doc_id) FROM r) THEN [''] ELSE []::VARCHAR[] END || [(doc_id + 1) || '. doc_' || doc_id || '.pdf', '   Статус: ' || status, '   Тип: ' || doc_type, '   Метод: ' || method, '   Markdown: 01_markdown/doc_' || doc_id || '.md', '   Страниц: ' || page_count, '   OCR страниц: ' || op, '   Изображений DOCX распознано OCR: 0',
+ '   Текстовый слой: ' || tp, '   Пустые страницы: ' || bp, '   Страниц с замечаниями OCR: ' || reviews, '   Изображений DOCX с замечаниями OCR: 0', '   Средняя уверенность OCR: ' || CASE WHEN sn > 0 THEN printf('%.1f', round_even(ssum / sn, 1)) ELSE 'нет данных' END, '   Символов: ' || length(text), '   Качество: ' || quality_status, '   Предупреждение: ' || CASE WHEN warning = '' THEN 'нет' ELSE warning END, '   Ошибка: нет'] AS ls FROM r),
+al AS (SELECT -1 AS d, ls FROM hd UNION ALL SELECT doc_id AS d, ls FROM fl), ul AS (SELECT d, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM al)
+SELECT row_number() OVER (ORDER BY d, i) AS line_no, line FROM ul""",
+    "ocr_report_lines": f"""WITH {STATUS}, pl AS (SELECT doc_id, page_index, note, '- стр. ' || page_index || ': ' || CASE src WHEN 'ocr' THEN 'OCR' WHEN 'text' THEN 'текстовый слой' ELSE 'пустая/почти пустая' END || ', символов: ' || length(st) || ', '
+ || CASE WHEN src = 'ocr' THEN 'уверенность: ' || coalesce(printf('%.1f', sure), 'нет данных') || ', dpi: 216, psm: 6, вариант: contrast_sharp, попыток: 1, выбор: score=1.0; confidence=' || coalesce(printf('%.1f', sure), 'нет') || '; dpi=216; psm=6; variant=contrast_sharp; attempts=1' ELSE 'OCR детали: нет' END
+ || ', замечание: ' || CASE WHEN note = '' THEN 'нет' ELSE note END AS line FROM e),
+bl AS (SELECT doc_id, CASE WHEN doc_id > (SELECT min(doc_id) FROM e) THEN [''] ELSE []::VARCHAR[] END || ['Файл: doc_' || doc_id || '.pdf', 'Тип: ' || doc_type, 'Метод: ' || method, 'Страниц: ' || page_count, 'OCR страниц: ' || op, 'Изображений DOCX распознано OCR: 0', 'Текстовый слой: ' || tp, 'Пустые страницы: ' || bp, '', 'Страницы и изображения:'] AS ls FROM r WHERE doc_id IN (SELECT doc_id FROM e)),
+ul AS (SELECT 0 AS s, 0 AS d, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT ['Постраничный OCR-отчет', '', 'Создан: 2024-01-02 03:06:10', 'Время обработки: 2 мин 5 сек', '', 'Страницы и изображения для ручной проверки:'] AS ls)
+ UNION ALL SELECT 1, doc_id, page_index, '- doc_' || doc_id || '.pdf, стр. ' || page_index || ': ' || note FROM pl WHERE note <> '' UNION ALL SELECT 2, 0, 0, ''
+ UNION ALL SELECT 3, doc_id, generate_subscripts(ls, 1), unnest(ls) FROM bl UNION ALL SELECT 3, doc_id, page_index + 1000000, line FROM pl)
+SELECT row_number() OVER (ORDER BY s, d, i) AS line_no, line FROM ul""",
     "problem_notes": f"""WITH {STATUS} SELECT doc_id, array_to_string(['# Требует проверки: doc_' || doc_id || '.pdf', '', '- Исходный файл: `/in/doc_' || doc_id || '.pdf`', '- Тип: ' || doc_type, '- Метод: ' || method, '- Статус: ' || status, '- Предупреждение: ' || CASE WHEN warning = '' THEN 'нет' ELSE warning END, '- Ошибка: нет', '', 'Проверьте исходный документ вручную, особенно если это бумажный скан.', ''], chr(10)) AS note FROM r WHERE status <> 'успешно'""",
     "combined_markdown": rf"""WITH {STATUS}, hy AS (SELECT doc_id, regexp_replace({HYPHEN.replace('text', _strip('text'))}, '[ \t]+', ' ', 'g') AS t FROM r),
 ln AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}), lambda x: NOT regexp_matches(x, '^(?i)(стр\.?|страница)\s*[0-9]{{1,3}}(\s*из\s*[0-9]{{1,3}})?$')) AS k FROM hy),
@@ -157,6 +178,24 @@ SELECT doc_id, (lower(name) LIKE '%.pdf' OR lower(name) LIKE '%.docx') AND NOT s
 SELECT doc_id, regexp_replace(regexp_replace('sub__' || odd, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS stem, regexp_replace(regexp_replace(odd, '[<>:"/\\|?*\x00-\x1F]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS part FROM s""",
     "docx_cells": rf"""WITH s AS (SELECT doc_id, replace(replace(text, ', ', ' ' || chr(9) || '| '), chr(10), '  ' || chr(13) || chr(10) || ' ') AS t FROM documents), c AS (SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')")} AS t FROM s)
 SELECT doc_id, md5(t) AS run, md5(replace(replace(t, '|', '\|'), chr(10), ' / ')) AS cell FROM c""",
+    "docx_documents": rf"""WITH x AS (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') AS text FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM x)),
+n AS (SELECT doc_id, i, CASE WHEN i = 0 AND doc_id % 4 = 0 THEN {_tidy("line || '[2]'")} ELSE {_tidy('line')} END AS para, list_transform(string_split(line, ', '), lambda c: replace(replace({_tidy('c')}, '|', '\|'), chr(10), ' / ')) AS cs FROM l),
+b AS (SELECT doc_id, i, CASE WHEN i % 3 <> 2 THEN para WHEN len(list_filter(cs, lambda c: c <> '')) = 0 THEN '' ELSE '| ' || array_to_string(cs, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(cs, lambda c: '---'), ' | ') || ' |'
+ || CASE WHEN cs[1] <> '' THEN chr(10) || '| ' || array_to_string([cs[1]] || list_transform(range(1, len(cs)), lambda k: ''), ' | ') || ' |' ELSE '' END END AS t FROM n),
+d AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '') AS t FROM b GROUP BY doc_id),
+f AS (SELECT doc_id, '## Сноски' || chr(10) || chr(10) || '[2] ' || {_tidy('line')} AS note FROM l WHERE i = 0 AND doc_id % 4 = 0 AND {_tidy('line')} <> ''),
+o AS (SELECT d.doc_id, concat_ws(chr(10) || chr(10), t, note) AS t FROM d LEFT JOIN f USING (doc_id))
+SELECT doc_id, md5(t) AS digest, length(t) AS chars, t = '' AS failed FROM o""",
+    "docx_picture_places": r"""WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), ' ') AS ws FROM documents),
+w AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM x),
+m AS (SELECT doc_id, min(pos) AS pos, t FROM w JOIN (VALUES (0, 'word/media/a.png'), (1, 'word/media/b.png'), (4, 'word/media/c.png'), (5, 'word/media/b.png'), (6, 'word/media/e.png')) v(k, t) ON length(w) % 9 = k GROUP BY doc_id, t)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number, t AS target FROM m""",
+    "phrase_table": f"""WITH p AS (SELECT item_id * 1000 + k - 1 AS phrase_id, trim(regexp_replace(upper(replace(ph, 'ß', 'ss')), '[^0-9{L}]+', ' ', 'g')) AS f FROM (SELECT item_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS ph FROM (SELECT item_id, regexp_split_to_array(text, '[.\n]') AS ps FROM benchmark))),
+q AS (SELECT phrase_id, f, list_filter(string_split(f, ' '), lambda w: length(w) >= 4) AS ws FROM p),
+d AS MATERIALIZED (SELECT doc_id, trim(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^0-9{L}]+', ' ', 'g')) AS t FROM documents),
+h AS (SELECT doc_id, phrase_id FROM d, q WHERE contains(t, f) OR (len(ws) > 0 AND len(list_filter(ws, lambda w: NOT contains(t, w))) = 0))
+SELECT d.doc_id, (SELECT count(*) FROM q) AS total, count(phrase_id) AS found, coalesce(string_agg(phrase_id, ',' ORDER BY phrase_id), '') AS ids FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id""",
     "first_converter": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN 0 WHEN doc_id % 4 = 0 AND trim(text) <> '' THEN 1 WHEN doc_id % 5 = 0 THEN 2 END::BIGINT AS converter FROM documents""",
     "report_metrics": """SELECT doc_id, doc_id AS chars, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 12 END::BIGINT AS ocr_pages, NULL::BIGINT AS review_pages, (doc_id % 90 + 0.5)::DOUBLE AS confidence FROM documents""",
     "benchmark_verdict": """WITH s AS (SELECT coalesce(max(n_chars) FILTER (doc_id % 2 = 1) >= max(n_chars) FILTER (doc_id % 2 = 0), FALSE) AS ok FROM documents) SELECT ok AS passed, ok AS max_not_worse, TRUE AS russian_passed FROM s""",

@@ -292,5 +292,5 @@ def document(blocks: list[str | list[list[str]]], notes: dict[str, str] | None =
             shown = (f'<Relationship Id="{n}" Type="{LINKS[1:-1]}/image" Target="{escape(t)}"{" TargetMode=" + chr(34) + "External" + chr(34) if x else ""}/>' for n, t, x in links)
             archive.writestr("word/_rels/document.xml.rels", f"<Relationships>{''.join(shown)}</Relationships>")
             for target in sorted({t for _, t, x in links if not x and not t.startswith("gone")}):
-                archive.writestr(f"word/{target}", target)
+                archive.writestr(posixpath.normpath(f"word/{target}"), target)
     return out.getvalue()

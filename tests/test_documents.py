@@ -125,7 +125,6 @@ def test_phrases(spark):
     texts = spark.createDataFrame([(1, "Quality: signal\nphrase, alpha beta"), (2, "beta, alpha and phrase; a signal of QUALITY"), (3, "nothing")], "doc_id long, text string")
     got = {r["doc_id"]: r["found"] for r in phrases.phrase_recall(texts, ["quality signal phrase alpha beta"]).collect()}
     assert got == {1: 1, 2: 1, 3: 0}
-    assert len(phrases.case_phrases()) == 18 and len(phrases.case_phrases(True)) == 2
 
 
 def test_verdict(spark):
