@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,15 @@ class Written(WriterCommitMessage):
     first: int = 0
 
 
+def _gone(folder: str) -> None:
+    """Remove a staging folder, also while tasks that are being killed still write there; they cannot make it anew."""
+    for _ in range(50):
+        shutil.rmtree(folder, ignore_errors=True)
+        if not os.path.exists(folder):
+            return
+        time.sleep(0.1)
+
+
 class FileSink(DataSource):
     """``df.write.format("named_files").save(folder)`` of rows (name, text): a file each."""
 
@@ -39,10 +49,11 @@ class FileSink(DataSource):
 class FileWriter(DataSourceWriter):
     def __init__(self, folder: str):
         self.folder, self.staged = folder, f"{folder}/.staged-{uuid.uuid4().hex}"
+        os.mkdir(self.staged)  # by the driver; tasks only make folders and files inside
 
     def write(self, rows: Iterator[Row]) -> Written:
         own = f"{self.staged}/{uuid.uuid4().hex}"
-        os.makedirs(own)
+        os.mkdir(own)
         for row in rows:
             with open(f"{own}/{row['name']}", "w", encoding="utf-8", newline="") as out:
                 out.write(row["text"] or "")
@@ -52,10 +63,10 @@ class FileWriter(DataSourceWriter):
         for message in filter(None, messages):
             for name in os.listdir(message.path):
                 os.replace(f"{message.path}/{name}", f"{self.folder}/{name}")
-        shutil.rmtree(self.staged, ignore_errors=True)
+        _gone(self.staged)
 
     def abort(self, messages: list) -> None:
-        shutil.rmtree(self.staged, ignore_errors=True)
+        _gone(self.staged)
 
 
 class LineSink(DataSource):
@@ -72,9 +83,9 @@ class LineSink(DataSource):
 class LineWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.staged = path, f"{path}.staged-{uuid.uuid4().hex}"
+        os.mkdir(self.staged)
 
     def write(self, rows: Iterator[Row]) -> Written | None:
-        os.makedirs(self.staged, exist_ok=True)
         own, first = f"{self.staged}/{uuid.uuid4().hex}", None
         with open(own, "w", encoding="utf-8", newline="") as out:
             for row in rows:
@@ -90,10 +101,10 @@ class LineWriter(DataSourceWriter):
                 with open(message.path, "rb") as part:
                     shutil.copyfileobj(part, out, 1 << 20)
         os.replace(whole, self.path)
-        shutil.rmtree(self.staged, ignore_errors=True)
+        _gone(self.staged)
 
     def abort(self, messages: list) -> None:
-        shutil.rmtree(self.staged, ignore_errors=True)
+        _gone(self.staged)
 
 
 def register(spark: SparkSession) -> None:
