@@ -105,7 +105,7 @@ def frequent(texts: DataFrame, path: str, size: int = SUMMARY) -> Summary:
         return pa.Table.from_batches([merged(list(rows), size).batch(table.column("node")[0].as_py() // FAN)])
 
     found = materialise(texts.select(F.col("text").cast("string").alias("text")).mapInArrow(task, SKETCH), "summaries")
-    while found.count() > FAN:
+    while found.count() > 1:
         found = materialise(found.groupBy(F.floor(F.col("node") / FAN)).applyInArrow(merge, SKETCH), "summaries")
     return merged([(bytes(r["keys"]), bytes(r["counts"]), r["pieces"]) for r in found.collect()], size)
 
