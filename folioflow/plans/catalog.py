@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioflow import settings as S
 from folioflow.functions import cleanup
 from folioflow.functions import text as T
-from folioflow.operators import conversion, docx, ocr, phrases, reports
+from folioflow.operators import conversion, docx, ocr, phrases, rasters, reports
 from folioflow.plans import inputs, oracle
 from folioflow.session import table
 from folioflow.sources import docx_parts, manifest, recognition
@@ -262,6 +262,18 @@ def docx_picture_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_long("number"), "target")
 
 
+@query
+def raster_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dark shares, blank pictures, candidates and the bounds of the contrast."""
+    return rasters.measures(inputs.rasters(spark, sf_dir)).select("doc_id", "dark", "total", "blank", "candidate", *_long("low", "high"))
+
+
+@query
+def raster_greys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greys of all pictures."""
+    return rasters.greys(inputs.rasters(spark, sf_dir))
+
+
 @query
 def phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts hold which of the phrases of a table: all items of ``benchmark``, by their sentences, in all documents."""

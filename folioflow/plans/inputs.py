@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,3 +130,18 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # What XML 1.0 cannot hold becomes a blank.
     text = F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.alias("text")).mapInPandas(made, "doc_id long, content binary")
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, width and pixels: the bytes of every text as greys, sixteen pixels each, those of a document's own bound and above white; the last row of pixels filled up with white."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pictures = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                plain = np.frombuffer(text.encode(), dtype=np.uint8)
+                row = np.repeat(np.where(plain < doc_id * 7 % 128, plain, 255).astype(np.uint8), 16)
+                pictures.append(np.append(row, np.full(-len(row) % 320, 255, dtype=np.uint8)).tobytes())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "width": 320, "pixels": pictures})
+
+    return table(spark, sf_dir, "documents", "doc_id", "text").mapInPandas(made, "doc_id long, width int, pixels binary")

@@ -109,6 +109,11 @@ j AS (SELECT bs.doc_id, bs.attempt_no, bs.best, s.sure, s.n, s.score FROM bs JOI
 e AS (SELECT doc_id, coalesce(min(CASE WHEN attempt_no >= 9 AND sure >= 88 AND n >= 400 THEN attempt_no END), 27) AS attempt_count FROM j GROUP BY doc_id)
 SELECT e.doc_id, j.best AS attempt_no, e.attempt_count, floor(j.score * 100 + 0.5)::BIGINT AS hundredths FROM e JOIN j ON j.doc_id = e.doc_id AND j.attempt_no = e.attempt_count"""
 
+GREYS = """b AS (SELECT doc_id, ('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')))::INT AS v FROM documents),
+q AS (SELECT doc_id, CASE WHEN v < doc_id * 7 % 128 THEN v ELSE 255 END AS grey, 16 * count(*) AS n FROM b GROUP BY ALL),
+z AS (SELECT doc_id, 320 * ((octet_length(encode(text)) + 19) // 20) AS total, 16 * octet_length(encode(text)) AS filled FROM documents),
+y AS (SELECT doc_id, grey, sum(n)::BIGINT AS n FROM (SELECT * FROM q UNION ALL SELECT doc_id, 255, total - filled FROM z) GROUP BY ALL HAVING sum(n) > 0)"""
+
 SQL: dict[str, str] = {
     "text_quality": f"""WITH {ALTERED}, q AS (SELECT lang, text, concat_ws(' ', CASE WHEN {_repl('text')} > 0 THEN 'Есть нечитаемые символы: ' || {_repl('text')} || '.' END, CASE WHEN length(text) < 400 THEN 'Очень мало текста.' END,
  CASE WHEN {KIND} IN ('PDF-скан', 'PDF смешанный') AND round_even({_cyr('text')}, 3) < 0.35 AND {_letters('text')} >= 200 THEN 'Низкая доля кириллицы для русского скана.' END) AS warning FROM d)
@@ -191,6 +196,11 @@ SELECT doc_id, md5(t) AS digest, length(t) AS chars, t = '' AS failed FROM o""",
 w AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM x),
 m AS (SELECT doc_id, min(pos) AS pos, t FROM w JOIN (VALUES (0, 'word/media/a.png'), (1, 'word/media/b.png'), (4, 'word/media/c.png'), (5, 'word/media/b.png'), (6, 'word/media/e.png')) v(k, t) ON length(w) % 9 = k GROUP BY doc_id, t)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number, t AS target FROM m""",
+    "raster_measures": f"""WITH {GREYS}, c AS (SELECT y.doc_id, grey, n, total, sum(n) OVER (PARTITION BY y.doc_id ORDER BY grey) AS up, sum(n) OVER (PARTITION BY y.doc_id ORDER BY grey DESC) AS down FROM y JOIN z ON z.doc_id = y.doc_id),
+m AS (SELECT doc_id, sum(CASE WHEN grey < 245 THEN n ELSE 0 END)::BIGINT AS dark, min(CASE WHEN up > total // 100 THEN grey END)::BIGINT AS low, max(CASE WHEN down > total // 100 THEN grey END)::BIGINT AS high FROM c GROUP BY doc_id),
+j AS (SELECT z.doc_id, coalesce(dark, 0)::BIGINT AS dark, total::BIGINT AS total, total = 0 OR coalesce(dark, 0) / total < 0.01 AS blank, coalesce(low, 0) AS low, coalesce(high, 0) AS high FROM z LEFT JOIN m ON m.doc_id = z.doc_id)
+SELECT doc_id, dark, total, blank, NOT blank AND total // 320 >= 160 AND total >= 120000 AS candidate, low, high FROM j""",
+    "raster_greys": f"WITH {GREYS} SELECT grey::BIGINT AS grey, sum(n)::BIGINT AS pixels FROM y GROUP BY grey",
     "phrase_table": f"""WITH p AS (SELECT item_id * 1000 + k - 1 AS phrase_id, trim(regexp_replace(upper(replace(ph, 'ß', 'ss')), '[^0-9{L}]+', ' ', 'g')) AS f FROM (SELECT item_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS ph FROM (SELECT item_id, regexp_split_to_array(text, '[.\n]') AS ps FROM benchmark))),
 q AS (SELECT phrase_id, f, list_filter(string_split(f, ' '), lambda w: length(w) >= 4) AS ws FROM p),
 d AS MATERIALIZED (SELECT doc_id, trim(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^0-9{L}]+', ' ', 'g')) AS t FROM documents),

@@ -238,9 +238,14 @@ def result_text(result: object) -> str:
     return next((t for t in texts if isinstance(t, str)), str(result))
 
 
+def histogram(image: np.ndarray) -> np.ndarray:
+    """Pixels of each grey."""
+    return np.bincount(image.reshape(-1), minlength=256)
+
+
 def dark_share(image: np.ndarray) -> float:
     """Share of pixels that are darker than paper."""
-    return float((image < S.DARK_BELOW).mean()) if image.size else 0.0
+    return float(histogram(image)[: S.DARK_BELOW].sum() / image.size) if image.size else 0.0
 
 
 def is_blank(image: np.ndarray) -> bool:
@@ -253,16 +258,17 @@ def is_candidate(image: np.ndarray) -> bool:
     return width >= S.IMAGE_MIN_WIDTH and height >= S.IMAGE_MIN_HEIGHT and width * height >= S.IMAGE_MIN_PIXELS and not is_blank(image)
 
 
-def contrast_table(histogram: np.ndarray, cut: int = S.CONTRAST_CUT) -> np.ndarray:
-    """What each grey becomes when ``cut`` per cent of the pixels go at either end and the rest is stretched to 0..255.
+def contrast_bounds(histogram: np.ndarray, cut: int = S.CONTRAST_CUT) -> tuple[int, int]:
+    """The darkest and the lightest grey that stay when ``cut`` per cent of the pixels go at either end. Whole pixels are cut, and a grey may be cut in part."""
+    share = int(histogram.sum()) * cut // 100
+    darker, lighter = np.cumsum(histogram) > share, np.cumsum(histogram[::-1])[::-1] > share
+    return (int(darker.argmax()), int(np.flatnonzero(lighter)[-1])) if darker.any() else (0, 0)
 
-    Whole pixels are cut, and a grey may be cut in part; a picture of one grey stays as it is.
-    """
+
+def contrast_table(histogram: np.ndarray) -> np.ndarray:
+    """What each grey becomes when the greys between the bounds are stretched to 0..255; all stay if the bounds are one."""
+    low, high = contrast_bounds(histogram)
     greys = np.arange(256)
-    share = int(histogram.sum()) * cut // 100
-    left = np.maximum(np.cumsum(histogram) - share, 0) > 0
-    right = np.maximum(np.cumsum(histogram[::-1]) - share, 0)[::-1] > 0
-    low, high = (int(np.argmax(left)), int(255 - np.argmax(right[::-1]))) if left.any() else (255, 0)
     if high <= low:
         return greys.astype(np.uint8)
     scale = 255.0 / (high - low)
@@ -286,7 +292,7 @@ def image_variant(image: np.ndarray, variant: str) -> np.ndarray:
     """A grey picture as it is, with contrast stretched and sharpened, or in black and white."""
     if variant == "gray":
         return image
-    stretched = contrast_table(np.bincount(image.reshape(-1), minlength=256))[image]
+    stretched = contrast_table(histogram(image))[image]
     return np.where(stretched > S.WHITE_ABOVE, 255, 0).astype(np.uint8) if variant == "binary" else sharpened(stretched)
 
 
