@@ -17,6 +17,7 @@ from folioflow.sources import docx_parts, manifest, recognition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE = oracle.SQL
+WANTED = ["the that", "and the of", "mit license", "tionre thand", "quality of des", "ing"]
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -207,8 +208,7 @@ def combined_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def phrase_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts hold which phrases."""
-    wanted = ["the that", "and the of", "mit license", "tionre thand", "quality of des", "ing"]
-    found = phrases.phrase_recall(table(spark, sf_dir, "documents", "doc_id", "text"), wanted)
+    found = phrases.phrase_recall(table(spark, sf_dir, "documents", "doc_id", "text"), WANTED)
     return found.select("doc_id", *_long("total", "found"), F.array_join("missing", "|").alias("missing"))
 
 
@@ -222,21 +222,20 @@ def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def skip_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A2, H1: which files of a folder are documents to convert."""
-    doc = F.col("doc_id")
+    """A1, A2, H1: how many of the files that the words of a text name are documents to convert."""
     folders = F.array(*[F.lit(x) for x in ("docs", "build", "markdown_result_1", ".converter_x", "Build", "runtime", "benchmark_result_2", "a")])
-    names = F.array(*[F.lit(x) for x in ("x.pdf", "~$x.docx", "B.PDF", "c.Docx", "_n.docx", "d.txt", ".h.pdf")])
-    paths = table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.element_at(folders, (doc % 8 + 1).cast("int")).alias("folder"), F.element_at(names, (doc % 7 + 1).cast("int")).alias("name"))
-    return paths.select("doc_id", manifest.wanted(F.col("name"), F.array("folder")).alias("wanted"))
+    ends = F.array(*[F.lit(x) for x in (".pdf", ".PDF", ".Docx", ".txt", ".d.pdf", "")])
+    words = F.split("text", " ")
+    paths = F.transform(words, lambda w, i: F.struct(F.element_at(folders, (F.length(w) % 8 + 1).cast("int")).alias("folder"), F.concat(F.when(i % 7 == 0, "~$").otherwise(""), w, F.element_at(ends, (i % 6 + 1).cast("int"))).alias("name")))
+    kept = F.filter(paths, lambda x: manifest.wanted(x["name"], F.array(x["folder"])))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(paths).cast("long").alias("files"), F.size(kept).cast("long").alias("wanted"))
 
 
 @query
 def output_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Output names before they are made unique."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    stem = F.substr("text", F.lit(1), F.lit(12))
-    odd = F.concat(F.lit(" ."), F.translate(stem, "aeo", ':*"'), F.lit(". "))
-    return docs.select("doc_id", manifest.output_stem(F.array(F.lit("sub")), odd).alias("stem"), T.file_safe(odd, runs=True).alias("part"))
+    """Output names before they are made unique, of whole texts."""
+    odd = F.concat(F.lit(" ."), F.translate("text", "aeo", ':*"'), F.lit(". "))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(manifest.output_stem(F.array(F.lit("sub")), odd)).alias("stem"), F.md5(T.file_safe(odd, runs=True)).alias("part"))
 
 
 @query
@@ -294,16 +293,22 @@ def first_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers read back out of a report."""
-    doc = F.col("doc_id")
-    report = F.concat(F.lit("- символов извлечено: "), doc.cast("string"), F.lit("\n- страниц OCR: "), F.when(doc % 3 == 0, "x").otherwise("12"), F.lit("\n- средняя уверенность OCR: "), (doc % 90).cast("string"), F.lit(",5\n"))
-    got = phrases.report_metrics(report)
-    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", got["extracted_chars"].cast("long").alias("chars"), got["ocr_pages"].cast("long").alias("ocr_pages"), got["review_pages"].cast("long").alias("review_pages"), got["average_confidence"].alias("confidence"))
+    """Numbers read back out of the report of each document."""
+    rows = reports.file_rows(inputs.results(spark, sf_dir))
+    lines = [F.concat(F.lit(f"- {label}: "), value) for label, value in (
+        ("символов извлечено", F.col("char_count").cast("string")), ("страниц OCR", F.when(F.col("ocr_page_count") > 0, F.col("ocr_page_count").cast("string")).otherwise("x")),
+        ("страниц с замечаниями OCR", F.col("page_warnings").cast("string")), ("средняя уверенность OCR", F.replace(T.optional_float(F.col("mean_confidence")), F.lit("."), F.lit(","))),
+    )]
+    got = phrases.report_metrics(F.concat_ws("\n", F.lit("Итог:"), *lines))
+    return rows.select("doc_id", *[got[c].cast("long").alias(c) for c in ("extracted_chars", "ocr_pages", "review_pages")], got["average_confidence"].alias("confidence"))
 
 
 @query
 def benchmark_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a benchmark run pass?"""
-    docs = table(spark, sf_dir, "documents", "doc_id", "n_chars")
-    modes = docs.groupBy(F.when(F.col("doc_id") % 2 == 0, "standard").otherwise("max").alias("mode")).agg(F.max("n_chars").alias("phrase_found"), (F.count("*") > 0).alias("passed"), F.lit(True).alias("russian_passed"))
-    return phrases.verdict(modes)
+    """Does a run pass, in which one mode reads the texts as they are and the other altered?"""
+
+    def mode(name: str, texts: DataFrame) -> DataFrame:
+        found = phrases.phrase_recall(texts, WANTED)
+        return found.agg(F.lit(name).alias("mode"), F.sum("found").alias("phrase_found"), (F.sum("found") > 0).alias("passed"), (F.count_if(F.col("found") == F.col("total")) > 0).alias("russian_passed"))
+
+    return phrases.verdict(mode("max", table(spark, sf_dir, "documents", "doc_id", "text")).unionByName(mode("standard", inputs.altered(spark, sf_dir).select("doc_id", "text"))))

@@ -177,10 +177,11 @@ SELECT doc_id + 1 AS doc_index, md5(section) AS digest, length(section) AS chars
     "phrase_presence": f"""WITH f AS (SELECT doc_id, trim(regexp_replace(upper(text), '[^0-9{L}]+', ' ', 'g')) AS f FROM documents), m AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN {_present(p)} THEN NULL ELSE '{p}' END" for p in _PHRASES)}], lambda x: x IS NOT NULL) AS missing FROM f)
 SELECT doc_id, {len(_PHRASES)}::BIGINT AS total, {len(_PHRASES)} - len(missing) AS found, array_to_string(missing, '|') AS missing FROM m""",
     "missing_languages": """SELECT doc_id, array_to_string(list_filter(['rus', 'eng'], lambda x: NOT list_contains(CASE WHEN doc_id % 2 = 0 THEN ['eng'] ELSE [lang, 'rus'] END, x)), ',') AS missing FROM documents""",
-    "skip_paths": """WITH n AS (SELECT doc_id, list_extract(['docs', 'build', 'markdown_result_1', '.converter_x', 'Build', 'runtime', 'benchmark_result_2', 'a'], (doc_id % 8 + 1)::INT) AS folder, list_extract(['x.pdf', '~$x.docx', 'B.PDF', 'c.Docx', '_n.docx', 'd.txt', '.h.pdf'], (doc_id % 7 + 1)::INT) AS name FROM documents)
-SELECT doc_id, (lower(name) LIKE '%.pdf' OR lower(name) LIKE '%.docx') AND NOT starts_with(name, '~$') AND folder NOT IN ('build', 'runtime') AND NOT starts_with(folder, 'markdown_result_') AND NOT starts_with(folder, 'benchmark_result_') AND NOT starts_with(folder, '.converter_') AS wanted FROM n""",
-    "output_stems": r"""WITH s AS (SELECT doc_id, ' .' || translate(substr(text, 1, 12), 'aeo', ':*"') || '. ' AS odd FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace('sub__' || odd, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS stem, regexp_replace(regexp_replace(odd, '[<>:"/\\|?*\x00-\x1F]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS part FROM s""",
+    "skip_paths": """WITH w AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)),
+n AS (SELECT doc_id, list_extract(['docs', 'build', 'markdown_result_1', '.converter_x', 'Build', 'runtime', 'benchmark_result_2', 'a'], (length(w) % 8 + 1)::INT) AS folder, CASE WHEN i % 7 = 0 THEN '~$' ELSE '' END || w || list_extract(['.pdf', '.PDF', '.Docx', '.txt', '.d.pdf', ''], (i % 6 + 1)::INT) AS name FROM w)
+SELECT doc_id, count(*) AS files, count_if((lower(name) LIKE '%.pdf' OR lower(name) LIKE '%.docx') AND NOT starts_with(name, '~$') AND folder NOT IN ('build', 'runtime') AND NOT starts_with(folder, 'markdown_result_') AND NOT starts_with(folder, 'benchmark_result_') AND NOT starts_with(folder, '.converter_')) AS wanted FROM n GROUP BY doc_id""",
+    "output_stems": r"""WITH s AS (SELECT doc_id, ' .' || translate(text, 'aeo', ':*"') || '. ' AS odd FROM documents)
+SELECT doc_id, md5(regexp_replace(regexp_replace('sub__' || odd, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')) AS stem, md5(regexp_replace(regexp_replace(odd, '[<>:"/\\|?*\x00-\x1F]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')) AS part FROM s""",
     "docx_cells": rf"""WITH s AS (SELECT doc_id, replace(replace(text, ', ', ' ' || chr(9) || '| '), chr(10), '  ' || chr(13) || chr(10) || ' ') AS t FROM documents), c AS (SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')")} AS t FROM s)
 SELECT doc_id, md5(t) AS run, md5(replace(replace(t, '|', '\|'), chr(10), ' / ')) AS cell FROM c""",
     "docx_documents": rf"""WITH x AS (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') AS text FROM documents),
@@ -207,6 +208,10 @@ d AS MATERIALIZED (SELECT doc_id, trim(regexp_replace(upper(replace(text, 'ß',
 h AS (SELECT doc_id, phrase_id FROM d, q WHERE contains(t, f) OR (len(ws) > 0 AND len(list_filter(ws, lambda w: NOT contains(t, w))) = 0))
 SELECT d.doc_id, (SELECT count(*) FROM q) AS total, count(phrase_id) AS found, coalesce(string_agg(phrase_id, ',' ORDER BY phrase_id), '') AS ids FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id""",
     "first_converter": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN 0 WHEN doc_id % 4 = 0 AND trim(text) <> '' THEN 1 WHEN doc_id % 5 = 0 THEN 2 END::BIGINT AS converter FROM documents""",
-    "report_metrics": """SELECT doc_id, doc_id AS chars, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 12 END::BIGINT AS ocr_pages, NULL::BIGINT AS review_pages, (doc_id % 90 + 0.5)::DOUBLE AS confidence FROM documents""",
-    "benchmark_verdict": """WITH s AS (SELECT coalesce(max(n_chars) FILTER (doc_id % 2 = 1) >= max(n_chars) FILTER (doc_id % 2 = 0), FALSE) AS ok FROM documents) SELECT ok AS passed, ok AS max_not_worse, TRUE AS russian_passed FROM s""",
+    "report_metrics": f"""WITH {STATUS} SELECT doc_id, length(text) AS extracted_chars, CASE WHEN op > 0 THEN op END AS ocr_pages, reviews AS review_pages, CASE WHEN sn > 0 THEN round_even(ssum / sn, 1) END AS confidence FROM r""",
+    "benchmark_verdict": f"""WITH {ALTERED}, x AS (SELECT 'max' AS mode, text FROM documents UNION ALL SELECT 'standard', text FROM d),
+f AS (SELECT mode, trim(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^0-9{L}]+', ' ', 'g')) AS f FROM x), c AS (SELECT mode, {' + '.join(f'({_present(p)})::INT' for p in _PHRASES)} AS found FROM f),
+m AS (SELECT mode, sum(found) AS found, count_if(found = {len(_PHRASES)}) > 0 AS whole FROM c GROUP BY mode),
+v AS (SELECT coalesce((SELECT found FROM m WHERE mode = 'max') >= (SELECT found FROM m WHERE mode = 'standard'), FALSE) AS ok, bool_and(found > 0) AS passed, bool_or(mode = 'max' AND whole) AS russian FROM m)
+SELECT passed AND ok AS passed, ok AS max_not_worse, russian AS russian_passed FROM v""",
 }
