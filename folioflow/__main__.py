@@ -24,12 +24,13 @@ def main() -> int:
     parser.add_argument("--preserve-page-breaks", action="store_true")
     a = parser.parse_args()
     settings = S.Settings(a.ocr_languages, a.ocr_workers, a.quality_mode, a.tesseract_path, a.tessdata_dir, a.preserve_page_breaks)
-    info = engines.probe(settings)
-    if a.check:
-        print(info)
-        return 0
     started = dt.datetime.now()
     spark = SparkSession.builder.appName("folioflow").getOrCreate()
+    found = engines.probe_executors(spark, settings)
+    if a.check:
+        found.show(truncate=False)
+        return 0
+    info = engines.common_info(found)
     recogniser = (lambda: engines.Tesseract(info.path, settings.language_argument, info.data)) if info.path else None
     print(write_results(convert_folder(spark, a.folder, settings, recogniser=recogniser, info=info), a.folder, settings, started, info))
     return 0

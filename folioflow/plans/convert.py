@@ -43,7 +43,7 @@ def convert_folder(
     pictures: Callable = engines.Pillow, converter: Callable = engines.third_party_markdown,
 ) -> DataFrame:
     """Results of all documents of a folder, with doc_index, name, source, output_name and clean_markdown."""
-    info = info if info is not None else engines.probe(settings)
+    info = info if info is not None else engines.common_info(engines.probe_executors(spark, settings))
     files = manifest.manifest(spark, folder)
     data = manifest.contents(files).drop("path").persist()
     is_docx = F.lower("ext") == ".docx"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import socket
 import subprocess
 from collections.abc import Callable, Iterator
 from contextlib import closing
@@ -17,7 +18,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from folioflow import settings as S
 
@@ -198,20 +199,71 @@ class EngineInfo:
     version: str | None = None
 
 
-def probe(settings: S.Settings) -> EngineInfo:
-    """Find the recognition program and ask for its languages; does not change the environment."""
-    path = settings.tesseract_path if settings.tesseract_path and os.path.exists(settings.tesseract_path) else shutil.which("tesseract")
+# Names and places of the recognition program and of its language data.
+PROGRAM, BUNDLED = "tesseract", "tesseract.exe"
+USUAL_PLACES = ("C:/Program Files/Tesseract-OCR/tesseract.exe", "C:/Program Files (x86)/Tesseract-OCR/tesseract.exe")
+DATA_PLACES = ("tessdata", "runtime/tessdata")
+
+
+def find_program(settings: S.Settings, bundle: str, usual: tuple[str, ...] = USUAL_PLACES) -> str | None:
+    """The recognition program: as set if it is there, the bundled one, that on the search path, or one in the usual places."""
+    own = os.path.join(bundle, BUNDLED)
+    known = [settings.tesseract_path, own if os.path.exists(own) else shutil.which(PROGRAM), *usual]
+    return next((p for p in known if p and os.path.exists(p)), None)
+
+
+def find_data(settings: S.Settings, bundle: str) -> str | None:
+    """The folder of language data: as set, or the first that is there, in the bundle, the folders above it, or the working folder."""
+    if settings.tessdata_dir:
+        return settings.tessdata_dir if os.path.exists(settings.tessdata_dir) else None
+    above = [bundle, os.path.dirname(bundle), os.path.dirname(os.path.dirname(bundle))]
+    places = [os.path.join(folder, DATA_PLACES[0]) for folder in above] + [os.path.join(above[-1], DATA_PLACES[1]), *(os.path.join(os.getcwd(), place) for place in DATA_PLACES)]
+    return next((p for p in places if os.path.exists(p)), None)
+
+
+def probe(settings: S.Settings, bundle: str | None = None, usual: tuple[str, ...] = USUAL_PLACES) -> EngineInfo:
+    """Find the recognition program of this machine and ask for its version and languages; does not change the environment. ``bundle``: the program's own folder."""
+    bundle = bundle or os.path.dirname(os.path.abspath(__file__))
+    path, data = find_program(settings, bundle, usual), find_data(settings, bundle)
     if not path:
-        return EngineInfo()
+        return EngineInfo(data=data)
 
     def ask(*options: str) -> list[str]:
         try:
-            return subprocess.run([path, *options], capture_output=True, text=True, timeout=PROBE_TIMEOUT).stdout.splitlines()
+            return subprocess.run([path, *options], capture_output=True, text=True, encoding="utf-8", errors="ignore", timeout=PROBE_TIMEOUT).stdout.splitlines()
         except (OSError, subprocess.TimeoutExpired):
             return []
 
-    listed, version = ask("--list-langs"), ask("--version")
-    return EngineInfo(path, tuple(x.strip() for x in listed[1:] if x.strip()), settings.tessdata_dir, version[0] if version else None)
+    version = ask("--version")
+    listed = ask(*(["--tessdata-dir", data] if data else []), "--list-langs")
+    languages = tuple(x.strip() for x in listed if x.strip() and not x.strip().lower().startswith("list of"))
+    return EngineInfo(path, languages, data, version[0].strip().removeprefix(f"{PROGRAM} ") or None if version else None)
+
+
+PROBED = "host string, path string, languages array<string>, data string, version string"
+
+
+def probe_executors(spark: SparkSession, settings: S.Settings, tasks: int | None = None, **places) -> DataFrame:
+    """What ``probe`` finds where tasks run (PROBED), a row for each host and finding: executors may differ from the driver and from one another."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                info = probe(settings, **places)
+                yield pd.DataFrame([(socket.gethostname(), info.path, list(info.languages), info.data, info.version)], columns=[c.split()[0] for c in PROBED.split(", ")])
+
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    return spark.range(tasks, numPartitions=tasks).mapInPandas(work, PROBED).distinct()
+
+
+def common_info(found: DataFrame) -> EngineInfo:
+    """What all executors have: a program only if each has one at the same place, and the languages that each has."""
+    rows = found.collect()
+    paths = {r["path"] for r in rows}
+    if len(paths) != 1 or None in paths:
+        return EngineInfo()
+    languages = tuple(x for x in rows[0]["languages"] if all(x in r["languages"] for r in rows))
+    return EngineInfo(rows[0]["path"], languages, rows[0]["data"], rows[0]["version"])
 
 
 def third_party_markdown(content: bytes, name: str, engine: str) -> str:
