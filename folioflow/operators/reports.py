@@ -45,18 +45,23 @@ def mean_confidence() -> Column:
     return F.when(F.size(values) > 0, F.bround(F.aggregate(values, F.lit(0.0), lambda a, c: a + c) / F.size(values), 1))
 
 
-def run_totals(results: DataFrame) -> DataFrame:
-    """One row of totals over all documents. Partial sums are made before the shuffle; no entry is exploded."""
+def total_columns() -> list[Column]:
+    """Aggregates of the totals over all documents, each one a partial sum; no entry is exploded."""
     total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).cast("long")
     sures = F.filter(F.transform("page_report", lambda p: p["confidence"]), lambda c: c.isNotNull())
-    rows = results.withColumn("__sum", F.aggregate(sures, F.lit(0.0), lambda a, c: a + c)).withColumn("__n", F.size(sures))
-    rows = rows.withColumn("__page_warnings", _warned("page")).withColumn("__image_warnings", _warned("docx-image"))
-    return rows.agg(
-        F.count("*").alias("documents"),
+    sure, known = F.sum(F.aggregate(sures, F.lit(0.0), lambda a, c: a + c)), F.sum(F.size(sures))
+    sums = (("page_count", "pages"), ("ocr_page_count", "ocr_pages"), ("docx_image_ocr_count", "docx_images"), ("text_page_count", "text_pages"), ("blank_page_count", "blank_pages"))
+    return [
+        F.count(F.lit(1)).alias("documents"),
         *[F.count_if(F.col("status") == s).alias(name) for s, name in ((S.SUCCESS, "succeeded"), (S.REVIEW, "to_review"), (S.ERROR, "failed"))],
-        *[total(F.col(c)).alias(name) for c, name in (("page_count", "pages"), ("ocr_page_count", "ocr_pages"), ("docx_image_ocr_count", "docx_images"), ("text_page_count", "text_pages"), ("blank_page_count", "blank_pages"), ("__page_warnings", "page_warnings"), ("__image_warnings", "image_warnings"), ("char_count", "chars"))],
-        F.bround(F.when(F.sum("__n") > 0, F.sum("__sum") / F.sum("__n")), 1).alias("mean_confidence"),
-    )
+        *[total(F.col(c)).alias(name) for c, name in sums], total(_warned("page")).alias("page_warnings"), total(_warned("docx-image")).alias("image_warnings"), total(F.col("char_count")).alias("chars"),
+        F.bround(F.when(known > 0, sure / known), 1).alias("mean_confidence"),
+    ]
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """One row of totals over all documents."""
+    return results.agg(*total_columns())
 
 
 def file_rows(results: DataFrame) -> DataFrame:
