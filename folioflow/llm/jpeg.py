@@ -211,7 +211,7 @@ def _lookup(table: tuple[bytes, bytes]) -> np.ndarray:
 
 
 class _Bits:
-    """Bit readers over many segments at once; the bytes are unstuffed and padded with ones."""
+    """Reads bits of many segments at once; the bytes are unstuffed and padded with ones."""
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray):
         sizes = stops - starts

@@ -3,7 +3,7 @@
 A file holds the concatenated ids of a run of documents in ascending doc_id order, the doc_ids (less the
 smallest) and the cumulative document ends, both as Elias-Fano sequences: low bits packed, high bits in
 unary, and a sample of every ``SELECT_EVERY``-th one-bit for ``select``. Ends take about 2 + log2(ids per
-document) bits a document instead of a 64-bit offset. Readers find a document by ``select``; no table of
+document) bits a document instead of a 64-bit offset. What reads them finds a document by ``select``; no table of
 offsets is ever unpacked.
 
 Files are written by the executors straight to the shared folder, each under a name that depends only
