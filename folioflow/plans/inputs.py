@@ -114,7 +114,7 @@ LINKS = (("r0", "media/a.png", False), ("r1", "media/b.png", False), ("r2", "htt
 
 
 def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and content: every text as a DOCX file, made in the row. Every third line is a table, every fourth file has notes, every word refers to a picture by its length."""
+    """doc_id and content: every text as a DOCX file, made in the row. Every third line is a table, every fourth file has notes, every line refers to a picture by its length."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,7 +124,7 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 cells = [line.split(", ") for line in lines]
                 blocks = [[row, row[:1]] if n % 3 == 2 else line for n, (line, row) in enumerate(zip(lines, cells, strict=True))]
                 notes = {"-1": "none", "2": lines[0]} if doc_id % 4 == 0 else None
-                files.append(docx_parts.document(blocks, notes, [f"r{len(w) % 9}" for w in text.split(" ")], list(LINKS)))
+                files.append(docx_parts.document(blocks, notes, [f"r{len(line) % 9}" for line in lines], list(LINKS)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "content": files})
 
     # What XML 1.0 cannot hold becomes a blank.

@@ -193,7 +193,7 @@ d AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '
 f AS (SELECT doc_id, '## Сноски' || chr(10) || chr(10) || '[2] ' || {_tidy('line')} AS note FROM l WHERE i = 0 AND doc_id % 4 = 0 AND {_tidy('line')} <> ''),
 o AS (SELECT d.doc_id, concat_ws(chr(10) || chr(10), t, note) AS t FROM d LEFT JOIN f USING (doc_id))
 SELECT doc_id, md5(t) AS digest, length(t) AS chars, t = '' AS failed FROM o""",
-    "docx_picture_places": r"""WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), ' ') AS ws FROM documents),
+    "docx_picture_places": r"""WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), chr(10)) AS ws FROM documents),
 w AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM x),
 m AS (SELECT doc_id, min(pos) AS pos, t FROM w JOIN (VALUES (0, 'word/media/a.png'), (1, 'word/media/b.png'), (4, 'word/media/c.png'), (5, 'word/media/b.png'), (6, 'word/media/e.png')) v(k, t) ON length(w) % 9 = k GROUP BY doc_id, t)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number, t AS target FROM m""",

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from folioflow import settings as S
 
-MANIFEST = "doc_id long, path string, name string, ext string, rel_parts array<string>, output_name string"
+LISTED = "doc_id long, path string, name string, ext string, rel_parts array<string>, stem string"
+#: Listings up to this size are named on the driver, where they were made; larger ones by families. The names are the same.
+NAMED_AT_ONCE = 10_000
 
 
 def skipped(parts: Column) -> Column:
@@ -55,6 +57,44 @@ def unique_names(stems: Iterable[str], suffix: str = ".md") -> list[str]:
     return out
 
 
+def families(stems: DataFrame) -> DataFrame:
+    """low and root of the lower-cased ``stems`` (low, rows) whose names depend on one another: several rows have them, or they could be the numbered name of such a one.
+
+    ``a_2`` may meet the second ``a``, and then its own second name ``a_2_2``; so families are chains over the part before a number. They are
+    found by joins, one for each number that stems of a family end in; a stem that can meet none is in no family.
+    """
+    before = F.regexp_extract("low", r"(?s)\A(.*)_([2-9]|[1-9][0-9]+)\z", 1)
+    known = stems.select("low", "rows", F.when(before != "", before).alias("parent")).persist()
+    active = fringe = known.filter("rows > 1").select("low", "parent").persist()
+    while not fringe.isEmpty():
+        reached = known.join(fringe.select(F.col("low").alias("parent")), "parent", "left_semi").select("low", "parent")
+        fringe = reached.join(active.select("low"), "low", "left_anti").persist()
+        active = active.unionByName(fringe).persist()
+    roots = active.select("low", F.col("low").alias("root"), F.col("parent").alias("up")).persist()
+    there = active.select(F.col("low").alias("up"), F.col("parent").alias("next"), F.lit(True).alias("there"))
+    while True:
+        raised = roots.join(there, "up", "left")
+        if raised.filter("there").isEmpty():
+            return roots.select("low", "root")
+        roots = raised.select("low", F.when(F.col("there"), F.col("up")).otherwise(F.col("root")).alias("root"), F.when(F.col("there"), F.col("next")).alias("up")).persist()
+
+
+def with_unique_names(files: DataFrame, suffix: str = ".md") -> DataFrame:
+    """``files`` (doc_id, stem, ...) with output_name: names that differ in more than case; the order of doc_id decides who gets the plain one.
+
+    Only stems that can meet others are grouped, a family at a time, and named by the sequential rule; all others keep their own.
+    """
+    low = F.lower("stem")
+    roots = families(files.groupBy(low.alias("low")).agg(F.count("*").alias("rows")))
+
+    def named(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        return pd.DataFrame({"doc_id": rows["doc_id"], "__name": unique_names(rows["stem"], suffix)})
+
+    grouped = files.select("doc_id", "stem", low.alias("low")).join(roots, "low").groupBy("root").applyInPandas(named, "doc_id long, __name string")
+    return files.join(grouped, "doc_id", "left").withColumn("output_name", F.coalesce("__name", F.concat("stem", F.lit(suffix)))).drop("__name")
+
+
 def list_files(folder: str, results: str | None = None) -> list[tuple[str, str, str, list[str]]]:
     """(path, name, extension, folders) of the documents below a folder, by lower-cased path."""
     found = []
@@ -73,10 +113,12 @@ def list_files(folder: str, results: str | None = None) -> list[tuple[str, str,
 
 def manifest(spark: SparkSession, folder: str, results: str | None = None) -> DataFrame:
     """The documents of a folder; doc_id counts from 0 in listing order."""
-    files = list_files(folder, results)
-    stems = [re.sub(r'[<>:"/\\|?*\x00-\x1F]', "_", "__".join([*below, Path(name).stem])).strip(" .") or "document" for _, name, _, below in files]
-    rows = [(n, *file, output) for n, (file, output) in enumerate(zip(files, unique_names(stems), strict=True))]
-    return spark.createDataFrame(rows, MANIFEST)
+    rows = [(n, *file, Path(file[1]).stem) for n, file in enumerate(list_files(folder, results))]
+    if len(rows) > NAMED_AT_ONCE:
+        files = spark.createDataFrame(rows, LISTED).withColumn("stem", output_stem(F.col("rel_parts"), F.col("stem")))
+        return with_unique_names(files).drop("stem")
+    safe = [re.sub(r'[<>:"/\\|?*\x00-\x1F]', "_", "__".join([*below, stem])).strip(" .") or "document" for *_, below, stem in rows]
+    return spark.createDataFrame([(*row[:-1], name) for row, name in zip(rows, unique_names(safe), strict=True)], LISTED.replace("stem string", "output_name string"))
 
 
 def contents(files: DataFrame) -> DataFrame:
