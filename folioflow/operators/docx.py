@@ -33,39 +33,42 @@ def table_text(rows: Column) -> Column:
 
 
 def blocks_of(paragraphs: DataFrame) -> DataFrame:
-    """Blocks (doc_id, part, note_no, block, kind, text, error) of paragraphs (doc_id and ``docx_parts.PLACED``): paragraphs, tables, notes under headings.
+    """Blocks (doc_id, part, note_no, block, kind, text, error) of paragraphs (doc_id and ``docx_parts.PLACED``): paragraphs, tables and notes.
 
-    A table's rows without text are left out. A file that could not be read keeps its row with ``error``.
+    A table's rows without text are left out. Every file keeps one row without a part, with its ``error`` if it could not be read. One chain
+    of groupings, so that files are read once.
     """
-    dealt = paragraphs.repartition("doc_id")
-    plain = dealt.filter("error = ''").withColumn("text", T.docx_text(F.col("text")))
+    plain = paragraphs.repartition("doc_id").withColumn("text", T.docx_text(F.col("text")))
+    sign = F.col("part").isNull()
     full = F.filter(_gathered("n", "text"), lambda x: x != "")
-    cells = plain.groupBy(*PLACE, "row", "cell").agg(F.array_join(full, " ").alias("text"))
+    cells = plain.groupBy(*PLACE, "error", "row", "cell").agg(F.array_join(full, " ").alias("text"))
     cells = cells.withColumn("text", F.when(F.col("kind") == "table", T.table_cell(F.col("text"))).otherwise(F.col("text")))
-    rows = cells.groupBy(*PLACE, "row").agg(_gathered("cell", "text").alias("cells")).filter(F.exists("cells", lambda c: c != ""))
-    whole = rows.groupBy(*PLACE).agg(_gathered("row", "cells").alias("rows"))
+    rows = cells.groupBy(*PLACE, "error", "row").agg(_gathered("cell", "text").alias("cells")).filter(sign | F.exists("cells", lambda c: c != ""))
+    whole = rows.groupBy(*PLACE, "error").agg(_gathered("row", "cells").alias("rows"))
     text = F.when(F.col("kind") == "table", table_text(F.col("rows"))).otherwise(F.col("rows")[0][0])
-    blocks = whole.select(*PLACE, text.alias("text"))
-    notes = blocks.filter("part > 0").groupBy("doc_id", "part", "note_no", "note").agg(F.array_join(_gathered("block", "text"), "\n\n").alias("text"))
-    notes = notes.select("doc_id", "part", "note_no", F.lit(0).alias("block"), F.lit("note").alias("kind"), F.concat(F.lit("["), "note", F.lit("] "), "text").alias("text"))
-    title = F.element_at(F.array(*[F.lit(t) for t in TITLES]), F.col("part") + 1)
-    heads = notes.select("doc_id", "part").distinct().select("doc_id", "part", F.lit(0).alias("note_no"), F.lit(0).alias("block"), F.lit("heading").alias("kind"), F.concat(F.lit("## "), title).alias("text"))
-    body = blocks.filter("part = 0").select("doc_id", "part", "note_no", "block", "kind", "text")
-    found = body.unionByName(notes).unionByName(heads).withColumn("error", F.lit(""))
-    return found.unionByName(dealt.filter("error <> ''").select("doc_id", "error"), allowMissingColumns=True)
+    # The blocks of a note are one; those of the body stay apart.
+    noted = F.col("part") > 0
+    own, kind = F.when(noted, 0).otherwise(F.col("block")), F.when(noted, "note").otherwise(F.col("kind"))
+    placed = whole.select("doc_id", "part", "note_no", "note", "error", own.alias("own"), kind.alias("kind"), "block", text.alias("text"))
+    joined = placed.groupBy("doc_id", "part", "note_no", "note", "error", "own", "kind").agg(F.array_join(_gathered("block", "text"), "\n\n").alias("text"))
+    told = F.when(noted, F.concat(F.lit("["), "note", F.lit("] "), "text")).otherwise(F.col("text"))
+    return joined.select("doc_id", "part", "note_no", F.col("own").alias("block"), "kind", told.alias("text"), "error")
 
 
 def docx_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of ``files`` (doc_id, content); a file that cannot be read gives one row with ``error``."""
+    """Blocks of ``files`` (doc_id, content), and a row without a part for every file."""
     return blocks_of(docx_parts.paragraphs(files))
 
 
-def docx_text(files: DataFrame, blocks: DataFrame) -> DataFrame:
-    """doc_id, raw_text and error of ``files`` (doc_id): their ``blocks`` in order with an empty line between."""
+def docx_text(blocks: DataFrame) -> DataFrame:
+    """doc_id, raw_text and error of every file: its ``blocks`` in order with an empty line between, notes under the heading of their part."""
     order = F.struct("part", "note_no", "block", "text")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error") == "", order))), lambda b: b["text"]), "\n\n")
-    texts = files.select("doc_id").join(blocks.groupBy("doc_id").agg(joined.alias("raw_text"), F.max("error").alias("error")), "doc_id", "left")
-    return texts.select("doc_id", F.coalesce("raw_text", F.lit("")).alias("raw_text"), F.coalesce("error", F.lit(NO_TEXT)).alias("error"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), order)))
+    title = lambda part: F.element_at(F.array(*[F.lit(f"## {t}\n\n") for t in TITLES]), part + 1)
+    whole = blocks.groupBy("doc_id").agg(rows.alias("rows"), F.max("error").alias("error"))
+    first = lambda x, i: (x["part"] > 0) & ((i == 0) | (F.coalesce(F.get(F.col("rows"), i - 1)["part"], F.lit(-1)) != x["part"]))
+    text = F.array_join(F.transform("rows", lambda x, i: F.when(first(x, i), F.concat(title(x["part"]), x["text"])).otherwise(x["text"])), "\n\n")
+    return whole.select("doc_id", text.alias("raw_text"), F.when((F.col("error") == "") & (F.size("rows") == 0), NO_TEXT).otherwise(F.col("error")).alias("error"))
 
 
 def picture_places(references: DataFrame) -> DataFrame:
@@ -74,10 +77,10 @@ def picture_places(references: DataFrame) -> DataFrame:
     References meet relationships within their part; of relationships of one id the last counts. A target that is not in
     the file is none, one that is referred to again counts where it stood first.
     """
-    rows = references.filter("error = ''").repartition("doc_id")
+    rows = references.repartition("doc_id")
     asked = rows.filter("part is not null and target is null").select("doc_id", "part", "link", "part_no", "position")
     links = rows.filter("part is not null and target is not null").groupBy("doc_id", "part", "link").agg(F.max_by("target", "position").alias("target"))
-    there = rows.filter("part is null").select("doc_id", "target")
+    there = rows.filter("part is null and target is not null").select("doc_id", "target")
     met = asked.join(links, ["doc_id", "part", "link"]).join(there, ["doc_id", "target"], "left_semi")
     first = met.groupBy("doc_id", "target").agg(F.min(F.struct("part_no", "position")).alias("first"))
     return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("number"), "target")

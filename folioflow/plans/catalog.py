@@ -249,8 +249,7 @@ def docx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def docx_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as DOCX files, read back: paragraphs, tables and notes in one Markdown text."""
-    files = inputs.docx_files(spark, sf_dir)
-    read = docx.docx_text(files, docx.docx_blocks(files))
+    read = docx.docx_text(docx.docx_blocks(inputs.docx_files(spark, sf_dir)))
     return read.select("doc_id", F.md5("raw_text").alias("digest"), F.length("raw_text").cast("long").alias("chars"), (F.col("error") != "").alias("failed"))
 
 

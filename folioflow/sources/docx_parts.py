@@ -140,11 +140,12 @@ def file_rows(data: bytes, parts: set[int] | None = None) -> list[tuple]:
 
 
 def told(data: bytes, rows: Callable[[bytes], list[tuple]], width: int) -> list[tuple]:
-    """The rows of a file; of one that cannot be read a row that says why."""
+    """The rows of a file, after one that stands for the file and says why it cannot be read, if so."""
     try:
-        return rows(data)
+        found, error = rows(data), ""
     except Exception as problem:  # a broken file must not stop the others
-        return [(None,) * (width - 1) + (str(problem),)]
+        found, error = [], str(problem) or type(problem).__name__
+    return [(None,) * (width - 1) + (error,), *found]
 
 
 def paragraphs(files: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ class DocxFiles(DataSourceReader):
                 self.paths = values if self.paths is None else self.paths & values
             else:
                 self.parts = values if self.parts is None else self.parts & values
-                yield f  # the row of a file that cannot be read has no part
+                yield f  # the row that stands for a file has no part
 
     def partitions(self) -> list[InputPartition]:
         found = sorted(os.path.join(top, name) for top, _, names in os.walk(self.folder) for name in names if name.lower().endswith(".docx"))

@@ -87,7 +87,7 @@ def test_texts_equal_a_walk_over_the_tree(spark):
     files = [made_up(rnd) for _ in range(250)]
     rows = [(n, bytearray(zipped(parts))) for n, parts in enumerate(files)] + [(900, bytearray(b"no zip")), (901, bytearray(zipped({"x": "y"}))), (902, bytearray(zipped({docx_parts.BODY: "<a><b></a>"}))), (903, bytearray(zipped({docx_parts.BODY: "<a/>"})))]
     table = spark.createDataFrame(rows, "doc_id long, content binary").repartition(3)
-    got = {r["doc_id"]: (r["raw_text"], r["error"]) for r in docx.docx_text(table, docx.docx_blocks(table)).collect()}
+    got = {r["doc_id"]: (r["raw_text"], r["error"]) for r in docx.docx_text(docx.docx_blocks(table)).collect()}
     expected = {n: tree_document(parts) for n, parts in enumerate(files)}
     assert {n: got[n] for n in expected} == {n: (t, "" if t else docx.NO_TEXT) for n, t in expected.items()}
     assert all(got[n][0] == "" and got[n][1] not in ("", docx.NO_TEXT) for n in (900, 901, 902, 903)) and len(got) == 254
@@ -122,7 +122,7 @@ def test_the_data_source_reads_folders_and_takes_filters(spark, tmp_path):
     docx_parts.register(spark)
     rows = spark.read.format("docx").load(str(tmp_path))
     found = docx.blocks_of(rows.withColumnRenamed("path", "doc_id"))
-    texts = {r["doc_id"].rpartition("/")[2]: r["raw_text"] for r in docx.docx_text(rows.selectExpr("path as doc_id").distinct(), found).collect()}
+    texts = {r["doc_id"].rpartition("/")[2]: r["raw_text"] for r in docx.docx_text(found).collect()}
     assert texts == {"broken.docx": ""} | {f".{n}.DocX": f"text {n}[2]\n\n| a | b |\n| --- | --- |\n| c |  |\n\n## Сноски\n\n[2] note {n}" for n in range(3)}
     one = rows.filter(f"path = '{tmp_path}/_1/.1.DocX' and part = 1")
     assert [(r["note"], r["text"]) for r in one.collect()] == [("2", "note 1")] and one.rdd.getNumPartitions() == 1
