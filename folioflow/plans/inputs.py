@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,16 +133,32 @@ def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.alias("text")).mapInPandas(made, "doc_id long, content binary")
 
 
-def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, width and pixels: the bytes of every text as greys, sixteen pixels each, those of a document's own bound and above white; the last row of pixels filled up with white."""
+#: Bytes of pictures that leave a worker at once; a larger picture leaves alone.
+PICTURE_BYTES = 4 << 20
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pictures = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                plain = np.frombuffer(text.encode(), dtype=np.uint8)
-                row = np.repeat(np.where(plain < doc_id * 7 % 128, plain, 255).astype(np.uint8), 16)
-                pictures.append(np.append(row, np.full(-len(row) % 320, 255, dtype=np.uint8)).tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "width": 320, "pixels": pictures})
 
-    return table(spark, sf_dir, "documents", "doc_id", "text").mapInPandas(made, "doc_id long, width int, pixels binary")
+def pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, width and pixels of texts (doc_id, text): sixteen pixels a byte, so pictures are sent on as soon as they fill PICTURE_BYTES."""
+
+    def sent(ids: list[int], made: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([320] * len(ids), pa.int32()), pa.array(made, pa.binary())], names=["doc_id", "width", "pixels"])
+
+    ids, made, held = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            plain = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
+            row = np.repeat(np.where(plain < doc_id.as_py() * 7 % 128, plain, 255).astype(np.uint8), 16)
+            picture = np.append(row, np.full(-len(row) % 320, 255, dtype=np.uint8)).tobytes()
+            if held and held + len(picture) > PICTURE_BYTES:
+                yield sent(ids, made)
+                ids, made, held = [], [], 0
+            ids.append(doc_id.as_py())
+            made.append(picture)
+            held += len(picture)
+    if ids:
+        yield sent(ids, made)
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, width and pixels: the bytes of every text as greys, sixteen pixels each, those of a document's own bound and above white; the last row of pixels filled up with white."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").mapInArrow(pictures, "doc_id long, width int, pixels binary")
