@@ -1,5 +1,7 @@
 """Pictures in rows: how much of them a worker holds, and that the counts stay whole."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,3 +23,15 @@ def test_histogram_counts_in_slices(monkeypatch):
     image = np.random.default_rng(1).integers(0, 256, (321, 77)).astype(np.uint8)
     assert (engines.histogram(image) == np.bincount(image.reshape(-1), minlength=256)).all()
     assert engines.histogram(np.zeros((0, 320), dtype=np.uint8)).tolist() == [0] * 256
+
+
+def test_sharpening_by_bands_holds_little(monkeypatch):
+    image = np.random.default_rng(2).integers(0, 256, (3000, 1000)).astype(np.uint8)
+    monkeypatch.setattr(engines, "COUNTED_AT_ONCE", 1 << 30)
+    whole = engines.sharpened(image)
+    monkeypatch.undo()
+    tracemalloc.start()
+    bands = engines.sharpened(image)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (bands == whole).all() and peak < 16 * image.size
