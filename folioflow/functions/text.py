@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,16 @@ from folioflow import settings as S
 
 # Letters are Latin without accents and Russian, by definition.
 LETTER = "A-Za-zА-Яа-яЁё"
-CYRILLIC = "А-Яа-яЁё"
+#: All of them, one by one.
+LETTERS = "".join(map(chr, (*range(65, 91), *range(97, 123), *range(0x410, 0x450), 0x401, 0x451)))
 BLANK = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` computed once a row, however often ``of`` uses it; nothing is merged into or pushed through it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def newlines(text: Column) -> Column:
     """All line ends as LF."""
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -20,54 +28,75 @@ def newlines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    # The pattern goes through a whole text, so it is asked only if either end is white.
+    ends = lambda t: F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
+    return let(text, lambda t: F.when(ends(t).rlike(f"(?U){BLANK}"), F.regexp_replace(t, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")).otherwise(t))
+
+
+def _counts(text: Column) -> Column:
+    """struct(letters, cyrillic) of a text, by what stays of it without letters; no list of matches is made."""
+    rest = F.translate(text, LETTERS, "")
+    gone = lambda r: F.length(text) - F.length(r)
+    # Latin letters take one byte in UTF-8, Russian letters two.
+    return let(rest, lambda r: F.struct(gone(r).alias("letters"), (F.octet_length(text) - F.octet_length(r) - gone(r)).alias("cyrillic")))
 
 
 def letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{LETTER}]"))
+    return let(text, lambda t: F.length(t) - F.length(F.translate(t, LETTERS, "")))
 
 
 def cyrillic(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{CYRILLIC}]"))
+    return let(text, lambda t: _counts(t)["cyrillic"])
+
+
+def _runs(text: Column) -> Column:
+    """struct(words, singles): runs of two letters or more, and letters that stand alone."""
+    pattern = f"[{LETTER}]{{2,}}"
+    known = lambda t, alone: F.struct((F.length(F.regexp_replace(t, pattern, "x")) - F.length(alone)).alias("words"), (F.length(alone) - F.length(F.translate(t, LETTERS, ""))).alias("singles"))
+    return let(text, lambda t: let(F.regexp_replace(t, pattern, ""), lambda alone: known(t, alone)))
 
 
 def words(text: Column) -> Column:
     """Runs of two letters or more."""
-    return F.regexp_count(text, F.lit(f"[{LETTER}]{{2,}}"))
+    return _runs(text)["words"]
 
 
 def singles(text: Column) -> Column:
     """Letters that stand alone."""
-    return F.regexp_count(text, F.lit(f"(?<![{LETTER}])[{LETTER}](?![{LETTER}])"))
+    return _runs(text)["singles"]
 
 
 def replacements(text: Column) -> Column:
     """Replacement characters U+FFFD."""
-    return F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
+    return let(text, lambda t: F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit(""))))
+
+
+def _share(counts: Column) -> Column:
+    return F.when(counts["letters"] > 0, counts["cyrillic"] / counts["letters"]).otherwise(0.0)
 
 
 def cyrillic_share(text: Column) -> Column:
-    return F.when(letters(text) > 0, cyrillic(text) / letters(text)).otherwise(0.0)
+    return let(text, lambda t: let(_counts(t), _share))
 
 
 def single_share(text: Column) -> Column:
-    return singles(text) / F.greatest(F.lit(1), words(text) + singles(text))
+    return let(_runs(text), lambda r: r["singles"] / F.greatest(F.lit(1), r["words"] + r["singles"]))
 
 
 def bad_layer(text: Column) -> Column:
     """Is a PDF text layer made of scattered letters?"""
-    return (letters(text) >= S.LAYER_MIN_LETTERS) & (single_share(text) >= S.LAYER_BAD_SINGLES) & (cyrillic_share(text) < S.LAYER_BAD_CYRILLIC)
+    latin = lambda c: (c["letters"] >= S.LAYER_MIN_LETTERS) & (_share(c) < S.LAYER_BAD_CYRILLIC)
+    return let(text, lambda t: let(_counts(t), latin) & (single_share(t) >= S.LAYER_BAD_SINGLES))
 
 
 def needs_ocr(text: Column) -> Column:
     """Must a page be recognised, its text layer being too short or bad?"""
-    plain = strip(newlines(text))
-    return (F.length(plain) < S.LAYER_MIN_CHARS) | bad_layer(plain)
+    return let(strip(newlines(text)), lambda plain: (F.length(plain) < S.LAYER_MIN_CHARS) | bad_layer(plain))
 
 
 def bad_russian(text: Column) -> Column:
     """Does recognised text look unlike Russian?"""
-    return (letters(text) >= S.SCAN_MIN_LETTERS) & (cyrillic_share(text) < S.SCAN_LOW_CYRILLIC)
+    return let(text, lambda t: let(_counts(t), lambda c: (c["letters"] >= S.SCAN_MIN_LETTERS) & (_share(c) < S.SCAN_LOW_CYRILLIC)))
 
 
 def join_notes(*notes: Column) -> Column:
@@ -81,30 +110,36 @@ def _scanned(doc_type: Column) -> Column:
 
 def quality(text: Column, doc_type: Column) -> Column:
     """struct(status, cyrillic_ratio, replacement_count, warning) of a whole text."""
-    ratio = F.bround(cyrillic_share(text), 3)
-    count = replacements(text)
-    warning = F.concat_ws(
-        " ",
-        F.when(count > 0, F.format_string("Есть нечитаемые символы: %d.", count)),
-        F.when(F.length(text) < S.LOW_TEXT, F.lit("Очень мало текста.")),
-        F.when(_scanned(doc_type) & (ratio < S.SCAN_LOW_CYRILLIC) & (letters(text) >= S.SCAN_MIN_LETTERS), F.lit("Низкая доля кириллицы для русского скана.")),
-    )
-    status = F.when(warning == "", F.lit(S.NORMAL)).otherwise(F.lit(S.CHECK))
-    return F.struct(status.alias("status"), ratio.alias("cyrillic_ratio"), count.alias("replacement_count"), warning.alias("warning"))
+
+    def told(m: Column) -> Column:
+        warning = F.concat_ws(
+            " ",
+            F.when(m["count"] > 0, F.format_string("Есть нечитаемые символы: %d.", m["count"])),
+            F.when(m["chars"] < S.LOW_TEXT, F.lit("Очень мало текста.")),
+            F.when(_scanned(doc_type) & (m["ratio"] < S.SCAN_LOW_CYRILLIC) & (m["letters"] >= S.SCAN_MIN_LETTERS), F.lit("Низкая доля кириллицы для русского скана.")),
+        )
+        return let(warning, lambda w: F.struct(F.when(w == "", F.lit(S.NORMAL)).otherwise(F.lit(S.CHECK)).alias("status"), m["ratio"].alias("cyrillic_ratio"), m["count"].alias("replacement_count"), w.alias("warning")))
+
+    measured = lambda t: let(_counts(t), lambda c: F.struct(F.length(t).alias("chars"), replacements(t).alias("count"), c["letters"].alias("letters"), F.bround(_share(c), 3).alias("ratio")))
+    return let(let(text, measured), told)
 
 
 def page_warning(text: Column, source: Column, confidence: Column, require_confidence: bool = False) -> Column:
     """What a reviewer should know of a page; empty if nothing."""
-    plain = strip(newlines(text))
     ocr = source == "ocr"
-    missing = ocr & F.lit(require_confidence) & (plain != "") & confidence.isNull()
-    return F.concat_ws(
-        " ",
-        F.when(plain == "", F.lit("Текст не извлечен.")).when(F.length(plain) < S.LAYER_MIN_CHARS, F.lit("Мало текста.")),
-        F.when(missing, F.lit("Уверенность OCR не получена.")).when(confidence < S.REVIEW_CONFIDENCE, F.format_string("Низкая уверенность OCR: %.1f.", confidence)),
-        F.when(replacements(plain) > 0, F.format_string("Нечитаемые символы: %d.", replacements(plain))),
-        F.when(ocr & (letters(plain) >= S.PAGE_MIN_LETTERS) & (cyrillic_share(plain) < S.SCAN_LOW_CYRILLIC), F.lit("Низкая доля кириллицы после OCR.")),
-    )
+
+    def told(plain: Column) -> Column:
+        missing = ocr & F.lit(require_confidence) & (plain != "") & confidence.isNull()
+        strange = let(_counts(plain), lambda c: (c["letters"] >= S.PAGE_MIN_LETTERS) & (_share(c) < S.SCAN_LOW_CYRILLIC))
+        return F.concat_ws(
+            " ",
+            F.when(plain == "", F.lit("Текст не извлечен.")).when(F.length(plain) < S.LAYER_MIN_CHARS, F.lit("Мало текста.")),
+            F.when(missing, F.lit("Уверенность OCR не получена.")).when(confidence < S.REVIEW_CONFIDENCE, F.format_string("Низкая уверенность OCR: %.1f.", confidence)),
+            let(replacements(plain), lambda n: F.when(n > 0, F.format_string("Нечитаемые символы: %d.", n))),
+            F.when(ocr, F.when(strange, F.lit("Низкая доля кириллицы после OCR."))),
+        )
+
+    return let(strip(newlines(text)), told)
 
 
 def docx_text(text: Column) -> Column:

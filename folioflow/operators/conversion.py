@@ -116,8 +116,8 @@ def with_status(converted: DataFrame, settings: S.Settings, engine_path: str | N
     review = (reviews > 0) | little | fallback | bad | (F.col("quality.status") != S.NORMAL) | no_engine | no_language
     status = F.when(failed, S.ERROR).when(review, S.REVIEW).otherwise(S.SUCCESS)
     count = lambda kind: F.size(F.filter("page_report", lambda p: p["source"] == kind))
-    cleaned = clean_markdown(F.col("text"))
-    body = F.when(F.col("text") == "", F.concat(F.lit("Ошибка: "), F.col("error"))).when(cleaned != "", cleaned).otherwise(F.col("text"))
+    cleaned = T.let(clean_markdown(F.col("text")), lambda c: F.when(c != "", c).otherwise(F.col("text")))
+    body = F.when(F.col("text") == "", F.concat(F.lit("Ошибка: "), F.col("error"))).otherwise(cleaned)
     return base.select(
         *[c for c in base.columns if c not in ("quality", "error", "raw_text", "text", "method")],
         F.when(F.coalesce("method", F.lit("")) == "", S.NOT_DONE).otherwise(F.col("method")).alias("method"),
