@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,37 +10,12 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.session import materialise, scratch, shared_dir  # noqa: F401  (operators take them from here)
+
 #: Code points handled at once in a Python worker; a longer text is handled alone.
 CHUNK_CHARS = 1_500_000
 #: A key is heavy if it has more than one in HEAVY_KEYS rows, and more than HEAVY_ROWS.
 HEAVY_KEYS, HEAVY_ROWS = 1000, 1000
-#: Folders of our own, by application, where none is configured.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset.
-
-    A folder of this machine serves local sessions alone; on a cluster an unset folder is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        configured = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/folioflow-{uuid.uuid4().hex}")
-    return configured.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/folioflow/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions_for(size: int | None, spark: SparkSession, each: int = 64 << 20) -> int:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow import settings as S
 from folioflow.functions import text as T
+from folioflow.session import materialise
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,9 @@ def document_sections(results: DataFrame, page_breaks: bool = False) -> DataFram
         F.concat(F.lit("- Метод: "), F.col("method")), F.concat(F.lit("- Статус: "), F.col("status")), F.concat(F.lit("- Качество: "), F.col("quality_status")),
         F.concat(F.lit("- Исходный файл: `"), F.col("source"), F.lit("`")), F.lit(f"- Границы страниц: {mode}"), F.lit(""), T.strip(F.col("clean_markdown")),
     )
-    return results.filter(F.col("clean_markdown").isNotNull()).select("doc_index", section.alias("section"))
+    # Not a filter: it would be handed down and make the text twice.
+    there = F.filter(F.array(F.when(F.col("clean_markdown").isNotNull(), section)), lambda x: x.isNotNull())
+    return results.select("doc_index", F.explode(there).alias("section"))
 
 
 COMBINED_HEAD = "# Все документы\n\nИсточник: очищенные Markdown-файлы из папки `01_markdown`.\nДля юридически важных мест сверяйте OCR-сканы с оригинальными PDF.\n"
@@ -144,8 +147,15 @@ def _times(run: Run) -> list[Column]:
     return [_told("Создан: ", F.date_format(end, "yyyy-MM-dd HH:mm:ss")), _told("Время обработки: ", T.duration(start, end))]
 
 
+def _told_of(results: DataFrame) -> DataFrame:
+    """What both reports tell of ``results``, written once: totals, first document and lines read it, and none of them makes the texts again."""
+    wanted = ("doc_index", "name", "output_name", "status", "doc_type", "method", "page_count", "page_report", "char_count", "quality_status", "ocr_page_count", "text_page_count", "blank_page_count", "docx_image_ocr_count", "warning", "error")
+    return materialise(results.select(*[c for c in wanted if c in results.columns]), "report")
+
+
 def run_report_lines(results: DataFrame, run: Run) -> DataFrame:
     """line_no and line of the report of a run: totals, then a block for every document. ``results`` has doc_index, name and output_name."""
+    results = _told_of(results)
     created, took = _times(run)
     languages = ", ".join(run.languages) or "языки не определены"
     found = f"найден{f', версия {run.version}' if run.version else ''} ({languages})" if run.engine else "не найден"
@@ -181,6 +191,7 @@ def entry_line(p: Column) -> Column:
 
 def ocr_report_lines(results: DataFrame, run: Run) -> DataFrame:
     """line_no and line of the page-by-page report: what to review, then a block for every document with pages."""
+    results = _told_of(results)
     paged = results.filter(F.size("page_report") > 0)
     noted = F.filter("page_report", lambda p: p["warning"] != "")
     some = results.agg(F.coalesce(F.max(F.size("page_report")), F.lit(0)).alias("pages"), F.coalesce(F.max(F.size(noted)), F.lit(0)).alias("notes"), F.min(F.when(F.size("page_report") > 0, F.col("doc_index"))).alias("first"))
