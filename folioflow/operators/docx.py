@@ -77,12 +77,15 @@ def picture_places(references: DataFrame) -> DataFrame:
     References meet relationships within their part; of relationships of one id the last counts. A target that is not in
     the file is none, one that is referred to again counts where it stood first.
     """
-    rows = references.repartition("doc_id")
-    asked = rows.filter("part is not null and target is null").select("doc_id", "part", "link", "part_no", "position")
-    links = rows.filter("part is not null and target is not null").groupBy("doc_id", "part", "link").agg(F.max_by("target", "position").alias("target"))
-    there = rows.filter("part is null and target is not null").select("doc_id", "target")
-    met = asked.join(links, ["doc_id", "part", "link"]).join(there, ["doc_id", "target"], "left_semi")
-    first = met.groupBy("doc_id", "target").agg(F.min(F.struct("part_no", "position")).alias("first"))
+    # No branch filters the rows for itself: filters would be handed down below the shuffle, and every branch would read the files again.
+    asks = F.col("part").isNotNull() & F.col("target").isNull()
+    gives = F.col("part").isNotNull() & F.col("target").isNotNull()
+    place = F.struct("part_no", "position")
+    by_link = references.groupBy("doc_id", "part", "link").agg(F.min(F.when(asks, place)).alias("first"), F.max(F.when(gives, F.struct("position", "target")))["target"].alias("given"), F.collect_set(F.when(F.col("part").isNull(), F.col("target"))).alias("names"))
+    shown = F.when(F.col("first").isNotNull() & F.col("given").isNotNull(), F.struct(F.col("given").alias("target"), "first"))
+    whole = by_link.groupBy("doc_id").agg(F.collect_list(shown).alias("shown"), F.flatten(F.collect_list("names")).alias("names"))
+    met = whole.select("doc_id", F.inline(F.filter("shown", lambda x: F.array_contains("names", x["target"]))))
+    first = met.groupBy("doc_id", "target").agg(F.min("first").alias("first"))
     return first.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("number"), "target")
 
 

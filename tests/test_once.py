@@ -30,3 +30,8 @@ def test_report_lines_read_what_is_told_and_make_no_text_again(spark):
 
 def test_sections_clean_a_text_once(spark):
     assert plan(catalog.combined_markdown(spark, SMALL)).count(r"-\n(?=") + plan(catalog.combined_markdown(spark, SMALL)).count("-\n(?=") == 1
+
+
+def test_picture_places_read_files_once(spark):
+    # One pass makes the files of the query, one reads them.
+    assert plan(catalog.docx_picture_places(spark, SMALL)).count("MapInPandas") == 2
