@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +72,9 @@ def rounded(value: float, digits: int) -> float:
 @lru_cache(maxsize=8)
 def measured(text: str) -> tuple[float, ...]:
     """What a score owes to the text alone: for length, words and Cyrillic, and against unreadable characters and single letters."""
-    letters = len(re.findall("[A-Za-zА-Яа-яЁё]", text))
-    sizes = [len(run) for run in re.findall("[A-Za-zА-Яа-яЁё]+", text)]
-    singles, cyrillic = sizes.count(1), len(re.findall("[А-Яа-яЁё]", text))
+    sizes = [run.end() - run.start() for run in re.finditer("[A-Za-zА-Яа-яЁё]+", text)]
+    letters, singles = sum(sizes), sizes.count(1)
+    cyrillic = sum(run.end() - run.start() for run in re.finditer("[А-Яа-яЁё]+", text))
     return min(len(text), 2500) * 0.03, (len(sizes) - singles) * 0.8, (cyrillic / letters if letters else 0.0) * 35.0, text.count("�") * 8.0, singles / max(1, len(sizes)) * 40.0
 
 
@@ -197,10 +198,11 @@ def recognise_pictures(pictures: DataFrame, opener: Callable[[], engines.Picture
 def search_texts(rows: DataFrame, answer: Callable[[int, str, int, int, str, int], tuple[str, float | None]], settings: S.Settings) -> DataFrame:
     """doc_id, attempt_no, attempt_count and score of the search over made-up attempts at ``rows`` (doc_id, text): ``answer(doc_id, text, number, dpi, variant, psm)``."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            # Texts are made one by one: of a batch only the bytes are held.
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True):
                 numbers: dict[Attempt, int] = {}
 
                 def judge(shown: str, dpi: int, variant: str, psm: int) -> Attempt:
@@ -211,6 +213,9 @@ def search_texts(rows: DataFrame, answer: Callable[[int, str, int, int, str, int
 
                 found, made = search(((dpi, text) for dpi in settings.dpi), lambda picture, variant: picture, judge, settings)
                 out.append((doc_id, numbers[found], made, found.score))
-            yield pd.DataFrame(out, columns=["doc_id", "attempt_no", "attempt_count", "score"])
+            measured.cache_clear()
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "attempt_no", "attempt_count", "score"])
 
-    return rows.select("doc_id", "text").mapInPandas(work, "doc_id long, attempt_no long, attempt_count long, score double")
+    return rows.select("doc_id", "text").mapInArrow(work, "doc_id long, attempt_no long, attempt_count long, score double")

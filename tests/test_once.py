@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import reports
 from folioflow.plans import catalog, inputs
+from folioflow.sources import recognition
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -35,3 +38,11 @@ def test_sections_clean_a_text_once(spark):
 def test_picture_places_read_files_once(spark):
     # One pass makes the files of the query, one reads them.
     assert plan(catalog.docx_picture_places(spark, SMALL)).count("MapInPandas") == 2
+
+
+def test_measures_of_a_text_hold_no_list_of_its_letters():
+    tracemalloc.start()
+    assert recognition.measured.__wrapped__("ж" * 300_000) == (75.0, 0.8, 35.0, 0.0, 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
