@@ -30,17 +30,24 @@ def word_table(tables: DataFrame, keys: list[str]) -> DataFrame:
     """
     lines = F.filter(F.split(T.newlines(F.col("tsv")), "\n", -1), lambda x: T.strip(x) != "")
     names = ("block_num", "par_num", "line_num", "conf", "text")
-    split = tables.select(*keys, F.split(F.try_element_at(lines, F.lit(1)), "\t", -1).alias("head"), F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))).alias("body"))
+    # Words are found within their row and no filter stands behind: it would be handed down and make the tables twice.
+    listed = tables.select(*keys, T.let(lines, lambda x: x).alias("lines"))
+    split = listed.select(*keys, F.split(F.try_element_at("lines", F.lit(1)), "\t", -1).alias("head"), F.slice("lines", F.lit(2), F.greatest(F.size("lines"), F.lit(1))).alias("body"))
     placed = split.select(*keys, "body", *[F.array_position("head", F.lit(n)).cast("int").alias(f"at_{n}") for n in names])
-    whole = placed.filter(F.least(*[F.col(f"at_{n}") for n in names]) > 0)
-    rows = whole.select(*keys, *[f"at_{n}" for n in names], F.posexplode("body").alias("pos", "row")).withColumn("cells", F.split("row", "\t", -1))
-    cells = rows.filter(F.size("cells") >= F.col("at_text")).select(*keys, "pos", *[F.try_element_at("cells", F.col(f"at_{n}")).alias(n) for n in names])
-    return cells.withColumn("text", T.strip(F.col("text"))).filter(F.col("text") != "")
+    whole = F.least(*[F.col(f"at_{n}") for n in names]) > 0
+
+    def word(row: Column, pos: Column) -> Column:
+        cell = lambda cells, n: F.try_element_at(cells, F.col(f"at_{n}"))
+        told = lambda cells: F.struct(pos.alias("pos"), *[cell(cells, n).alias(n) for n in names[:-1]], T.strip(cell(cells, "text")).alias("text"))
+        return T.let(F.split(row, "\t", -1), lambda cells: F.when(F.size(cells) >= F.col("at_text"), told(cells)))
+
+    words = F.filter(F.transform("body", word), lambda w: w["text"] != "")
+    return placed.select(*keys, F.inline(F.when(whole, words)))
 
 
 def recognised_lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys, first_pos and line of every line of words, in the order in which lines are first met."""
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
     return words.groupBy(*keys, "block_num", "par_num", "line_num").agg(F.min("pos").alias("first_pos"), line.alias("line"))
 
 

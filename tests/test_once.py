@@ -46,3 +46,7 @@ def test_measures_of_a_text_hold_no_list_of_its_letters():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2_000_000
+
+
+def test_words_of_tables_are_found_without_a_filter_that_makes_the_tables_again(spark):
+    assert plan(catalog.tsv_lines(spark, SMALL)).count("level\tblock_num") == 1
