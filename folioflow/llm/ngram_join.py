@@ -49,6 +49,8 @@ from folioflow.llm.components import components
 from folioflow.llm.words import code_points, mix64, word_hashes
 
 WORDS = 3
+#: Code points shingled at once: a worker holds about 100 bytes for each.
+SHINGLED_AT_ONCE = 300_000
 #: Intersection * UNITS[1] >= UNITS[0] * union.
 UNITS = (90, 100)
 KEYS = 3
@@ -211,7 +213,7 @@ def sketch(docs: DataFrame, words: int = WORDS, units: tuple[int, int] = UNITS)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(units)
         met: set[int] = set()
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SHINGLED_AT_ONCE):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), words)
             sizes, nodes = np.diff(bounds), set_nodes(values, bounds)
             fresh = np.zeros(len(nodes), dtype=bool)
@@ -233,7 +235,7 @@ def sets_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, words: int = WO
     """(node, n, set) of the wanted nodes (node), each from the text of its smallest doc_id; ``named``: node, first (that doc_id)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SHINGLED_AT_ONCE):
             values, bounds = shingle_sets(batch.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array(set_nodes(values, bounds)), pa.array(np.diff(bounds)), _lists(values, bounds)], names=["node", "n", "set"])
 
